@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Rows below which a table of narrow rows is broadcast; its rows are counted first.
 BROADCAST_ROWS = 20_000
 
@@ -27,19 +27,6 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once for each context, wherever they run."""
-    ctx = spark.sparkContext
-    if getattr(ctx, "_strataloom", None) is None:
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="strataloom-")) / "strataloom.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        ctx.addPyFile(str(target))
-        ctx._strataloom = str(target)
-
-
 class Scratch:
     """Intermediate tables as Parquet in the shared folder. Losing an executor loses none of them.
 
