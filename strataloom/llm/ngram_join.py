@@ -30,7 +30,7 @@ STEP, TOLERANCE = 16, 1e-7
 #: Documents and shingles in one block of a candidate group, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Words whose hashes a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 600_000
 SLICE_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W]+")

@@ -12,17 +12,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker's cache keeps; beyond it the cache starts anew, which costs time only.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
 LONG_PIECE = 64
 #: Characters that are taken up at a time.
 SLICE_CHARS = 4_000_000
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
-_TO_SPACE = str.maketrans("\n\t\r", "   ")
-_SINGLE_SPACE = re.compile(r"(?<=\S)(?= (?=\S))")
+#: Stands before the spaces at which a text is cut; a text that holds it is cut by the slower pattern.
+_CUT = "\ue000"
+_TWO_BLANKS = re.compile(r"\s\s")
+#: Latin-1 letters, then marks: one or two words of the vocabulary that drops white space, so that many pieces can be encoded
+#: as one text and told apart by the tokens that end a word.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-?]*)")
+_SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
 def vocabulary(name: str) -> str:
@@ -54,6 +61,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words, self.offsets = words, offsets
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if words:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -74,49 +84,75 @@ class Encoder:
             self.known[piece] = at
         return at
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, texts: list[str]) -> pa.ListArray:
+        """The pieces of each text."""
         if self.words:
-            return text.translate(_TO_SPACE).split(" ")
-        return _SINGLE_SPACE.split(text) if text else []
+            cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+            return pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        cut = []
+        for t in texts:
+            if _CUT in t:
+                return pa.array([_SINGLE_SPACE.split(x) for x in texts], pa.list_(pa.large_string()))
+            plain = t[:1] != " " and t[-1:] != " " and not _TWO_BLANKS.search(t)
+            cut.append(t.replace(" ", _CUT + " ") if plain else _SINGLE_SPACE.sub(_CUT, t))
+        return pc.split_pattern(pa.array(cut, pa.large_string()), _CUT)
 
     def _learn(self) -> None:
         if self.count > len(self.first):
             more = np.zeros(max(self.count - len(self.first), len(self.first)), np.int64)
             self.first, self.size = np.concatenate([self.first, more]), np.concatenate([self.size, more])
         at = self.count - len(self.new)
+        own = np.arange(at, self.count)
+        kinds = [_PLAIN.fullmatch(p) if self.words else None for p in self.new]
+        plain = np.array([k is not None for k in kinds], bool)
+        words = np.array([1 + bool(k[1]) for k in kinds if k], np.int64)
+        texts = np.array(self.new, object)
+        self._learn_plain(own[plain], texts[plain], words)
+        self._learn_others(own[~plain], texts[~plain].tolist())
+        self.new = []
+
+    def _keep(self, at: np.ndarray, n: np.ndarray, ids: np.ndarray, spans: np.ndarray | None = None) -> None:
+        total = len(ids)
+        if self.filled + total > len(self.ids):
+            room = max(self.filled + total, 2 * len(self.ids)) - self.filled
+            self.ids = np.concatenate([self.ids[: self.filled], np.zeros(room, np.uint32)])
+            if self.offsets:
+                self.span = np.concatenate([self.span[: self.filled], np.zeros((room, 2), np.int32)])
+        self.ids[self.filled : self.filled + total] = ids
+        if spans is not None:
+            self.span[self.filled : self.filled + total] = spans
+        self.first[at] = self.filled + np.cumsum(n) - n
+        self.size[at] = n
+        self.filled += total
+
+    def _learn_plain(self, at: np.ndarray, texts: np.ndarray, words: np.ndarray) -> None:
+        for i in range(0, len(at), 4096):
+            part = slice(i, i + 4096)
+            done = self.tokenizer.encode_batch_fast([" ".join(texts[part])], add_special_tokens=False)[0].ids
+            ids = np.array(done, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            last = ends[np.cumsum(words[part]) - 1] + 1
+            self._keep(at[part], np.diff(last, prepend=0), ids)
+
+    def _learn_others(self, at: np.ndarray, texts: list[str]) -> None:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        for i in range(0, len(self.new), 4096):
-            done = encode(self.new[i : i + 4096], add_special_tokens=False)
+        for i in range(0, len(texts), 4096):
+            done = encode(texts[i : i + 4096], add_special_tokens=False)
             lists = [x.ids for x in done]
             n = np.fromiter(map(len, lists), np.int64, len(lists))
-            total = int(n.sum())
-            if self.filled + total > len(self.ids):
-                room = max(self.filled + total, 2 * len(self.ids))
-                self.ids = np.concatenate([self.ids[: self.filled], np.zeros(room - self.filled, np.uint32)])
-                if self.offsets:
-                    self.span = np.concatenate([self.span[: self.filled], np.zeros((room - self.filled, 2), np.int32)])
-            to = slice(self.filled, self.filled + total)
-            self.ids[to] = np.fromiter((t for x in lists for t in x), np.uint32, total)
-            if self.offsets:
-                self.span[to] = np.array([o for x in done for o in x.offsets], np.int32).reshape(-1, 2)
-            self.first[at : at + len(lists)] = self.filled + np.cumsum(n) - n
-            self.size[at : at + len(lists)] = n
-            at += len(lists)
-            self.filled += total
-        self.new = []
+            spans = np.array([o for x in done for o in x.offsets], np.int32).reshape(-1, 2) if self.offsets else None
+            self._keep(at[i : i + 4096], n, np.fromiter((t for x in lists for t in x), np.uint32, int(n.sum())), spans)
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        get, parts, counts, starts = self.known.__getitem__, [], np.zeros(len(texts) + 1, np.int64), []
-        for i, text in enumerate(texts):
-            pieces = self._cut(text)
-            parts.append(np.fromiter(map(get, pieces), np.int64, len(pieces)))
-            counts[i + 1] = len(pieces)
-            if self.offsets:
-                long = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                starts.append(np.cumsum(long) - long)
+        cut = self._cut(texts)
+        # equal pieces are found before Python sees them
+        flat = cut.flatten().dictionary_encode()
+        kinds = np.fromiter(map(self.known.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+        counts = np.concatenate([[0], pc.list_value_length(cut).to_numpy(zero_copy_only=False)]).astype(np.int64)
+        codes = flat.indices.to_numpy()
         if self.new:
             self._learn()
-        piece = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        piece = kinds[codes]
         n = self.size[piece]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -124,7 +160,10 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
         span = None
         if self.offsets:
-            shift = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            chars = pc.utf8_length(flat.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            before = np.cumsum(chars) - chars
+            first = np.minimum(np.cumsum(counts)[:-1], max(len(before) - 1, 0))
+            shift = before - np.repeat(before[first], counts[1:]) if len(before) else before
             span = self.span[at] + np.repeat(shift, n)[:, None]
         ids = self.ids[at]
         if self.count > CACHE_PIECES:
