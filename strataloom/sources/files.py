@@ -67,13 +67,21 @@ def code_files(files: DataFrame, max_bytes: int = MAX_BYTES, hidden: bool = True
     return files.where((F.col("length") <= max_bytes) & is_code(F.col("relative_path")) & not_ignored(F.col("relative_path"), hidden))
 
 
-def git_projects(files: DataFrame) -> DataFrame:
-    """Folders that hold `.git`, but none below another."""
-    found = files.select(F.regexp_extract("relative_path", r"^(?:(.*?)/)?\.git/", 1).alias("project"), F.col("relative_path").rlike(r"(^|/)\.git/").alias("hit"))
-    found = found.where("hit").select("project").distinct()
-    up = found.select("project", F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("project", "/")) - 1), lambda i: F.array_join(F.slice(F.split("project", "/"), 1, i), "/"))).alias("above"))
-    nested = up.where("above <> project").join(found.select(F.col("project").alias("above")), "above", "left_semi").select("project").distinct()
-    return found.join(nested, "project", "left_anti")
+def git_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders (project, relative to the given one) that hold `.git`, but none below another. File scans leave out names
+    with a leading dot, so folders are listed, on whatever store they are; only their names reach the driver."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, left = [], [(root, "")]
+    while left:
+        at, name = left.pop()
+        below = [x for x in store.listStatus(at) if x.isDirectory()]
+        if any(x.getPath().getName() == ".git" for x in below):
+            found.append((name,))
+        else:
+            left += [(x.getPath(), f"{name}/{x.getPath().getName()}".lstrip("/")) for x in below]
+    return spark.createDataFrame(sorted(found), "project string")
 
 
 def subfolders(files: DataFrame) -> DataFrame:
