@@ -22,6 +22,8 @@ SEED = 20_11
 ERRORS = 4.0
 #: Vectors and queries that meet in one task, about.
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Queries estimated, and pairs ranked exactly, at a time: they bound a task's memory.
+QUERY_PART, PAIR_PART = 64, 1 << 14
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -68,6 +70,10 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     return rows.mapInPandas(run, "vec_id long, embedding array<double>, code binary, scale double")
 
 
+def _parts(n: int) -> list[tuple[int, int]]:
+    return [(at, min(n, at + PAIR_PART)) for at in range(0, max(n, 1), PAIR_PART)]
+
+
 def _nearest(own: pd.DataFrame, asked: pd.DataFrame, k: int, errors: float) -> pd.DataFrame:
     found = []
     dims = own["embedding"].map(len).to_numpy()
@@ -78,14 +84,14 @@ def _nearest(own: pd.DataFrame, asked: pd.DataFrame, k: int, errors: float) -> p
         ids, x = own["vec_id"].to_numpy()[at], matrix(own["embedding"].iloc[at], dim)
         codes = np.frombuffer(b"".join(own["code"].iloc[at]), np.uint8).reshape(len(at), -1)
         scale = own["scale"].to_numpy()[at]
-        for part in range(0, len(queries), 256):
-            q_ids, q = queries["vec_id"].to_numpy()[part : part + 256], matrix(queries["embedding"].iloc[part : part + 256], dim)
+        for part in range(0, len(queries), QUERY_PART):
+            q_ids, q = queries["vec_id"].to_numpy()[part : part + QUERY_PART], matrix(queries["embedding"].iloc[part : part + QUERY_PART], dim)
             got, bound = estimate(q, codes, scale, errors)
             self_ = q_ids[:, None] == ids[None, :]
             low = np.where(self_, -np.inf, got - bound)
             enough = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if len(at) > k else np.full((len(q), 1), -np.inf)
             i, j = np.nonzero((got + bound >= enough) & ~self_)
-            cos = cosines(q[i], x[j])
+            cos = np.concatenate([cosines(q[i[at:to]], x[j[at:to]]) for at, to in _parts(len(i))])
             order = np.lexsort((ids[j], -cos, i))
             i, j, cos = i[order], j[order], cos[order]
             first = np.searchsorted(i, np.arange(len(q)))
