@@ -3,7 +3,7 @@
 The index holds, for each vector of length one, the signs of its randomly rotated components, packed to bits, and one
 correction scalar: its inner product with its own code. A query's inner product with a vector is estimated from the bits
 and the scalar; the estimate's error is below a known multiple of 1/sqrt(dim) but for rare cases. Vectors whose upper
-bound reaches the k-th best lower bound are ranked again by exact cosines.
+bound reaches the k-th best cosine among the best estimates are ranked again by exact cosines.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ ERRORS = 4.0
 BLOCK, QUERY_BLOCK = 8192, 2048
 #: Queries estimated, and pairs ranked exactly, at a time: they bound a task's memory.
 QUERY_PART, PAIR_PART = 64, 1 << 14
+#: Best estimates that are ranked exactly first, as a multiple of k.
+FIRST = 4
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -88,8 +90,13 @@ def _nearest(own: pd.DataFrame, asked: pd.DataFrame, k: int, errors: float) -> p
             q_ids, q = queries["vec_id"].to_numpy()[part : part + QUERY_PART], matrix(queries["embedding"].iloc[part : part + QUERY_PART], dim)
             got, bound = estimate(q, codes, scale, errors)
             self_ = q_ids[:, None] == ids[None, :]
-            low = np.where(self_, -np.inf, got - bound)
-            enough = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if len(at) > k else np.full((len(q), 1), -np.inf)
+            enough = np.full((len(q), 1), -np.inf)
+            if len(at) > FIRST * k:
+                # exact cosines of the best estimates give a k-th best that the true one can't lie below
+                first = np.argpartition(np.where(self_, np.inf, -got), FIRST * k, axis=1)[:, : FIRST * k]
+                cos = cosines(np.repeat(q, FIRST * k, axis=0), x[first.ravel()]).reshape(len(q), -1)
+                cos = np.where(np.take_along_axis(self_, first, 1), -np.inf, cos)
+                enough = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
             i, j = np.nonzero((got + bound >= enough) & ~self_)
             cos = np.concatenate([cosines(q[i[at:to]], x[j[at:to]]) for at, to in _parts(len(i))])
             order = np.lexsort((ids[j], -cos, i))
