@@ -40,7 +40,8 @@ PARSED = T.StructType().add(
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool = False) -> DataFrame:
-    """(path, relative_path, name, length, modified[, content]) of files. Without content only metadata is read."""
+    """(path, relative_path, name, length, modified[, content]) of files. Without content only metadata is read.
+    Empty files, and names that begin with a dot or an underscore, are left out by the reader."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder if recursive else f"{folder}/*")
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     root = "/" + folder.split(":", 1)[-1].strip("/") + "/"

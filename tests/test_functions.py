@@ -109,7 +109,7 @@ def test_two_hops_against_a_loop(spark):
 
 def test_scan_and_archives(spark, tmp_path):
     root = tmp_path / "build" / "proj"
-    for name, body in {"a.py": b"x = 1\n", "node_modules/b.py": b"", "sub/.git/config": b"", "sub/c.go": "语".encode("gbk"), "big.py": b"x" * (files.MAX_BYTES + 1)}.items():
+    for name, body in {"a.py": b"x = 1\n", "node_modules/b.py": b"y", "sub/.git/config": b"", "sub/c.go": "语".encode("gbk"), "big.py": b"x" * (files.MAX_BYTES + 1)}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(body)
     scanned = files.scan(spark, str(root), content=True)
