@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ BATCH_DOCUMENTS = (".pdf", ".docx", ".doc", ".txt", ".md")
 READMES = ("README.md", "readme.md", "README.txt", "readme.txt")
 ENCODINGS = ("utf-8", "gbk", "gb18030", "iso-8859-1")
 MAX_BYTES = 1 << 20
+#: scan_all opens folders on the driver down to so many levels or until it has so many folders; a batch holds about so many bytes.
+LISTED_LEVELS, LISTED_FOLDERS, BATCH_BYTES = 3, 256, 16 << 20
 
 PARSED = T.StructType().add(
     "chunks_list",
@@ -41,7 +44,7 @@ PARSED = T.StructType().add(
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool = False) -> DataFrame:
     """(path, relative_path, name, length, modified[, content]) of files. Without content only metadata is read.
-    Empty files, and names that begin with a dot or an underscore, are left out by the reader."""
+    Empty files, and names that begin with a dot or an underscore, are left out by the reader; scan_all has them."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder if recursive else f"{folder}/*")
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     root = "/" + folder.split(":", 1)[-1].strip("/") + "/"
@@ -50,6 +53,55 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool
     return got.select(*cols, *(["content"] if content else []))
 
 
+def scan_all(spark: SparkSession, folder: str, content: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """scan() of every file below a folder, empty ones and names with a leading dot or underscore among them. Files over
+    max_bytes have null content. Folders are opened here until there are enough to deal out; tasks list and read what lies
+    below them, through the store that the path names, which the workers must reach too. An empty folder gives no rows."""
+    ship(spark)
+    store, root = _store(folder)
+    root, shown = root.rstrip("/"), folder.rstrip("/") if ":" in folder else "file:" + folder.rstrip("/")
+    entries, open_ = [], [root]
+    for _ in range(LISTED_LEVELS):
+        below = [x for at in open_ for x in store.get_file_info(fs.FileSelector(at))]
+        entries += [(x.path, False) for x in below if x.is_file]
+        open_ = [x.path for x in below if x.type == fs.FileType.Directory]
+        if len(open_) >= LISTED_FOLDERS:
+            break
+    entries += [(at, True) for at in open_]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, _ = _store(folder)
+        for pdf in batches:
+            for at, is_folder in zip(pdf["at"], pdf["is_folder"]):
+                infos = own.get_file_info(fs.FileSelector(at, recursive=True)) if is_folder else [own.get_file_info(at)]
+                rows, held = [], 0
+                for x in infos:
+                    if x.is_file:
+                        body = own.open_input_file(x.path).read() if content and x.size <= max_bytes else None
+                        rows.append((x.path[len(root) + 1 :], x.size, x.mtime, body))
+                        held += 256 + len(body or b"")
+                    if held >= BATCH_BYTES:
+                        yield _scanned(rows, shown)
+                        rows, held = [], 0
+                if rows:
+                    yield _scanned(rows, shown)
+
+    dealt = spark.createDataFrame(entries, "at string, is_folder boolean").repartition(max(1, min(len(entries), LISTED_FOLDERS)), "at")
+    got = dealt.mapInPandas(run, "path string, relative_path string, name string, length long, modified timestamp, content binary")
+    return got if content else got.drop("content")
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
+def _scanned(rows: list[tuple], shown: str) -> pd.DataFrame:
+    rel, size, modified, body = map(list, zip(*rows))
+    names = [x.rpartition("/")[2] for x in rel]
+    times = pd.to_datetime(modified, utc=True).floor("ms")
+    return pd.DataFrame({"path": [f"{shown}/{x}" for x in rel], "relative_path": rel, "name": names, "length": size, "modified": times, "content": body})
+
+
 def _quoted(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c not in "/_- " else c for c in text)
 

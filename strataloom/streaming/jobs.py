@@ -14,21 +14,19 @@ from ..operators.ingest import todo
 def ingest_new(
     spark: SparkSession, source: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], log: str, sink: str, checkpoint: str
 ) -> StreamingQuery:
-    """Takes what is new in a stream once, and ends. Each batch leaves out keys that the log has, runs the rest, and logs
-    those whose `status` is success; failed ones come again when they are offered again. A batch that is repeated after a
-    failure finds its keys logged."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        done = spark.read.schema(f"{key} string").parquet(log)
-        result = run(todo(rows, done, key)).persist()
-        try:
-            good = result.where("status = 'success'")
-            good.write.mode("append").parquet(sink)
-            good.select(F.col(key).cast("string")).distinct().write.mode("append").parquet(log)
-        finally:
-            result.unpersist()
-
-    spark.createDataFrame([], f"{key} string").write.mode("append").parquet(log)
+    """Takes what is new in a stream once, and ends. Each batch leaves out keys that the log has from other batches, runs
+    the rest, and logs those whose `status` is success; failed ones come again when they are offered again. Sink and log
+    keep a folder for each batch of a checkpoint, which a repeated batch overwrites: a failure between the two writes
+    neither loses nor doubles rows."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        own = f"{rows.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        done = spark.read.schema(f"{key} string, batch string").parquet(log).where(F.col("batch") != own)
+        run(todo(rows, done, key)).where("status = 'success'").write.mode("overwrite").parquet(f"{sink}/batch={own}")
+        stored = spark.read.parquet(f"{sink}/batch={own}")
+        stored.select(F.col(key).cast("string")).distinct().write.mode("overwrite").parquet(f"{log}/batch={own}")
+
+    spark.createDataFrame([], f"{key} string").write.mode("overwrite").parquet(f"{log}/batch=none")
     return source.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start()
 
 

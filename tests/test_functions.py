@@ -1,4 +1,5 @@
 import io
+import shutil
 import tarfile
 import zipfile
 
@@ -132,6 +133,22 @@ def test_scan_and_archives(spark, tmp_path):
     assert got == {("in/one.txt", "ok"), ("../up.txt", "unsafe"), ("two.txt", "ok"), (None, "unreadable: ValueError")}
 
 
+def test_scan_of_every_file(spark, tmp_path):
+    names = {"__init__.py": b"a", "_x/y/z/deep.py": b"b", ".dot/c.py": b"c", "empty.py": b"", "long.py": b"x" * 50, "build/d.py": b"d", "e f%20.py": b"e"}
+    for name, body in names.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = files.scan_all(spark, str(tmp_path), content=True, max_bytes=40)
+    rows = {r["relative_path"]: r for r in got.collect()}
+    assert {k: r["length"] for k, r in rows.items()} == {k: len(v) for k, v in names.items()}
+    assert {k: r["content"] and bytes(r["content"]) for k, r in rows.items()} == {k: None if len(v) > 40 else v for k, v in names.items()}
+    plain = {r["relative_path"]: r for r in files.scan(spark, str(tmp_path)).where("name = 'long.py'").collect()}
+    assert rows["long.py"]["modified"] == plain["long.py"]["modified"] and rows["long.py"]["path"] == plain["long.py"]["path"]
+    assert {r["relative_path"] for r in files.code_files(got, hidden=False).collect()} == set(names) - {".dot/c.py", "build/d.py"}
+    (tmp_path / "none").mkdir()
+    assert files.scan_all(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_parsed_chunks(spark, tmp_path):
     (tmp_path / "d.json").write_text(
         '{"chunks_list": [{"content": "a", "metadata": {"chunk_type": "text", "chunk_number": 0}},'
@@ -162,6 +179,14 @@ def test_resumable_ingestion(spark, tmp_path):
         stream = spark.readStream.schema("name string").parquet(src)
         jobs.ingest_new(spark, stream, "name", run, log, sink, check).awaitTermination()
     assert sorted(r["name"] for r in spark.read.parquet(sink).collect()) == ["a", "b"]
+    # a second batch that stopped between its two writes is repeated whole
+    for folder in (tmp_path / "log").glob("batch=*-1"):
+        shutil.rmtree(folder)
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (tmp_path / "check" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    jobs.ingest_new(spark, spark.readStream.schema("name string").parquet(src), "name", run, log, sink, check).awaitTermination()
+    assert sorted(r["name"] for r in spark.read.parquet(sink).collect()) == ["a", "b"]
 
 
 def test_streamed_windows(spark, tmp_path):
