@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +74,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: The operator whose caches this worker keeps from task to task, and what drops them.
+_HOLDER: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """To be called where a task of `owner` begins: the caches of the operator that ran here before are dropped and their
+    memory is given back, as a worker lives through all stages of a job. A task may keep what it has taken from a cache."""
+    if _HOLDER and _HOLDER[0][0] == owner:
+        return
+    for _, before in _HOLDER:
+        before()
+    if _HOLDER:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    _HOLDER[:] = [(owner, drop)]
+
+
 def held_out(key: Column, folds: int = 5) -> Column:
     """Whether a row belongs to the held-out fold: crc32 of its key as text leaves no remainder."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import hold, ship
 
 #: Labelled documents that each language is learned from, about; they are dealt by hash, so reruns agree.
 DOCS_PER_LANG = 400
@@ -191,6 +191,7 @@ _MODELS: dict[str, Model] = {}
 
 def _model(key: str, grams) -> Model:
     """This worker's table for a broadcast model."""
+    hold("language", _MODELS.clear)
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(grams.value)
@@ -218,8 +219,9 @@ def predictor(spark, grams: Grams):
 
     @F.pandas_udf("lang string, score double")
     def language(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(key, sent)
         for texts in parts:
-            yield predict(texts, _model(key, sent))
+            yield predict(texts, model)
 
     return language
 

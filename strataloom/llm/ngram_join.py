@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, hold
 from .near_vectors import local_roots
 
 WORDS, THRESHOLD = 5, 0.8
@@ -117,6 +117,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 def _signatures(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    hold("ngram_join", _WORDS.clear)
     for pdf in batches:
         texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
         begin = chars = 0
@@ -176,6 +177,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, threshold: float, toleranc
 
 def _links(batches: Iterator[pd.DataFrame], words: int, threshold: float, tolerance: float) -> Iterator[pd.DataFrame]:
     """Reads rows sorted by (group, pair) and yields (fp, linked, root) for each group and pair of blocks."""
+    hold("ngram_join", _WORDS.clear)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame | None:
         pdf = pdf.drop_duplicates("fp")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import hold
+
 #: Pieces that a worker's cache keeps; beyond it the cache starts anew, which costs time only.
 CACHE_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
@@ -185,6 +187,7 @@ _ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 def encoder(path: str, words: bool, offsets: bool = False) -> Encoder:
     """This worker's encoder for a vocabulary."""
+    hold("tokens", _ENCODERS.clear)
     key = (path, words, offsets)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)

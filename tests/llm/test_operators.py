@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm import ann, language, mixing, near_vectors, ngram_join, packing, quality, queries, token_counts, token_files, tokens, url_filter
+from strataloom.llm import ann, common, language, mixing, near_vectors, ngram_join, packing, quality, queries, token_counts, token_files, tokens, url_filter
 from strataloom.llm.common import Scratch, connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,18 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 10, 20: 10, 30: 10, 40: 10}
 
 
+def test_one_operator_holds_caches(monkeypatch):
+    monkeypatch.setattr(common, "_HOLDER", [])
+    dropped = []
+    for owner in ("a", "a", "b", "a"):
+        common.hold(owner, lambda owner=owner: dropped.append(owner))
+    assert dropped == ["a", "b"]
+    mine = tokens.encoder(tokens.vocabulary(tokens.WORD_FILE), True)
+    assert tokens._ENCODERS and mine is tokens.encoder(tokens.vocabulary(tokens.WORD_FILE), True)
+    list(ngram_join._signatures(iter([]), 5))
+    assert not tokens._ENCODERS and len(next(mine.encode(["still works"]))[1])
+
+
 # 1
 
 
