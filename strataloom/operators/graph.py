@@ -27,11 +27,12 @@ def kept_fields(props: Column, label: Column, fields: dict[str, tuple[str, ...]]
     return F.when(names.isNull(), props).otherwise(F.map_filter(props, lambda k, _: F.array_contains(names, k)))
 
 
-def neighbours(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(i, id, j, dst, type): outgoing edges of roots (i, id), numbered from 0 by (type, dst) within a root."""
-    found = roots.select("i", "id").join(edges, F.col("id") == F.col("src"))
-    j = F.row_number().over(W.partitionBy("i").orderBy("type", "dst")) - 1
-    return found.withColumn("j", j).select("i", "id", "j", "dst", "type")
+def neighbours(roots: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, i, id, j, dst, type): outgoing edges of roots (by, i, id), numbered from 0 by (type, dst) within a root."""
+    by = by or []
+    found = roots.select(*by, "i", "id").join(edges, F.col("id") == F.col("src"))
+    j = F.row_number().over(W.partitionBy(*by, "i").orderBy("type", "dst")) - 1
+    return found.withColumn("j", j).select(*by, "i", "id", "j", "dst", "type")
 
 
 def with_parts(found: DataFrame, whole: DataFrame, parts: DataFrame) -> DataFrame:
@@ -46,22 +47,23 @@ def with_parts(found: DataFrame, whole: DataFrame, parts: DataFrame) -> DataFram
     )
 
 
-def two_hops(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(level, i, j, k, id, type): neighbours of roots (i, id), and their neighbours that were not met before.
+def two_hops(roots: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, level, i, j, k, id, type): neighbours of roots (by, i, id), and their neighbours that were not met before.
 
     The first level keeps repetitions. A node enters the second level where it is met first, in the order of (i, j, k),
-    unless it is a root or was met on the first level up to there.
+    unless it is a root or was met on the first level up to there. `by` holds sets of roots apart, as those of queries.
     """
-    one = neighbours(roots, edges)
-    firsts = one.groupBy("dst").agg(F.min(F.struct("i", "j")).alias("met"))
-    fan = one.select("i", "j", F.col("dst").alias("id"))
-    place = W.partitionBy("i", "j").orderBy("type", "dst")
+    by = by or []
+    one = neighbours(roots, edges, by)
+    firsts = one.groupBy(*by, "dst").agg(F.min(F.struct("i", "j")).alias("met"))
+    fan = one.select(*by, "i", "j", F.col("dst").alias("id"))
+    place = W.partitionBy(*by, "i", "j").orderBy("type", "dst")
     two = fan.join(edges, F.col("id") == F.col("src")).withColumn("k", F.row_number().over(place) - 1)
-    two = two.select("i", "j", "k", "dst", "type").join(roots.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti")
-    two = two.join(firsts, "dst", "left").where("met is null or met > struct(i, j)")
-    two = two.withColumn("n", F.row_number().over(W.partitionBy("dst").orderBy("i", "j", "k"))).where("n = 1")
-    a = one.select(F.lit(1).alias("level"), "i", "j", F.lit(0).alias("k"), F.col("dst").alias("id"), "type")
-    return a.unionByName(two.select(F.lit(2).alias("level"), "i", "j", "k", F.col("dst").alias("id"), "type"))
+    two = two.select(*by, "i", "j", "k", "dst", "type").join(roots.select(*by, F.col("id").alias("dst")).distinct(), [*by, "dst"], "left_anti")
+    two = two.join(firsts, [*by, "dst"], "left").where("met is null or met > struct(i, j)")
+    two = two.withColumn("n", F.row_number().over(W.partitionBy(*by, "dst").orderBy("i", "j", "k"))).where("n = 1")
+    a = one.select(*by, F.lit(1).alias("level"), "i", "j", F.lit(0).alias("k"), F.col("dst").alias("id"), "type")
+    return a.unionByName(two.select(*by, F.lit(2).alias("level"), "i", "j", "k", F.col("dst").alias("id"), "type"))
 
 
 def trails(starts: DataFrame, edges: DataFrame, ends: DataFrame, most: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import cosine, words
+from .graph import two_hops
 
 K1, B = 1.2, 0.75
 TEXT_K, VECTOR_K, FUSED_K, VECTOR_WEIGHT = 50, 10, 10, 0.6
@@ -106,3 +107,53 @@ def retrieve(queries: DataFrame, index: DataFrame, key: str, text: str, vector:
     hits = first_of(near, both).join(queries.select("query_id", "question"), "query_id").join(index.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
     score = word_overlap(F.col("question"), F.col("text")) if score is None else score
     return reranked(hits, score, drop_single=drop_single).select("query_id", "rank", "id", "score")
+
+
+def expanded(
+    queries: DataFrame, index: DataFrame, edges: DataFrame, key: str, text: str, vector: str, k: int = 3, score: Column | None = None
+) -> DataFrame:
+    """(query_id, level, i, j, k, id, type): the neighbours over two edges of each query's k best vector hits after reranking;
+    i is a hit's place. A node counts as met within its own query only; edges run between ids of the index as text."""
+    near = first_of(nearest(queries, index, key, vector))
+    hits = near.join(queries.select("query_id", "question"), "query_id").join(index.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
+    score = word_overlap(F.col("question"), F.col("text")) if score is None else score
+    best = reranked(hits, score, k).select("query_id", (F.col("rank") - 1).alias("i"), F.col("id").cast("string").alias("id"))
+    return two_hops(best, edges, ["query_id"])
+
+
+def cells(index: DataFrame, vector: str, k: int, sample_rows: int = 100_000, seed: int = 7):
+    """Centres of a coarse quantizer, as a fitted k-means over unit vectors. It is fitted on about sample_rows vectors, a
+    documented bound; every vector is assigned."""
+    from pyspark.ml.clustering import KMeans
+
+    good = _unit(index, vector)
+    n = good.count()
+    part = good.sample(min(1.0, sample_rows / max(n, 1)), seed)
+    return KMeans(k=k, featuresCol="__unit", predictionCol="cell", seed=seed, maxIter=10).fit(part)
+
+
+def _unit(rows: DataFrame, vector: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b))
+    good = rows.withColumn("__norm", norm).where("__norm > 0 and __norm < double('infinity')")
+    return good.withColumn("__unit", array_to_vector(F.transform(vector, lambda x: x / F.col("__norm")))).drop("__norm")
+
+
+def assigned(model, index: DataFrame, vector: str) -> DataFrame:
+    """index with the `cell` of each vector, to be stored partitioned by it; vectors without a direction are left out."""
+    return model.transform(_unit(index, vector)).drop("__unit")
+
+
+def nearest_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int = VECTOR_K) -> DataFrame:
+    """Like nearest(), over the `probes` cells whose centres are closest to a query. Only those are read from an index that
+    is stored by cell."""
+    spark = queries.sparkSession
+    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, __c array<double>")
+    # one row per cell
+    far = queries.join(F.broadcast(centres), F.size("vector") == F.size("__c")).withColumn("d", cosine(F.col("vector"), F.col("__c")))
+    n = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("d"), "cell"))
+    asked = far.withColumn("n", n).where(F.col("n") <= probes).select("query_id", "cell", F.col("vector").alias("__q"))
+    rows = in_cells.select("cell", F.col(key).alias("id"), F.col(vector).alias("__v"))
+    hits = rows.join(asked, "cell").select("query_id", "id", F.round(cosine(F.col("__q"), F.col("__v")), DIGITS).alias("score"))
+    return normalised(top(hits.where("score is not null"), k, F.desc("score"), F.asc("id")))

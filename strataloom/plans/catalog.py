@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..api import KnowledgeBase
 from ..functions import chunking, parsing, text
 from ..functions.providers import Providers
-from ..operators import graph, ingest, matching, packing, retrieval
+from ..operators import graph, ingest, matching, packing, pipelines, retrieval
 from ..runtime import ship
 from ..streaming import jobs
 
@@ -589,3 +590,112 @@ def events_in_spans(t: Tables) -> DataFrame:
     spans = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("span_id"), F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 10 minutes")).alias("end"))
     points = t.events.where("event_type = 'purchase'").select("event_id", "ts")
     return matching.range_join(points, spans, "ts", "start", "end", 600).select("event_id", "span_id")
+
+
+# --- the base as a whole -------------------------------------------------------------------------------------------
+
+
+def _base(t: Tables) -> KnowledgeBase:
+    return KnowledgeBase(
+        owners=t.customer.select(F.col("c_custkey").alias("owner_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description")),
+        files=t.orders.select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderpriority").alias("name")),
+        chunks=t.lineitem.select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("start_line"),
+            F.col("l_linestatus").alias("text"), F.col("l_partkey").alias("label_id"),
+        ),
+        articles=t.documents.select(
+            F.col("doc_id").alias("article_id"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("text").alias("summary"), F.col("text").alias("full_text"),
+            F.array(F.col("doc_id") % 7, F.col("doc_id") % 11).alias("label_ids"),
+        ),
+        labels=t.part.select(F.col("p_partkey").alias("label_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("group_name")),
+        index=_index(t).withColumnRenamed("doc_id", "chunk_id"),
+        edges=_source_edges(t),
+    )
+
+
+def _source_edges(t: Tables) -> DataFrame:
+    own = t.documents.where("lang is not null").select(F.col("doc_id").cast("string").alias("src"), F.concat(F.lit("l:"), "lang").alias("dst"), F.lit("HAS_LANG").alias("type"))
+    near = t.labels.select(F.concat(F.lit("l:"), F.when(F.col("toxic") == 1, "en").otherwise("de")).alias("src"), F.concat(F.lit("q:"), "quality").alias("dst"), F.lit("HAS_GRADE").alias("type"))
+    return own.unionByName(near.where("dst is not null").distinct())
+
+
+_BASE = """articles AS (SELECT doc_id AS article_id, 'doc ' || doc_id AS title, text AS summary, [doc_id % 7, doc_id % 11] AS label_ids FROM documents)"""
+_CUT = "CASE WHEN coalesce(length({0}), 0) = 0 THEN '无描述' WHEN length({0}) > {1} THEN substr({0}, 1, {1}) || '...' ELSE {0} END"
+
+
+@query("SELECT 'document' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'software', count(*) FROM customer")
+def base_counts(t: Tables) -> DataFrame:
+    return _base(t).counts()
+
+
+@query("SELECT p_partkey AS label_id, p_name AS name, p_type AS description FROM part WHERE p_partkey = 5")
+def base_label_description(t: Tables) -> DataFrame:
+    return _base(t).label_description(5)
+
+
+@query(f"""WITH {_BASE} SELECT 'document' AS kind, article_id::VARCHAR AS id, title AS name FROM articles WHERE list_contains(label_ids, 5)
+  UNION ALL SELECT DISTINCT 'software', c_custkey::VARCHAR, c_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_partkey = 5""")
+def base_by_label(t: Tables) -> DataFrame:
+    return _base(t).by_label(5)
+
+
+@query(f"WITH {_BASE} SELECT article_id, title, {_CUT.format('summary', 100)} AS preview FROM articles WHERE list_contains(label_ids, 5)")
+def base_articles_by_label(t: Tables) -> DataFrame:
+    return _base(t).articles_by_label(5)
+
+
+@query(f"""WITH {_BASE} SELECT article_id, title, {_CUT.format('summary', 200)} AS preview, (SELECT count(*) FROM articles) AS total,
+  (SELECT count(*) FROM articles) > 100 AS has_next, true AS has_prev FROM articles ORDER BY title NULLS LAST, article_id LIMIT 50 OFFSET 50""")
+def base_all_articles(t: Tables) -> DataFrame:
+    return _base(t).all_articles(2)
+
+
+@query(f"""SELECT c_custkey AS owner_id, c_name AS name, {_CUT.format('c_mktsegment', 200)} AS preview, (SELECT count(*) FROM customer) AS total,
+  (SELECT count(*) FROM customer) > 50 AS has_next, false AS has_prev FROM customer ORDER BY c_name NULLS LAST, c_custkey LIMIT 50""")
+def base_all_owners(t: Tables) -> DataFrame:
+    return _base(t).all_owners()
+
+
+@query("""WITH r(pos, id, kind) AS (VALUES (0, '7', 'software'), (1, '3', 'document'), (2, '1', 'other'), (3, '999999999', 'software'), (4, '4', 'software')),
+per AS (SELECT o_custkey, o_orderkey, string_agg(coalesce(l_linestatus, ''), chr(10) || chr(10) ORDER BY l_linenumber, coalesce(l_linestatus, '')) AS x FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+whole AS (SELECT o_custkey, string_agg(x, chr(10) || chr(10) ORDER BY o_orderkey) AS x FROM per GROUP BY o_custkey)
+SELECT pos, id, kind, doc_id IS NOT NULL AS found, 'doc ' || doc_id AS name, text FROM r LEFT JOIN documents ON doc_id::VARCHAR = id WHERE kind = 'document'
+UNION ALL SELECT pos, id, kind, c_custkey IS NOT NULL, c_name, x FROM r LEFT JOIN customer ON c_custkey::VARCHAR = id LEFT JOIN whole ON o_custkey = c_custkey WHERE kind = 'software'""")
+def base_details(t: Tables) -> DataFrame:
+    asked = [(0, "7", "software"), (1, "3", "document"), (2, "1", "other"), (3, "999999999", "software"), (4, "4", "software")]
+    return _base(t).details(t.spark.createDataFrame(asked, "pos int, id string, kind string"))
+
+
+@query("""SELECT p_brand AS group_name, string_agg(p_name, ',' ORDER BY p_name, p_partkey) AS names, count(*) AS n FROM part WHERE p_partkey IN (
+  SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7) GROUP BY p_brand""")
+def base_labels_of_owner(t: Tables) -> DataFrame:
+    return _base(t).labels_of_owner(7)
+
+
+@query()
+def base_expanded_query(t: Tables) -> DataFrame:
+    return _base(t).expanded_query(_questions(t))
+
+
+@query()
+def cells_top(t: Tables) -> DataFrame:
+    index = _index(t)
+    model = retrieval.cells(index, "embedding", 16)
+    return retrieval.nearest_in_cells(model, retrieval.assigned(model, index, "embedding"), _questions(t), "doc_id", "embedding", 8)
+
+
+@query("""WITH kinds AS (
+  SELECT regexp_extract(lower(regexp_extract(p_name || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.GO' ELSE '' END, '[^/]*$')), '(\\.tar\\.gz|\\.[^.]+)$', 1) AS extension, p_partkey % 5 = 0 AS ignored FROM part
+), counts AS (SELECT extension, extension IN ('.py', '.go') AND NOT ignored AS kept, count(*) AS n FROM kinds GROUP BY ALL)
+SELECT extension, kept, n, round(100.0 * n / sum(n) OVER (PARTITION BY kept), 1)::DOUBLE AS share FROM counts""")
+def project_statistics(t: Tables) -> DataFrame:
+    form = F.col("p_partkey") % 3
+    name = F.concat("p_name", F.when(form == 0, ".py").when(form == 1, ".GO").otherwise(""))
+    folder = F.when(F.col("p_partkey") % 5 == 0, "node_modules/").otherwise("src/")
+    return pipelines.file_statistics(t.part.select(F.concat(folder, name).alias("relative")))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN c_mktsegment WHEN c_name IS NOT NULL THEN lower(c_name) END AS vector FROM customer""")
+def vectors_backfilled(t: Tables) -> DataFrame:
+    nodes = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("vector"))
+    return pipelines.backfill_vectors(nodes, "text", "vector", F.lower).select("id", "vector")
