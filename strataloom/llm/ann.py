@@ -52,11 +52,11 @@ def estimate(queries: np.ndarray, codes: np.ndarray, scale: np.ndarray, errors:
 
 
 def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, embedding, code, scale) of every vector that takes part: all usable ones. Vectors of several dimensions
-    may lie in one index; only equal dimensions are compared."""
+    """(vec_id, embedding, code, scale) of every vector that takes part: all usable ones, rows that repeat id and vector
+    once. Vectors of several dimensions may lie in one index; only equal dimensions are compared."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
 
     def run(batches):
         for pdf in batches:
@@ -77,7 +77,9 @@ def _parts(n: int) -> list[tuple[int, int]]:
 
 
 def _nearest(own: pd.DataFrame, asked: pd.DataFrame, k: int, errors: float) -> pd.DataFrame:
+    """Each query's k nearest ids of a block that holds all rows of its ids; an id counts by its best row."""
     found = []
+    own = own.sort_values("vec_id", kind="stable")
     dims = own["embedding"].map(len).to_numpy()
     for dim, queries in asked.groupby(asked["embedding"].map(len)):
         at = np.flatnonzero(dims == dim)
@@ -86,19 +88,32 @@ def _nearest(own: pd.DataFrame, asked: pd.DataFrame, k: int, errors: float) -> p
         ids, x = own["vec_id"].to_numpy()[at], matrix(own["embedding"].iloc[at], dim)
         codes = np.frombuffer(b"".join(own["code"].iloc[at]), np.uint8).reshape(len(at), -1)
         scale = own["scale"].to_numpy()[at]
+        # equal ids stand together; one that repeats is estimated by its best row
+        distinct, starts, counts = np.unique(ids, return_index=True, return_counts=True)
         for part in range(0, len(queries), QUERY_PART):
             q_ids, q = queries["vec_id"].to_numpy()[part : part + QUERY_PART], matrix(queries["embedding"].iloc[part : part + QUERY_PART], dim)
             got, bound = estimate(q, codes, scale, errors)
-            self_ = q_ids[:, None] == ids[None, :]
             enough = np.full((len(q), 1), -np.inf)
-            if len(at) > FIRST * k:
+            if len(distinct) > FIRST * k:
                 # exact cosines of the best estimates give a k-th best that the true one can't lie below
-                first = np.argpartition(np.where(self_, np.inf, -got), FIRST * k, axis=1)[:, : FIRST * k]
+                best = np.maximum.reduceat(got, starts, axis=1)
+                self_ = q_ids[:, None] == distinct[None, :]
+                first = np.argpartition(np.where(self_, np.inf, -best), FIRST * k, axis=1)[:, : FIRST * k]
+                self_ = np.take_along_axis(self_, first, 1)
+                if len(distinct) < len(ids):
+                    leads = np.where(got == np.repeat(best, counts, axis=1), np.arange(len(ids)), len(ids))
+                    first = np.take_along_axis(np.minimum.reduceat(leads, starts, axis=1), first, 1)
                 cos = cosines(np.repeat(q, FIRST * k, axis=0), x[first.ravel()]).reshape(len(q), -1)
-                cos = np.where(np.take_along_axis(self_, first, 1), -np.inf, cos)
+                cos = np.where(self_, -np.inf, cos)
                 enough = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero((got + bound >= enough) & ~self_)
+            i, j = np.nonzero((got + bound >= enough) & (q_ids[:, None] != ids[None, :]))
             cos = np.concatenate([cosines(q[i[at:to]], x[j[at:to]]) for at, to in _parts(len(i))])
+            if len(distinct) < len(ids):
+                order = np.lexsort((-cos, ids[j], i))
+                i, j, cos = i[order], j[order], cos[order]
+                lead = np.ones(len(i), bool)
+                lead[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
+                i, j, cos = i[lead], j[lead], cos[lead]
             order = np.lexsort((ids[j], -cos, i))
             i, j, cos = i[order], j[order], cos[order]
             first = np.searchsorted(i, np.arange(len(q)))
@@ -114,7 +129,7 @@ def search(
 
     Candidates with the query's own id are left out. Queries that are null, zero, not finite or without an id get no rows;
     of queries that repeat an id the least vector asks; vectors that repeat an id count once, by their best. Queries and
-    vectors meet in blocks, of which each hands on k rows a query.
+    vectors meet in blocks, of which each holds all rows of its ids and hands on k ids a query.
     """
     spark = index.sparkSession
     scratch = scratch or Scratch(spark, "ann")
@@ -128,9 +143,8 @@ def search(
     asked = asked.withColumn("q_block", deal(q_blocks)).withColumn("block", every(blocks))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(a, b, k + 1, errors).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return _nearest(a, b, k, errors).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     hits = own.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -149,6 +149,28 @@ def test_nearest(spark):
     assert ann.search(ann.build_index(vectors.limit(0)), vectors).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(2)]
+    for i in range(0, 300, 50):  # one near id stands in many rows, as copies and as vectors of its own
+        rows += [(1000 + i, (x[i] + 0.01 * rng.standard_normal(16)).tolist()) for _ in range(40)]
+        rows += [(1001 + i, (2 * x[i]).tolist())] * 8
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries_ = vectors.where("vec_id < 300 and vec_id % 50 = 0")
+    got = ann.search(ann.build_index(vectors), queries_, k=5).toPandas()
+    ids, y = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    u = y / np.linalg.norm(y, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        best = {}
+        for i, c in zip(ids.tolist(), (u @ (x[q] / np.linalg.norm(x[q]))).tolist()):
+            if i != q:
+                best[i] = max(c, best.get(i, -2))
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert own["vec_id"].tolist() == sorted(best, key=lambda i: (-round(best[i], 12), i))[:5]
+        assert np.allclose(own["score"], sorted(best.values(), reverse=True)[:5])
+
+
 # 3
 
 
