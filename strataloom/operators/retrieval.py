@@ -18,6 +18,8 @@ TEXT_K, VECTOR_K, FUSED_K, VECTOR_WEIGHT = 50, 10, 10, 0.6
 RERANKED = 5
 #: Scores are rounded, so that the order of summation decides no rank.
 DIGITS = 6
+#: Recall that a search in cells has to reach, and the queries that an audit of it asks at most.
+RECALL, AUDITED = 0.9, 400
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -145,15 +147,37 @@ def assigned(model, index: DataFrame, vector: str) -> DataFrame:
     return model.transform(_unit(index, vector)).drop("__unit")
 
 
-def nearest_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int = VECTOR_K) -> DataFrame:
-    """Like nearest(), over the `probes` cells whose centres are closest to a query. Only those are read from an index that
-    is stored by cell."""
+def _hits_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int) -> DataFrame:
+    """The k best hits over the `probes` cells closest to a query; `n` is the place of a hit's cell among them."""
     spark = queries.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, __c array<double>")
     # one row per cell
     far = queries.join(F.broadcast(centres), F.size("vector") == F.size("__c")).withColumn("d", cosine(F.col("vector"), F.col("__c")))
     n = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("d"), "cell"))
-    asked = far.withColumn("n", n).where(F.col("n") <= probes).select("query_id", "cell", F.col("vector").alias("__q"))
+    asked = far.withColumn("n", n).where(F.col("n") <= probes).select("query_id", "cell", "n", F.col("vector").alias("__q"))
     rows = in_cells.select("cell", F.col(key).alias("id"), F.col(vector).alias("__v"))
-    hits = rows.join(asked, "cell").select("query_id", "id", F.round(cosine(F.col("__q"), F.col("__v")), DIGITS).alias("score"))
-    return normalised(top(hits.where("score is not null"), k, F.desc("score"), F.asc("id")))
+    hits = rows.join(asked, "cell").select("query_id", "id", "n", F.round(cosine(F.col("__q"), F.col("__v")), DIGITS).alias("score"))
+    return top(hits.where("score is not null"), k, F.desc("score"), F.asc("id"))
+
+
+def nearest_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int = VECTOR_K) -> DataFrame:
+    """Like nearest(), over the `probes` cells whose centres are closest to a query. Only those are read from an index that
+    is stored by cell."""
+    return normalised(_hits_in_cells(model, in_cells, queries, key, vector, probes, k).drop("n"))
+
+
+def audited_probes(
+    model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, least: float = RECALL, audited: int = AUDITED, k: int = VECTOR_K
+) -> tuple[int, float]:
+    """(probes, recall): the fewest probes with which nearest_in_cells() finds a share of `least` or more of the k nearest
+    of about `audited` queries, told by an exact scan over all cells; all cells if there is nothing to tell by."""
+    cells_ = len(model.clusterCenters())
+    asked = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(audited)
+    hits = _hits_in_cells(model, in_cells, asked, key, vector, cells_, k)
+    by_place = {r["n"]: r["hits"] for r in hits.groupBy("n").agg(F.count("*").alias("hits")).collect()}
+    total, found = sum(by_place.values()), 0
+    for probes in range(1, cells_ + 1):
+        found += by_place.get(probes, 0)
+        if total and found >= least * total:
+            return probes, found / total
+    return cells_, 1.0

@@ -681,7 +681,9 @@ def base_expanded_query(t: Tables) -> DataFrame:
 def cells_top(t: Tables) -> DataFrame:
     index = _index(t)
     model = retrieval.cells(index, "embedding", 16)
-    return retrieval.nearest_in_cells(model, retrieval.assigned(model, index, "embedding"), _questions(t), "doc_id", "embedding", 8)
+    placed, asked = retrieval.assigned(model, index, "embedding"), _questions(t)
+    probes, _ = retrieval.audited_probes(model, placed, asked, "doc_id", "embedding")
+    return retrieval.nearest_in_cells(model, placed, asked, "doc_id", "embedding", probes)
 
 
 @query("""WITH kinds AS (

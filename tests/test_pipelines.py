@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.providers import Providers
 from strataloom.operators import graph, pipelines, retrieval
+from strataloom.plans import catalog
 
 TTP = {"technique_id": "T1", "name": "x", "chunk_number": 0, "relevance": 0.95, "have_code": True}
 
@@ -97,3 +98,10 @@ def test_cells(spark):
     exact = key(retrieval.nearest(queries, table, "vec_id", "embedding"))
     assert key(retrieval.nearest_in_cells(model, placed, queries, "vec_id", "embedding", 8)) == exact
     assert len(key(retrieval.nearest_in_cells(model, placed, queries, "vec_id", "embedding", 4)) & exact) >= 0.6 * len(exact)
+
+
+def test_cells_reach_the_recall_they_promise(spark):
+    t = catalog.Tables(spark, "/root/testdata/sf0.001")
+    key = lambda d: {(r["query_id"], r["id"], r["score"]) for r in d.collect()}
+    exact = key(retrieval.nearest(catalog._questions(t), catalog._index(t), "doc_id", "embedding"))
+    assert exact and len(key(catalog.cells_top(t)) & exact) >= 0.9 * len(exact)
