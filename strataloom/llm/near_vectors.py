@@ -2,7 +2,7 @@
 
 Equal vectors are one node first. Each shard's graph is built once and stored; blocks of vectors then ask every shard.
 A beam widens where it is full of links, and for a whole block where an audit against an exact scan of some queries finds
-links missing; where the widest beam still is full, the shard is scanned. Links are verified by cosine in double
+links or, where links are few, nearest neighbours missing; where the widest beam does not do, the shard is scanned. Links are verified by cosine in double
 precision, counted, and joined to components; only counts and spanning stars leave a task, never all pairs of a group.
 """
 
@@ -26,6 +26,11 @@ QUERY_BLOCK = 8192
 #: Neighbours a node keeps above the ground layer (twice as many on it), and beams for building and asking.
 DEGREE, BUILD_BEAM, BEAM = 16, 64, 64
 AUDITED, RECALL = 48, 0.995
+#: Links below which an audit asks for its queries' nearest neighbours too, and how many of these.
+EVIDENCE, NEAREST = 200, 5
+#: The widest beam for a whole block, and the rows a shard has to have for each place of it; else it is scanned, which
+#: is exact. Queries scanned at a time.
+WIDEST, BEAM_ROWS, SCAN_PART = 256, 128, 64
 
 
 class Graph:
@@ -176,8 +181,9 @@ class Graph:
         ask = np.arange(len(q))
         while len(ask):
             if ef * 4 >= len(self.x):
-                r, c = np.nonzero(q[ask] @ self.x.T >= least)
-                row.append(ask[r]), node.append(c)
+                for at in range(0, len(ask), SCAN_PART):
+                    r, c = np.nonzero(q[ask[at : at + SCAN_PART]] @ self.x.T >= least)
+                    row.append(ask[at + r]), node.append(c)
                 break
             ids, sims = self.search(q[ask], ef)
             full = sims[:, -1] >= least
@@ -215,19 +221,40 @@ def _load(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
         return Graph(got["x"], [got[x] for x in layers]), got["keys"], got["copies"], got["raw"]
 
 
+def _audited_beam(graph: Graph, keys: np.ndarray, q_keys: np.ndarray, q: np.ndarray, least: float) -> int:
+    """The narrowest beam that passes an audit against an exact scan of some queries, or all rows if none does or
+    the shard is small.
+
+    It has to find RECALL of their links, themselves aside, and where these are fewer than EVIDENCE also of their nearest
+    neighbours whatever the cosine, so that no audit passes on nothing.
+    """
+    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDITED]
+    sims = q[sample] @ graph.x.T
+    sims[q_keys[sample][:, None] == keys[None, :]] = -np.inf
+    linked, near = sims >= least, np.zeros(sims.shape, bool)
+    if linked.sum() < EVIDENCE:
+        few = min(NEAREST, sims.shape[1])
+        np.put_along_axis(near, np.argpartition(-sims, few - 1, axis=1)[:, :few], True, 1)
+        near &= ~np.isneginf(sims)
+    ef = BEAM
+    while ef <= WIDEST and ef * BEAM_ROWS < len(graph.x):
+        found = np.zeros(sims.shape, bool)
+        found[graph.links(q[sample], least, ef)] = True
+        if near.any():
+            ids, _ = graph.search(q[sample], ef)
+            r, c = np.nonzero(ids >= 0)
+            found[r, ids[r, c]] |= sims[r, ids[r, c]] < least
+        if all((found & want).sum() >= RECALL * want.sum() for want in (linked, near)):
+            return ef
+        ef *= 2
+    return len(graph.x)
+
+
 def _ask(graph: Graph, keys: np.ndarray, copies: np.ndarray, raw: np.ndarray, q_keys: np.ndarray, q_raw: np.ndarray, threshold: float) -> pd.DataFrame:
     """Per query the copies it links to in this shard, and stars that span the links found here."""
     least = threshold - 1e-4  # similarities here are in single precision
     q = unit(q_raw).astype(np.float32)
-    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDITED]
-    r, c = np.nonzero(q[sample] @ graph.x.T >= least)
-    truth = set(zip(sample[r].tolist(), c.tolist()))
-    ef = BEAM
-    while True:
-        found = set(zip(*(x.tolist() for x in graph.links(q[sample], least, ef))))
-        if not truth or len({(int(sample[i]), j) for i, j in found} & truth) >= RECALL * len(truth):
-            break
-        ef *= 2
+    ef = _audited_beam(graph, keys, q_keys, q, least)
     linked = np.zeros(len(q), np.int64)
     ends_a, ends_b = [], []
     names = np.concatenate([q_keys, keys])

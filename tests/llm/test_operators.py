@@ -132,6 +132,23 @@ def test_graph_recall():
     assert np.mean([len(set(order[a[:5]]) & set(b)) / 5 for a, b in zip(ids, best)]) >= 0.9
 
 
+def test_audit_without_links_widens(monkeypatch):
+    monkeypatch.setattr(near_vectors, "BEAM_ROWS", 4, raising=False)
+    rng = np.random.default_rng(6)
+    x, q = rng.standard_normal((1200, 16)), rng.standard_normal((2000, 16))
+    graph, order = near_vectors.Graph.build(near_vectors.unit(x), 1)
+    graph.adjacent = [np.where(a % 2 == 1, -1, a) for a in graph.adjacent]  # no edge leads to every other node
+    rare = np.random.default_rng(len(q)).permutation(len(q))[-5:]  # the audit's queries are the first of these
+    q[rare] = x[order][1:11:2] + 0.001
+    raw, keys = x[order], np.arange(len(x))
+    got = near_vectors._ask(graph, keys, np.ones(len(x), int), raw, 10_000 + np.arange(len(q)), q, 0.95)
+    u, v = near_vectors.unit(q), near_vectors.unit(raw)
+    want = (u @ v.T >= 0.95).sum(1)
+    assert want[rare].min() >= 1
+    linked = got.set_index("key")["linked"].reindex(10_000 + np.arange(len(q)), fill_value=0)
+    assert linked.tolist() == want.tolist()
+
+
 def test_nearest(spark):
     x, vectors = _vectors(spark)
     got = ann.search(ann.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5).toPandas()
