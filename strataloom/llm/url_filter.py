@@ -58,14 +58,20 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between hosts, from rows (host, html). A link without a host of its own stays on its page's."""
+def host_edges(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(src, dst, n, allow, block): links between hosts, from rows (host, html), and those whose own target a rule allows or
+    blocks. A link without a host of its own stays on its page's and is left to that page's rule, as is one to that host."""
     links = pages.where("host <> ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
     link = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
-    dst = F.when(link.rlike(r"^([A-Za-z][A-Za-z0-9+.\-]*)://"), host_of(link)).otherwise(
+    own = link.rlike(r"^([A-Za-z][A-Za-z0-9+.\-]*)://")
+    dst = F.when(own, host_of(link)).otherwise(
         F.when(F.col("link").rlike(r"^(mailto|javascript|data|tel):"), F.lit("")).otherwise(F.col("host"))
     )
-    return links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    edges = links.select(F.col("host").alias("src"), dst.alias("dst"), F.when(own, path_of(link)).alias("path")).where("dst <> ''")
+    verdict = F.when(F.col("path").isNotNull() & (F.col("src") != F.col("dst")), rule_of(F.col("dst"), F.col("path"), rules)["verdict"])
+    edges = edges.groupBy("src", "dst", verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    told = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")]
+    return edges.groupBy("src", "dst").agg(F.sum("n").alias("n"), *told)
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, steps: int) -> DataFrame:
@@ -100,15 +106,18 @@ def judge(
 
     Null urls and urls without `://` have empty host and path, no rule, and the verdict of an unknown host: allow. Null
     pages link nowhere. `trust` is the host's share of trust, 0.5 for a host that neither reaches. A host seeds trust by
-    the share of allowed pages among all allowed ones, distrust likewise; repeated rows count each.
+    the share of its allowed pages, and of links to it from other hosts whose target a rule allows, among all of these;
+    distrust likewise. So hosts without pages seed too. Repeated rows count each.
     """
     scratch = scratch or Scratch(pages.sparkSession, "urls")
     host, path = host_of(F.col(url)), path_of(F.col(url))
     base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
     base = base.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    edges = scratch.keep(host_edges(base), "edges")
+    edges = scratch.keep(host_edges(base, rules), "edges")
     ruled = base.where("hit is not null and host <> ''").groupBy("host", F.col("hit.verdict").alias("verdict")).agg(F.count("*").alias("n"))
-    ruled = scratch.keep(ruled, "seeds")
+    for verdict in ("allow", "block"):
+        ruled = ruled.unionByName(edges.where(F.col(verdict) > 0).select(F.col("dst").alias("host"), F.lit(verdict).alias("verdict"), F.col(verdict).alias("n")))
+    ruled = scratch.keep(ruled.groupBy("host", "verdict").agg(F.sum("n").alias("n")), "seeds")
     ranks = []
     for verdict, way in (("allow", edges), ("block", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
         own = ruled.where(F.col("verdict") == verdict)

@@ -399,6 +399,15 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_linked_hosts_without_pages_seed(spark):
+    rows = [
+        (1, "http://p.info/a", '<a href="http://spam.net/x">l</a>'), (2, "http://q.info/a", '<a href="//p.info/a">l</a>'), (3, "http://r.info/a", '<a href="/a">l</a>'),
+        (4, "http://s.info/a", '<a href="http://good.org/fr/a">l</a>'), (5, "http://good.org/en/a", '<a href="http://t.info/">l</a>'), (6, "http://t.info/", ""),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["trust"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("block", 0.0), 2: ("block", 0.0), 3: ("allow", 0.5), 4: ("allow", 0.5), 5: ("allow", 1.0), 6: ("allow", 1.0)}
+
+
 # pipeline
 
 
