@@ -176,11 +176,14 @@ def compare(sets: list[np.ndarray], side: np.ndarray, threshold: float, toleranc
 
 
 def _links(batches: Iterator[pd.DataFrame], words: int, threshold: float, tolerance: float) -> Iterator[pd.DataFrame]:
-    """Reads rows sorted by (group, pair) and yields (fp, linked, root) for each group and pair of blocks."""
+    """Reads rows sorted by (group, pair) and yields (fp, linked, root) for each group and pair of blocks; `same`
+    tells a block's pair with itself."""
     hold("ngram_join", _WORDS.clear)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame | None:
         pdf = pdf.drop_duplicates("fp")
+        if pdf["side"].nunique() == 1 and not pdf["same"].iloc[0]:
+            return None  # the other side is empty, and pairs inside this one are another task's
         sets = [shingles(t, words) for t in pdf["text"]]
         i, j = compare(sets, pdf["side"].to_numpy(), threshold, tolerance)
         if not len(i):
@@ -250,7 +253,7 @@ def similar_documents(
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = joined.select("grp", "blocks", "side", "fp", "copies", "text", other.alias("other"))
     pair = (F.least("side", "other").cast("long") * F.col("blocks") + F.greatest("side", "other")).alias("pair")
-    paired = paired.select("grp", pair, "side", "fp", "copies", "text")
+    paired = paired.select("grp", pair, "side", (F.col("side") == F.col("other")).alias("same"), "fp", "copies", "text")
     paired = paired.repartition("grp", "pair").sortWithinPartitions("grp", "pair", "side", "fp")
     stars = paired.mapInPandas(lambda b: _links(b, words, threshold, tolerance), "fp long, linked long, root long")
     stars = scratch.keep(stars, "stars")

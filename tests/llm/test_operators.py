@@ -373,6 +373,16 @@ def test_ngram_join(spark, odd, empty, monkeypatch):
     assert ngram_join.similar_documents(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
 
+def test_long_documents_on_one_side_link_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 150)  # two documents of 150 words are dealt to two sides
+    rows = []
+    for k in range(8):
+        base = [f"w{k}x{i}" for i in range(150)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-1]))]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (i // 2 * 2, 1) for i, _ in rows}
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     for n, least in ngram_join.least_matches():
         assert least <= n * 0.8
