@@ -36,7 +36,11 @@ RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
+#: STEPS are those of the SQL form, which can't iterate to the end.
 DAMPING, STEPS, THRESHOLD, DIGITS = 0.85, 12, 0.5, 9
+#: Ranks have settled when no host's differs by more than this share of itself between looks; rounds allowed until then,
+#: and rounds between two looks.
+TOLERANCE, ROUNDS, LOOK = 1e-9, 1000, 4
 
 
 def host_of(url: Column) -> Column:
@@ -74,28 +78,36 @@ def host_edges(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("n").alias("n"), *told)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, steps: int) -> DataFrame:
-    """(host, rank): `steps` rounds of rank = (1 - damping) seed + damping * what the edges (src, dst, n) bring.
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """(host, rank): rank = (1 - damping) seed + damping * what the edges (src, dst, n) bring, iterated from the seeds until
+    no host is new and no rank changes by more than `tolerance` of itself. An error if `rounds` rounds don't do.
 
     seeds: (host, seed) with seeds that sum to 1. What a host without an edge out would pass on is dropped.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("all"))
     share = scratch.keep(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")), "shares")
-    now = seeds.select("host", F.col("seed").alias("rank"))
-    for step in range(steps):
-        brought = share.join(now, share["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"))
-        kept = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-        now = kept.unionByName(brought).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % 4 == 3 and step + 1 < steps:
-            now = scratch.keep(now, "rank")
-    return scratch.keep(now, "rank")
+    kept = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
+    before = scratch.keep(seeds.select("host", F.col("seed").alias("rank")), "rank")
+    for _ in range(-(-rounds // LOOK)):
+        now = before
+        for _ in range(LOOK):
+            brought = share.join(now, share["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"))
+            now = kept.unionByName(brought).groupBy("host").agg(F.sum("rank").alias("rank"))
+        now = scratch.keep(now, "rank")
+        was = F.coalesce("was", F.lit(0.0))
+        moved = now.join(before.withColumnRenamed("rank", "was"), "host", "left").where(F.abs(F.col("rank") - was) > tolerance * F.col("rank"))
+        settled = moved.isEmpty()
+        scratch.drop(before)
+        if settled:
+            return now
+        before = now
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
 def judge(
     pages: DataFrame,
     rules: tuple[Rule, ...] = RULES,
     damping: float = DAMPING,
-    steps: int = STEPS,
     threshold: float = THRESHOLD,
     page_id: str = "page_id",
     url: str = "url",
@@ -123,7 +135,7 @@ def judge(
         own = ruled.where(F.col("verdict") == verdict)
         total = own.agg(F.sum("n")).first()[0] or 1
         seeds = own.select("host", (F.col("n") / F.lit(total)).alias("seed"))
-        ranks.append(propagate(way, seeds, scratch, damping, steps))
+        ranks.append(propagate(way, seeds, scratch, damping))
     trust = ranks[0].withColumnRenamed("rank", "t").join(ranks[1].withColumnRenamed("rank", "d"), "host", "full")
     t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
     # rounded, so that the order in which ranks are summed can't turn a verdict

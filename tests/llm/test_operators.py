@@ -418,6 +418,16 @@ def test_linked_hosts_without_pages_seed(spark):
     assert got == {1: ("block", 0.0), 2: ("block", 0.0), 3: ("allow", 0.5), 4: ("allow", 0.5), 5: ("allow", 1.0), 6: ("allow", 1.0)}
 
 
+def test_distrust_reaches_far_hosts(spark):
+    rows = [(0, "http://spam.net/", "")] + [(k, f"http://h{k}.info/", f'<a href="http://{f"h{k - 1}.info" if k > 1 else "spam.net"}/">l</a>') for k in range(1, 18)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r["verdict"], r["trust"]) for r in url_filter.judge(pages).collect()} == {("block", 0.0)}
+    seeds = spark.createDataFrame([("spam.net", 1.0)], "host string, seed double")
+    edges = spark.createDataFrame([(f"h{k - 1}.info" if k > 1 else "spam.net", f"h{k}.info", 1) for k in range(1, 18)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(edges, seeds, Scratch(spark), 0.85, rounds=8)
+
+
 # pipeline
 
 
