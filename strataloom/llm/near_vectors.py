@@ -1,14 +1,18 @@
 """Near-duplicate vectors: hierarchical navigable small-world graphs per shard, every shard asked for every vector.
 
-Equal vectors are one node first. Each shard's graph is built once and stored; blocks of vectors then ask every shard.
-A beam widens where it is full of links, and for a whole block where an audit against an exact scan of some queries finds
-links or, where links are few, nearest neighbours missing; where the widest beam does not do, the shard is scanned. Links are verified by cosine in double
-precision, counted, and joined to components; only counts and spanning stars leave a task, never all pairs of a group.
+Equal vectors are one node first. Each shard's graph is built once and stored; blocks of vectors then ask every shard. A
+beam is as narrow as audits allow: when a graph is built it has to find nodes again from probes turned away from them by
+the threshold's angle, and when a block of vectors asks, the links that an exact scan gives for some of them, themselves
+left out. So no audit is without links. A beam widens for a shard or a block until its audit passes, and for a single
+query while it is full of links; where the widest does not do, the shard is scanned. Links are verified by cosine in
+double precision, counted, and joined to components; only counts and spanning stars leave a task, never all pairs of a
+group.
 """
 
 from __future__ import annotations
 
 import io
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +24,18 @@ from .common import Scratch, connected_components
 from .vectors import cosines, matrix, unit, usable
 
 THRESHOLD = 0.95
-#: Shards at least; more where a shard would hold over SHARD_ROWS vectors.
-SHARDS, SHARD_ROWS = 6, 100_000
-QUERY_BLOCK = 8192
-#: Neighbours a node keeps above the ground layer (twice as many on it), and beams for building and asking.
-DEGREE, BUILD_BEAM, BEAM = 16, 64, 64
-AUDITED, RECALL = 48, 0.995
-#: Links below which an audit asks for its queries' nearest neighbours too, and how many of these.
-EVIDENCE, NEAREST = 200, 5
-#: The widest beam for a whole block, and the rows a shard has to have for each place of it; else it is scanned, which
-#: is exact. Queries scanned at a time.
-WIDEST, BEAM_ROWS, SCAN_PART = 256, 128, 64
+#: Shards at least; more where a shard's vectors and neighbours would take more than SHARD_BYTES.
+SHARDS, SHARD_BYTES = 3, 64 << 20
+#: Vectors that ask a shard in one task, in bytes: about as many as it holds, so that what is sent is least.
+QUERY_BYTES = 32 << 20
+#: Neighbours a node keeps above the ground layer (twice as many on it), and the beam for building.
+DEGREE, BUILD_BEAM = 16, 32
+#: The narrowest and widest beam, probes of a graph and queries of a block that an audit takes, and the recall it asks for.
+BEAM, WIDEST, PROBES, AUDITED, RECALL = 16, 512, 400, 48, 0.995
+#: Queries searched or scanned at a time.
+PART = 512
+
+log = logging.getLogger(__name__)
 
 
 class Graph:
@@ -176,22 +181,48 @@ class Graph:
         return self.beam(q, entry, min(ef, len(self.x)), 0)
 
     def links(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs with similarity of `least` or more. A beam that is full of them is widened, at last to all."""
+        """(query, node) pairs with similarity of `least` or more. A beam that is full of them is widened once; queries that
+        fill that too, or all if `ef` is no beam (0), are scanned."""
         row, node = [], []
         ask = np.arange(len(q))
-        while len(ask):
-            if ef * 4 >= len(self.x):
-                for at in range(0, len(ask), SCAN_PART):
-                    r, c = np.nonzero(q[ask[at : at + SCAN_PART]] @ self.x.T >= least)
-                    row.append(ask[at + r]), node.append(c)
+        for width in (ef, 4 * ef):
+            if not len(ask) or not 0 < width < len(self.x):
                 break
-            ids, sims = self.search(q[ask], ef)
+            ids, sims = self.search(q[ask], width)
             full = sims[:, -1] >= least
             r, c = np.nonzero((sims >= least) & ~full[:, None])
             row.append(ask[r]), node.append(ids[r, c])
-            ask, ef = ask[full], ef * 4
+            ask = ask[full]
+        for at in range(0, len(ask), 64):
+            r, c = np.nonzero(q[ask[at : at + 64]] @ self.x.T >= least)
+            row.append(ask[at + r]), node.append(c)
         return np.concatenate(row) if row else np.zeros(0, int), np.concatenate(node) if node else np.zeros(0, int)
 
+    def audit(self, q: np.ndarray, least: float, ef: int, own: np.ndarray | None = None) -> tuple[int, float]:
+        """(beam, recall): the narrowest beam from `ef` on that finds RECALL of the links which an exact scan gives for q,
+        the nodes that `own` marks for each aside; 0, which is a scan, if none does."""
+        true = q @ self.x.T >= least
+        if own is not None:
+            true &= ~own
+        while 0 < ef <= WIDEST:
+            found = np.zeros(true.shape, bool)
+            found[self.links(q, least, ef)] = True
+            recall = float((found & true).sum() / true.sum()) if true.any() else 1.0
+            if recall >= RECALL:
+                return ef, recall
+            ef *= 2
+        return 0, 1.0
+
+    def probes(self, seed: int, threshold: float, most: int = PROBES) -> np.ndarray:
+        """Vectors that have a cosine of `threshold` with nodes drawn at random: links that are known without a scan."""
+        rng = np.random.default_rng(seed)
+        x = self.x[rng.permutation(len(self.x))[:most]].astype(np.float64)
+        turn = rng.standard_normal(x.shape)
+        turn -= (turn * x).sum(1, keepdims=True) * x
+        size = np.sqrt((turn * turn).sum(1, keepdims=True))
+        turned = threshold * x + np.sqrt(1 - threshold**2) * turn / np.where(size > 1e-9, size, 1)
+        return np.where(size > 1e-9, turned, x).astype(np.float32)
+
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least index reachable from each of n nodes over edges (a, b)."""
@@ -211,57 +242,34 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _store(graph: Graph, keys: np.ndarray, copies: np.ndarray, raw: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, x=graph.x, keys=keys, copies=copies, raw=raw, **{f"layer{i}": a for i, a in enumerate(graph.adjacent)})
+    np.savez(out, keys=keys, copies=copies, raw=raw, **{f"layer{i}": a for i, a in enumerate(graph.adjacent)})
     return out.getvalue()
 
 
 def _load(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     with np.load(io.BytesIO(blob)) as got:
         layers = sorted(x for x in got.files if x.startswith("layer"))
-        return Graph(got["x"], [got[x] for x in layers]), got["keys"], got["copies"], got["raw"]
+        raw = got["raw"]
+        return Graph(unit(raw).astype(np.float32), [got[x] for x in layers]), got["keys"], got["copies"], raw
 
 
-def _audited_beam(graph: Graph, keys: np.ndarray, q_keys: np.ndarray, q: np.ndarray, least: float) -> int:
-    """The narrowest beam that passes an audit against an exact scan of some queries, or all rows if none does or
-    the shard is small.
-
-    It has to find RECALL of their links, themselves aside, and where these are fewer than EVIDENCE also of their nearest
-    neighbours whatever the cosine, so that no audit passes on nothing.
-    """
-    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDITED]
-    sims = q[sample] @ graph.x.T
-    sims[q_keys[sample][:, None] == keys[None, :]] = -np.inf
-    linked, near = sims >= least, np.zeros(sims.shape, bool)
-    if linked.sum() < EVIDENCE:
-        few = min(NEAREST, sims.shape[1])
-        np.put_along_axis(near, np.argpartition(-sims, few - 1, axis=1)[:, :few], True, 1)
-        near &= ~np.isneginf(sims)
-    ef = BEAM
-    while ef <= WIDEST and ef * BEAM_ROWS < len(graph.x):
-        found = np.zeros(sims.shape, bool)
-        found[graph.links(q[sample], least, ef)] = True
-        if near.any():
-            ids, _ = graph.search(q[sample], ef)
-            r, c = np.nonzero(ids >= 0)
-            found[r, ids[r, c]] |= sims[r, ids[r, c]] < least
-        if all((found & want).sum() >= RECALL * want.sum() for want in (linked, near)):
-            return ef
-        ef *= 2
-    return len(graph.x)
-
-
-def _ask(graph: Graph, keys: np.ndarray, copies: np.ndarray, raw: np.ndarray, q_keys: np.ndarray, q_raw: np.ndarray, threshold: float) -> pd.DataFrame:
+def _ask(
+    graph: Graph, keys: np.ndarray, copies: np.ndarray, raw: np.ndarray, q_keys: np.ndarray, q_raw: np.ndarray, threshold: float, ef: int
+) -> pd.DataFrame:
     """Per query the copies it links to in this shard, and stars that span the links found here."""
     least = threshold - 1e-4  # similarities here are in single precision
     q = unit(q_raw).astype(np.float32)
-    ef = _audited_beam(graph, keys, q_keys, q, least)
+    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDITED]
+    ef, _ = graph.audit(q[sample], least, ef, q_keys[sample][:, None] == keys[None, :])
     linked = np.zeros(len(q), np.int64)
     ends_a, ends_b = [], []
     names = np.concatenate([q_keys, keys])
-    for at in range(0, len(q), 512):
-        r, c = graph.links(q[at : at + 512], least, ef)
+    for at in range(0, len(q), PART):
+        r, c = graph.links(q[at : at + PART], least, ef)
         r = r + at
-        good = (cosines(q_raw[r], raw[c]) >= threshold) & (q_keys[r] != keys[c])
+        other = q_keys[r] != keys[c]
+        r, c = r[other], c[other]
+        good = cosines(q_raw[r], raw[c]) >= threshold
         r, c = r[good], c[good]
         linked += np.bincount(r, weights=copies[c], minlength=len(q)).astype(np.int64)
         # a spanning star of this batch keeps what is carried on as small as the nodes
@@ -274,6 +282,20 @@ def _ask(graph: Graph, keys: np.ndarray, copies: np.ndarray, raw: np.ndarray, q_
     return pd.DataFrame({"key": names[own], "linked": np.where(own < len(q), linked[np.minimum(own, len(q) - 1)], 0), "root": names[root[own]]})
 
 
+def _nodes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with `key`, stored distinct vectors by key, their number). A key is a hash; grouping goes by the vector too, and
+    another hash is tried should two vectors have got one key."""
+    for salt in range(20):
+        keyed = rows.withColumn("key", F.when(usable(F.col("embedding")), F.xxhash64(F.lit(salt), F.size("embedding"), "embedding")))
+        nodes = keyed.where("key is not null").groupBy("key", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+        nodes = scratch.keep(nodes.withColumn("dim", F.size("embedding")), "nodes")
+        n, keys = nodes.agg(F.count("*"), F.count_distinct("key")).first()
+        if n == keys:
+            return keyed, nodes, n
+        scratch.drop(nodes)
+    raise RuntimeError("no hash tells all vectors apart")
+
+
 def near_vectors(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
@@ -286,19 +308,16 @@ def near_vectors(
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0, a component of their
     own. Equal vectors, repeated rows included, link with each other. component_id is the least vec_id of the component,
-    nulls aside. Vectors of unequal dimension don't link. An empty table gives no rows.
+    nulls aside. Vectors of unequal dimension don't link, and huge or tiny components neither overflow nor vanish. Links
+    need a cosine of at least the threshold; ties play no part. Other columns are not looked at. An empty table gives no
+    rows.
     """
     scratch = scratch or Scratch(vectors.sparkSession, "near-vectors")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    key = F.when(usable(F.col("embedding")), F.xxhash64("embedding", F.size("embedding")))
-    rows = rows.withColumn("key", key)
-    nodes = rows.where("key is not null").groupBy("key").agg(
-        F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least")
-    )
-    nodes = scratch.keep(nodes.withColumn("dim", F.size("embedding")), "nodes")
-    n = nodes.count()
-    shards = max(shards, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    rows, nodes, n = _nodes(rows, scratch)
+    numbers = nodes.agg(F.sum("dim")).first()[0] or 0
+    shards = max(shards, -(-(8 * numbers + 8 * (DEGREE + 2) * n) // SHARD_BYTES))
+    blocks = max(1, -(-8 * numbers // QUERY_BYTES))
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -306,10 +325,14 @@ def near_vectors(
         dim, shard = int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0])
         raw = matrix(pdf["embedding"], dim)
         graph, order = Graph.build(unit(raw), shard)
+        beam, recall = graph.audit(graph.probes(shard, threshold), threshold - 1e-4, BEAM)
         blob = _store(graph, pdf["key"].to_numpy()[order], pdf["copies"].to_numpy()[order], raw[order])
-        return pd.DataFrame({"shard": [shard], "dim": [dim], "graph": [blob]})
+        return pd.DataFrame({"shard": [shard], "dim": [dim], "beam": [beam], "recall": [recall], "graph": [blob]})
 
-    graphs = scratch.keep(sharded.groupBy("shard", "dim").applyInPandas(grow, "shard int, dim int, graph binary"), "graphs")
+    grown = sharded.groupBy("shard", "dim").applyInPandas(grow, "shard int, dim int, beam int, recall double, graph binary")
+    graphs = scratch.keep(grown, "graphs")
+    told = graphs.agg(F.count("*"), F.min("recall"), F.max("beam"), F.sum((F.col("beam") == 0).cast("int"))).first()
+    log.info("%s graphs, recall of probes %s or more, beams of up to %s, %s scanned", *told)
     asked = nodes.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "dim", "block", "key", "embedding")
     held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -318,10 +341,11 @@ def near_vectors(
         if not len(a) or not len(b):
             return pd.DataFrame({"key": [], "linked": [], "root": []}).astype("int64")
         b = b.sort_values("key")
-        return _ask(*_load(a["graph"].iloc[0]), b["key"].to_numpy(), matrix(b["embedding"], int(b["dim"].iloc[0])), threshold)
+        return _ask(*_load(a["graph"].iloc[0]), b["key"].to_numpy(), matrix(b["embedding"], int(b["dim"].iloc[0])), threshold, int(a["beam"].iloc[0]))
 
     by = ["shard", "dim", "block"]
     stars = scratch.keep(held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(meet, "key long, linked long, root long"), "stars")
+    scratch.drop(graphs)
     linked = stars.groupBy("key").agg(F.sum("linked").alias("linked"))
     roots = connected_components(stars.select(F.col("key").alias("a"), F.col("root").alias("b")), scratch)
     per = nodes.select("key", "copies", "least").join(linked, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 _USABLE = """usable AS (
   SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda x, y: x + y)) AS norm
-  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) t
-  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(v, lambda x: x <> 0)) > 0
+  FROM (
+    SELECT vec_id, list_transform(w, lambda x: x / pow(2, floor(log2(list_max(list_transform(w, lambda y: abs(y))))))) AS v
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS w FROM embeddings) t
+    WHERE w IS NOT NULL AND len(w) > 0 AND len(list_filter(w, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(w, lambda x: x <> 0)) > 0
+  ) t
 )"""
 _DOT = "list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]), lambda x, y: x + y)"
 

@@ -26,12 +26,21 @@ def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def level(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between 1/2 and 1. Sums of squares then neither
+    overflow nor vanish, and a cosine keeps its bits, as powers of two round nothing."""
+    if not x.size:
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosines of original vectors."""
+    a, b = level(a), level(b)
     return sums(a, b) / (np.sqrt(sums(a, a)) * np.sqrt(sums(b, b)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length one, scaled first so that huge or tiny components neither overflow nor vanish."""
-    x = x / np.abs(x).max(1, keepdims=True)
+    """Rows of length one."""
+    x = level(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))

@@ -132,16 +132,44 @@ def test_graph_recall():
     assert np.mean([len(set(order[a[:5]]) & set(b)) / 5 for a, b in zip(ids, best)]) >= 0.9
 
 
-def test_audit_without_links_widens(monkeypatch):
-    monkeypatch.setattr(near_vectors, "BEAM_ROWS", 4, raising=False)
+def test_planted_clusters_in_large_shards(spark, monkeypatch):
+    """Graphs of about 3000 nodes, groups of 2, 30 and 500 among them: every link is found, by beams and not by scans."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((9000, 24))
+    at = 0
+    for size, times in ((2, 200), (30, 10), (500, 1)):
+        for _ in range(times):
+            x[at : at + size] = x[at] + 0.12 * rng.standard_normal((size, 24))
+            at += size
+    rows = [(i, v.tolist(), 1, 1, 1) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int, shard int, block int")
+    scratch = Scratch(spark)
+    kept = {}
+    keep = scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name: kept.setdefault(name, keep(df, name)) if name == "graphs" else keep(df, name))
+    monkeypatch.setattr(scratch, "drop", lambda *tables: None)
+    got = near_vectors.near_vectors(vectors, scratch=scratch).toPandas().sort_values("vec_id")
+    graphs = kept["graphs"].select("beam", "recall").toPandas()
+    assert len(graphs) == 3 and (graphs["beam"] > 0).all() and graphs["recall"].min() >= 0.99
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    assert near.sum(1).max() > 100
+    assert got["n_links"].tolist() == (near.sum(1) - 1).tolist()
+    root = near_vectors.local_roots(*np.nonzero(near), len(x))
+    assert got["component_id"].tolist() == root.tolist() and got["kept"].tolist() == (root == np.arange(len(x))).tolist()
+
+
+def test_audit_widens_at_last_to_a_scan():
     rng = np.random.default_rng(6)
     x, q = rng.standard_normal((1200, 16)), rng.standard_normal((2000, 16))
     graph, order = near_vectors.Graph.build(near_vectors.unit(x), 1)
     graph.adjacent = [np.where(a % 2 == 1, -1, a) for a in graph.adjacent]  # no edge leads to every other node
-    rare = np.random.default_rng(len(q)).permutation(len(q))[-5:]  # the audit's queries are the first of these
+    beam, recall = graph.audit(graph.probes(1, 0.95), 0.9499, near_vectors.BEAM)
+    assert beam == 0 and recall == 1
+    rare = np.random.default_rng(len(q)).permutation(len(q))[-5:]  # an audit's own queries are the first of these
     q[rare] = x[order][1:11:2] + 0.001
     raw, keys = x[order], np.arange(len(x))
-    got = near_vectors._ask(graph, keys, np.ones(len(x), int), raw, 10_000 + np.arange(len(q)), q, 0.95)
+    got = near_vectors._ask(graph, keys, np.ones(len(x), int), raw, 10_000 + np.arange(len(q)), q, 0.95, beam)
     u, v = near_vectors.unit(q), near_vectors.unit(raw)
     want = (u @ v.T >= 0.95).sum(1)
     assert want[rare].min() >= 1
@@ -149,6 +177,21 @@ def test_audit_without_links_widens(monkeypatch):
     assert linked.tolist() == want.tolist()
 
 
+EXTREME = [(1, [1e200, 1e200, 0.0]), (2, [2e200, 2e200, 0.0]), (3, [1e-200, 1e-200, 0.0]), (4, [1.0, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (6, [1e-310, 1e-310, 0.0])]
+
+
+def test_huge_and_tiny_components(spark):
+    clashing = "vec_id long, embedding array<double>, query_id int, score string, rank int, dim int, code int, key int, n int, copies int, least int"
+    vectors = spark.createDataFrame([(*r, *[7] * 1, "x", *[7] * 7) for r in EXTREME], clashing)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(vectors).collect()}
+    assert got == {i: (4, 1) for i in (1, 2, 3, 4, 6)} | {5: (0, 5)}
+    for r in ann.search(ann.build_index(vectors), vectors, k=5).collect():
+        assert r["score"] == pytest.approx(0.0 if 5 in (r["query_id"], r["vec_id"]) else 1.0)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {v}::DOUBLE[])" for i, v in EXTREME) + ") t(vec_id, embedding)")
+    assert {r[0]: r[1] for r in con.sql(queries.oracle_sql()["op2_near_vectors"]).fetchall()} == {i: n for i, (n, _) in got.items()}
+
+
 def test_nearest(spark):
     x, vectors = _vectors(spark)
     got = ann.search(ann.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5).toPandas()
@@ -166,6 +209,26 @@ def test_nearest(spark):
     assert ann.search(ann.build_index(vectors.limit(0)), vectors).count() == 0
 
 
+def test_bounds_hold():
+    rng = np.random.default_rng(9)
+    x, q = rng.standard_normal((3000, 64)), rng.standard_normal((200, 64))
+    packed, scale = ann.encode(x)
+    codes = ann.Codes(packed, scale, 64)
+    cos = near_vectors.unit(q) @ near_vectors.unit(x).T
+    off = np.abs(codes.estimate(q) - cos)
+    assert (off > codes.bound).mean() < 1e-4 and codes.bound.mean() < 0.2
+
+
+def test_nearest_of_many_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 16))
+    x[1000:2000] = x[1000]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(ann.build_index(vectors), vectors.where("vec_id in (1000, 1500, 7)"), k=5).toPandas()
+    own = {q: g.sort_values("rank")["vec_id"].tolist() for q, g in got.groupby("query_id")}
+    assert own[1000] == [1001, 1002, 1003, 1004, 1005] and own[1500] == [1000, 1001, 1002, 1003, 1004] and len(own[7]) == 5
+
+
 def test_nearest_of_repeated_ids(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((300, 16))
