@@ -2,23 +2,24 @@
 
 Documents are sets of five-word shingles; equal sets are one class. MinHash bands deal classes to buckets; what shares
 buckets, directly or through others, forms a candidate group. Inside a group, pairs are compared by MinHash values some at
-a time and dropped once the posterior probability that their similarity reaches the threshold falls below a tolerance; the
-rest are verified on the sets themselves. Large groups are dealt as pairs of blocks. Pairs never become rows: counts of
-links and spanning stars leave a task.
+a time and dropped once the posterior probability that their similarity reaches the threshold falls below a tolerance. At
+first only MinHash values travel, to tell the classes that have a pair left; the shingles of these alone follow and verify
+the pairs exactly. Groups are dealt as pairs of blocks that grow with the root of the group. Pairs never become rows: counts
+of links and spanning stars leave a task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, hold
+from .common import Scratch, connected_components, hold, small
 from .near_vectors import local_roots
 
 WORDS, THRESHOLD = 5, 0.8
@@ -27,8 +28,11 @@ BANDS, BAND_ROWS = 32, 6
 HASHES = BANDS * BAND_ROWS
 #: MinHash values compared before each look at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-7
-#: Documents and shingles in one block of a candidate group, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Classes in one block of a candidate group: the larger of the first and the second times the root of the group's; and
+#: shingles in one block, about.
+BLOCK_DOCS, BLOCK_ROOT, BLOCK_SHINGLES = 256, 10, 4_000_000
+#: Rows of a few numbers below which a table of documents' keys is broadcast, after a count.
+KEYS = 200_000
 #: Words whose hashes a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 600_000
 SLICE_CHARS = 4_000_000
@@ -92,15 +96,6 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(signs: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key per band; keys of different bands differ."""
-    parts = signs.reshape(len(signs), BANDS, BAND_ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE[10], parts.shape[:2]).copy()
-    for r in range(BAND_ROWS):
-        key = _mix(key + (parts[:, :, r] + np.uint64(1)) * _PLACE[11 + r])
-    return key.view(np.int64)
-
-
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(values compared, matches below which a pair is dropped): with a uniform prior the similarity's posterior after m
     matches of n is Beta(m + 1, n - m + 1), which exceeds t with the probability that n + 1 draws of chance t give at most m."""
@@ -117,6 +112,10 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 def _signatures(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """(doc_id, text_hash, hi, lo, n, sign): a 128-bit hash of a text's shingles, their number and the lower halves of the
+    MinHash values; a false match of two halves is as rare as 1 in 65536 and only lets a pair live longer."""
+    import xxhash
+
     hold("ngram_join", _WORDS.clear)
     for pdf in batches:
         texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
@@ -124,36 +123,40 @@ def _signatures(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.Data
         for i, text in enumerate(texts):
             chars += len(text)
             if chars >= SLICE_CHARS or i + 1 == len(texts):
-                import xxhash
-
                 part = slice(begin, i + 1)
                 sets = [shingles(t, words) for t in texts[part]]
-                keys = bands(minhashes(sets))
-                fp = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None for s in sets]
+                signs = minhashes(sets).astype("<u2")
+                key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
+                n = np.array([len(s) for s in sets])
                 yield pd.DataFrame(
                     {
-                        "doc_id": pdf["doc_id"].array[part], "text_hash": pdf["text_hash"].array[part], "fp": pd.array(fp, "Int64"),
-                        "n": [len(s) for s in sets], "bands": [k if len(s) else k[:0] for k, s in zip(keys, sets)],
+                        "doc_id": pdf["doc_id"].array[part], "text_hash": pdf["text_hash"].array[part], "hi": key[:, 0], "lo": key[:, 1],
+                        "n": n, "sign": [r.tobytes() if k else None for r, k in zip(signs, n)],
                     }
                 )
                 begin, chars = i + 1, 0
 
 
-def compare(sets: list[np.ndarray], side: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of sets whose Jaccard similarity is `threshold` or more: all pairs if there is one side, else those
-    across the two sides."""
-    signs, looks = minhashes(sets), least_matches(threshold, tolerance)
-    size = np.array([len(s) for s in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    first = np.cumsum(size) - size
-    flag = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-    two = side.min() != side.max()
+def _buckets(sign: Column) -> Column:
+    """One key per band of a signature."""
+    width = 2 * BAND_ROWS
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substr(sign, b * width + 1, F.lit(width))))
+
+
+def candidates(
+    signs: np.ndarray, size: np.ndarray, side: np.ndarray, threshold: float, tolerance: float, marked: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): pairs that sizes and MinHash values leave over, all pairs if there is one side, else those across the two.
+    Given `marked`, sets that have a pair left are marked in it and pairs of two marked ones aren't looked at again."""
+    looks = least_matches(threshold, tolerance)
+    two = len(side) > 0 and side.min() != side.max()
     others = np.flatnonzero(side != side.min()) if two else None
-    out_i, out_j = [], []
-    for i in np.flatnonzero(side == side.min()) if two else range(len(sets)):
-        js = others if two else np.arange(i + 1, len(sets))
-        small, large = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
-        js = js[small >= threshold * large - 1e-9]
+    for i in np.flatnonzero(side == side.min()) if two else range(len(size)):
+        js = others if two else np.arange(i + 1, len(size))
+        if marked is not None and marked[i]:
+            js = js[~marked[js]]
+        low, high = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
+        js = js[low >= threshold * high - 1e-9]
         matches, done = np.zeros(len(js), np.int64), 0
         for n, least in looks:
             if not len(js):
@@ -161,8 +164,21 @@ def compare(sets: list[np.ndarray], side: np.ndarray, threshold: float, toleranc
             matches = matches + (signs[js, done:n] == signs[i, done:n]).sum(1)
             keep = matches >= least
             js, matches, done = js[keep], matches[keep], n
-        if not len(js):
-            continue
+        if len(js):
+            if marked is not None:
+                marked[i] = marked[js] = True
+            yield i, js
+
+
+def compare(sets: list[np.ndarray], signs: np.ndarray, side: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets whose Jaccard similarity is `threshold` or more: all pairs if there is one side, else those
+    across the two sides."""
+    size = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    flag = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    out_i, out_j = [], []
+    for i, js in candidates(signs, size, side, threshold, tolerance):
         own = flat[first[i] : first[i] + size[i]]
         flag[own] = True
         lens = size[js]
@@ -175,38 +191,72 @@ def compare(sets: list[np.ndarray], side: np.ndarray, threshold: float, toleranc
     return np.concatenate(out_i) if out_i else np.zeros(0, int), np.concatenate(out_j) if out_j else np.zeros(0, int)
 
 
-def _links(batches: Iterator[pd.DataFrame], words: int, threshold: float, tolerance: float) -> Iterator[pd.DataFrame]:
-    """Reads rows sorted by (group, pair) and yields (fp, linked, root) for each group and pair of blocks; `same`
-    tells a block's pair with itself."""
-    hold("ngram_join", _WORDS.clear)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        pdf = pdf.drop_duplicates("fp")
-        if pdf["side"].nunique() == 1 and not pdf["same"].iloc[0]:
-            return None  # the other side is empty, and pairs inside this one are another task's
-        sets = [shingles(t, words) for t in pdf["text"]]
-        i, j = compare(sets, pdf["side"].to_numpy(), threshold, tolerance)
-        if not len(i):
-            return None
-        fp, copies = pdf["fp"].to_numpy(), pdf["copies"].to_numpy()
-        linked = np.bincount(i, copies[j], len(fp)) + np.bincount(j, copies[i], len(fp))
-        own = np.unique(np.concatenate([i, j]))
-        return pd.DataFrame({"fp": fp[own], "linked": linked[own].astype(np.int64), "root": fp[local_roots(i, j, len(fp))[own]]})
-
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        mark = (pdf["grp"].to_numpy(), pdf["pair"].to_numpy())
-        cuts = np.flatnonzero((mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1])) + 1
-        for part in np.split(np.arange(len(pdf)), cuts):
-            own = pdf.iloc[part]
-            if held and len(own) and (held[0]["grp"].iloc[0] != own["grp"].iloc[0] or held[0]["pair"].iloc[0] != own["pair"].iloc[0]):
-                if (got := whole(pd.concat(held))) is not None:
-                    yield got
-                held = []
-            if len(own):
-                held.append(own)
-    if held and (got := whole(pd.concat(held))) is not None:
-        yield got
+def _signs(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), -1)
+
+
+def _left_over(pdf: pd.DataFrame, threshold: float, tolerance: float) -> pd.DataFrame | None:
+    """(grp, pair, fp) for the classes of two blocks that MinHash values leave a pair to."""
+    marked = np.zeros(len(pdf), bool)
+    for _ in candidates(_signs(pdf["sign"]), pdf["n"].to_numpy(), pdf["side"].to_numpy(), threshold, tolerance, marked):
+        pass
+    return pdf.loc[marked, ["grp", "pair", "fp"]] if marked.any() else None
+
+
+def _links(pdf: pd.DataFrame, threshold: float, tolerance: float) -> pd.DataFrame | None:
+    """(fp, linked, root) for the classes of two blocks that link."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    i, j = compare(sets, _signs(pdf["sign"]), pdf["side"].to_numpy(), threshold, tolerance)
+    if not len(i):
+        return None
+    fp, copies = pdf["fp"].to_numpy(), pdf["copies"].to_numpy()
+    linked = np.bincount(i, copies[j], len(fp)) + np.bincount(j, copies[i], len(fp))
+    own = np.unique(np.concatenate([i, j]))
+    return pd.DataFrame({"fp": fp[own], "linked": linked[own].astype(np.int64), "root": fp[local_roots(i, j, len(fp))[own]]})
+
+
+def _by_pair(rows: DataFrame, schema: str, task: Callable[[pd.DataFrame], pd.DataFrame | None]) -> DataFrame:
+    """What `task` gives for each pair of blocks, from rows that are read in order of (group, pair). A pair of two blocks of
+    which one is empty is left out: pairs inside the other belong to that block's pair with itself (`same`)."""
+
+    def whole(held: list[pd.DataFrame]) -> pd.DataFrame | None:
+        pdf = pd.concat(held, ignore_index=True)
+        return task(pdf) if len(pdf) > 1 and (pdf["same"].iloc[0] or pdf["side"].nunique() > 1) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("ngram_join", _WORDS.clear)
+        held: list[pd.DataFrame] = []
+        mark = None
+        for pdf in batches:
+            grp, pair = pdf["grp"].to_numpy(), pdf["pair"].to_numpy()
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (pair[1:] != pair[:-1])) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(pdf)]):
+                if to > at and mark != (grp[at], pair[at]):
+                    if held and (got := whole(held)) is not None:
+                        yield got
+                    held, mark = [], (grp[at], pair[at])
+                held.append(pdf.iloc[at:to])
+        if held and (got := whole(held)) is not None:
+            yield got
+
+    return rows.repartition("grp", "pair").sortWithinPartitions("grp", "pair", "side", "fp").mapInPandas(run, schema)
+
+
+def _classes(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(signed with `fp`, stored classes by fp). fp is a 64-bit hash of the 128-bit one; another is tried should two classes
+    have got the same."""
+    for salt in range(20):
+        keyed = signed.withColumn("fp", F.when(F.col("n") > 0, F.xxhash64(F.lit(salt), "hi", "lo")))
+        per_class = keyed.where("n > 0").groupBy("hi", "lo").agg(
+            F.first("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("rep"),
+            F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sign").alias("sign"),
+        )
+        classes = scratch.keep(per_class.drop("hi", "lo"), "classes")
+        n, keys = classes.agg(F.count("*"), F.count_distinct("fp")).first()
+        if n == keys:
+            return keyed, classes
+        scratch.drop(classes)
+    raise RuntimeError("no hash tells all classes apart")
 
 
 def similar_documents(
@@ -223,7 +273,9 @@ def similar_documents(
     class_id is the least doc_id among all documents that links of similarity >= threshold connect (class_hash tells rows
     of one id apart); copies the documents with the same shingles, itself included; n_links the other documents linked
     directly, copies included. Documents without a word, null or empty, link with nothing and are classes of their own.
-    Texts of fewer than `words` words are one shingle. Rows that repeat are copies. An empty table gives no rows.
+    Texts of fewer than `words` words are one shingle. Very long texts are read whole; a task holds the shingles of two
+    blocks, at least of two documents. Rows that repeat are copies. Other columns are not looked at. An empty table gives
+    no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -232,35 +284,45 @@ def similar_documents(
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _signatures((b.assign(doc_id=b["doc_id"].astype("Int64")) for b in batches), words)
 
-    signed = scratch.keep(rows.mapInPandas(sign, "doc_id long, text_hash long, fp long, n long, bands array<long>"), "signed")
-    per_class = signed.where("fp is not null").groupBy("fp").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("rep"),
-        F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-    )
-    classes = scratch.keep(per_class, "classes")
-    dealt = classes.select("fp", F.explode("bands").alias("bucket"))
+    signed = scratch.keep(rows.mapInPandas(sign, "doc_id long, text_hash long, hi long, lo long, n long, sign binary"), "signed")
+    signed, classes = _classes(signed, scratch)
+    dealt = classes.select("fp", F.explode(_buckets(F.col("sign"))).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m <> x").select("bucket", "m")
     met = dealt.join(shared, "bucket").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
     groups = scratch.keep(connected_components(met, scratch), "groups")
-    members = groups.select(F.col("node").alias("fp"), F.col("root").alias("grp")).join(classes.drop("bands"), "fp")
+    members = groups.select(F.col("node").alias("fp"), F.col("root").alias("grp")).join(classes, "fp")
     sizes = members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    block = F.greatest(F.lit(float(BLOCK_DOCS)), BLOCK_ROOT * F.sqrt("docs"))
+    blocks = F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     members = members.join(sizes.select("grp", blocks.cast("int").alias("blocks")), "grp")
     members = scratch.keep(members.withColumn("side", F.pmod(F.xxhash64("fp", "grp"), F.col("blocks")).cast("int")), "members")
-    key = members.select("fp", "copies", "grp", "blocks", "side", F.col("rep.doc_id").alias("m_id"), F.col("rep.text_hash").alias("m_hash"))
-    # candidates are the small side of the join: they are hashed, so whole texts need no sorting
-    joined = rows.join(key.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(key["m_id"]) & (rows["text_hash"] == key["m_hash"]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = joined.select("grp", "blocks", "side", "fp", "copies", "text", other.alias("other"))
+    paired = members.select("grp", "blocks", "side", "fp", "copies", "n", "sign", "rep", other.alias("other"))
     pair = (F.least("side", "other").cast("long") * F.col("blocks") + F.greatest("side", "other")).alias("pair")
-    paired = paired.select("grp", pair, "side", (F.col("side") == F.col("other")).alias("same"), "fp", "copies", "text")
-    paired = paired.repartition("grp", "pair").sortWithinPartitions("grp", "pair", "side", "fp")
-    stars = paired.mapInPandas(lambda b: _links(b, words, threshold, tolerance), "fp long, linked long, root long")
+    paired = paired.select("grp", pair, "side", (F.col("side") == F.col("other")).alias("same"), "fp", "copies", "n", "sign")
+    left = _by_pair(paired, "grp long, pair long, fp long", lambda pdf: _left_over(pdf, threshold, tolerance))
+    left = scratch.keep(left, "left")
+    wanted = members.join(left.select("fp").distinct(), "fp", "left_semi")
+    key = wanted.select("fp", F.col("rep.doc_id").alias("m_id"), F.col("rep.text_hash").alias("m_hash"))
+    key = small(scratch.keep(key, "wanted"), KEYS)
+    found = rows.join(key, rows["doc_id"].eqNullSafe(key["m_id"]) & (rows["text_hash"] == key["m_hash"])).select("fp", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("ngram_join", _WORDS.clear)
+        for pdf in batches:
+            yield pd.DataFrame({"fp": pdf["fp"], "shingles": [shingles(t, words).tobytes() for t in pdf["text"]]})
+
+    # rows that repeat id and text give their class's shingles more than once
+    sets = scratch.keep(found.mapInPandas(cut, "fp long, shingles binary").dropDuplicates(["fp"]), "shingles")
+    verify = paired.join(left, ["grp", "pair", "fp"], "left_semi").drop("n").join(sets, "fp")
+    stars = _by_pair(verify, "fp long, linked long, root long", lambda pdf: _links(pdf, threshold, tolerance))
     stars = scratch.keep(stars, "stars")
+    scratch.drop(sets, members, left)
     linked = stars.groupBy("fp").agg(F.sum("linked").alias("linked"))
     roots = connected_components(stars.select(F.col("fp").alias("a"), F.col("root").alias("b")), scratch)
     per = classes.select("fp", "copies", "rep").join(linked, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     per = scratch.keep(per.withColumn("root", F.coalesce("root", "fp")), "per-class")
+    scratch.drop(classes)
     first = per.groupBy("root").agg(F.min("rep").alias("first"))
     per = per.join(first, "root").select("fp", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first")
     out = signed.select("doc_id", "text_hash", "fp").join(per, "fp", "left")
@@ -276,17 +338,16 @@ def similar_documents(
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **how) -> DataFrame:
     """docs with one row of each class: that of the least doc_id; of rows that repeat id and text, one. Documents without
-    a word all stay. Columns stay as they are."""
+    a word all stay. Columns stay as they are. What goes is told to the documents, not what stays, as it is less."""
     scratch = scratch or Scratch(docs.sparkSession, "one-of-each")
     told = similar_documents(docs, doc_id=doc_id, text=text, scratch=scratch, **how)
-    keys = told.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("class_hash")))
-    keys = scratch.keep(keys.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")), "kept")
-    keys = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("rows").alias("__rows"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("class_hash"))
+    marks = told.where(F.col("copies") + F.col("n_links") > 1).groupBy("doc_id", "text_hash").agg(F.max(first).alias("__first"), F.count("*").alias("n"))
+    marks = marks.where("not __first or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__first")
+    marks = small(scratch.keep(marks, "marks"), KEYS)
     hashed = docs.withColumn("__text", F.xxhash64(F.col(text).cast("string")))
-    found = hashed.join(
-        keys.hint("shuffle_hash"), hashed[doc_id].cast("long").eqNullSafe(keys["__id"]) & (hashed["__text"] == keys["__hash"])
-    ).drop("__text", "__id", "__hash")
-    single = found.where("__rows = 1").drop("__rows")
-    has_word = F.coalesce(F.col(text).rlike(r"[\p{L}\p{N}_]"), F.lit(False))
-    more = found.where("__rows > 1").drop("__rows")
-    return single.unionByName(more.where(~has_word)).unionByName(more.where(has_word).dropDuplicates([doc_id, text]))
+    found = hashed.join(marks, hashed[doc_id].cast("long").eqNullSafe(marks["__id"]) & (hashed["__text"] == marks["__hash"]), "left")
+    found = found.drop("__text", "__id", "__hash")
+    alone = found.where("__first is null").drop("__first")
+    repeated = found.where("__first").drop("__first").dropDuplicates([doc_id, text])
+    return alone.unionByName(repeated)
