@@ -19,12 +19,15 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder; a new local one
+    where neither is set and all runs on one machine (tests). An error on a cluster that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         ctx = spark.sparkContext
         found = ctx._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not (ctx.master or "").startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             ctx.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
             found = ctx._jsc.sc().getCheckpointDir()
         root = found.get()
@@ -34,11 +37,15 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables as Parquet in the shared folder. Losing an executor loses none of them.
 
-    Tables that a returned DataFrame still reads stay until clear() is called by the owner.
+    Tables that a returned DataFrame still reads stay until clear() is called by the owner, or, for all that were opened
+    since, clear_since() by one who has stored the result.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str = "work"):
         ship(spark)
+        Scratch.opened.append(self)
         self.spark, self.n = spark, 0
         self.root = f"{shared_root(spark)}/strataloom/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -62,6 +69,14 @@ class Scratch:
 
     def clear(self) -> None:
         self._delete(self.root)
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+
+    @staticmethod
+    def clear_since(n: int) -> None:
+        """Clears what was opened after the first n."""
+        for scratch in Scratch.opened[n:]:
+            scratch.clear()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm

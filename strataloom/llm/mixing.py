@@ -100,8 +100,24 @@ def solve_tilts(hist: DataFrame, targets: DataFrame, scratch: Scratch, cap: floa
         now = after.drop("off")
         scratch.paths[id(now)] = scratch.paths.pop(id(after))
         if worst is None or worst <= tol:
-            break
-    return now
+            return now
+    raise RuntimeError(f"a source's words are off by {worst:.2e} of its target after {steps} steps")
+
+
+def _repeated(rows: DataFrame, times: str, nth: str) -> DataFrame:
+    """Each row as often as `times` says, numbered from 0; in two steps, so that no array is long."""
+    parts = rows.withColumn("__part", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / CHUNK))))
+    first = F.col("__part") * CHUNK
+    return parts.withColumn(nth, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(times)) - 1))).drop("__part")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (sn, sk, doc_id, carried, size, docs, ...) with the rounding chunk of each. Equal rows are numbered among
+    themselves, so that they too spread over all chunks of their source, alike in every run."""
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("__same"))
+    each = _repeated(same, "__same", "__nth")
+    chunk = F.pmod(F.xxhash64("doc_id", "carried", "size", "__nth"), F.ceil(F.col("docs") / F.lit(CHUNK)))
+    return each.withColumn("chunk", chunk).drop("__same", "__nth")
 
 
 def mix(
@@ -120,8 +136,10 @@ def mix(
     `carried` is a column of the caller's (long), or 0.
 
     Sources stand in code-point order, null last, and take `weights` in turn. Null or empty texts have size 0, rate 0 and
-    no copy. Rows that repeat are rows of their own. Sources whose texts are all empty have target 0. An empty table
-    gives an empty result. Equal input gives equal output: chunks and orders come from hashes and values alone.
+    no copy. Rows that repeat are rows of their own. Of documents of one size, which of them is taken more often is left
+    to their ids. Very long texts are counted whole; one that is larger than its source's target may be taken or not.
+    Sources whose texts are all empty have target 0. An empty table gives an empty result. Equal input gives equal output:
+    chunks and orders come from hashes and values alone. An error if a tilt can't be found.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     sn, sk = null_key(F.col(source).cast("string"))
@@ -146,8 +164,7 @@ def mix(
     rate = F.when(F.col("size") == 0, 0.0).otherwise(
         F.coalesce("edge", _rate(F.col("tilt"), F.col("size") / F.col("mean"), cap))
     )
-    chunks = F.ceil(F.col("docs") / F.lit(CHUNK))
-    rated = rated.withColumn("rate", rate).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "carried", "size"), chunks))
+    rated = _dealt(rated.withColumn("rate", rate).select("sn", "sk", "doc_id", "carried", "size", "rate", "docs", "source_size", "target"))
     item = F.struct((-F.col("size")).alias("by"), "doc_id", "carried", "size", "rate")
     grouped = rated.groupBy("sn", "sk", "chunk").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sort_array(F.collect_list(item)).alias("items")
@@ -179,10 +196,12 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     scratch = scratch or Scratch(docs.sparkSession, "mixture")
     mark = F.xxhash64(F.col(doc_id), F.col(text), F.col(source))
     taken = mix(docs, doc_id=doc_id, text=text, source=source, carry=mark, scratch=scratch, **how)
-    keys = taken.where("copies > 0").groupBy("carried").agg(F.sum("copies").cast("int").alias("__copies"))
-    rows = docs.groupBy(mark.alias("carried")).agg(F.count("*").alias("__rows"))
-    keys = scratch.keep(keys.join(rows, "carried").withColumnRenamed("carried", "__mark"), "copies")
-    found = docs.withColumn("__own", mark).join(keys.hint("shuffle_hash"), F.col("__own") == F.col("__mark")).drop("__own")
-    single, more = found.where("__rows = 1"), found.where("__rows > 1").dropDuplicates(["__mark"])
+    # a row is known by its id and this hash; rows that share both are told apart by their values once more
+    keys = taken.groupBy("doc_id", "carried").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    keys = keys.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("carried").alias("__mark"), "__copies", "__rows")
+    keys = scratch.keep(keys, "copies")
+    own = docs.withColumn("__own", mark)
+    found = own.join(keys.hint("shuffle_hash"), (F.col("__own") == F.col("__mark")) & own[doc_id].eqNullSafe(keys["__id"])).drop("__own", "__id")
+    single, more = found.where("__rows = 1"), found.where("__rows > 1").dropDuplicates(["__mark", doc_id, text, source])
     both = single.unionByName(more).drop("__mark", "__rows")
-    return both.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+    return _repeated(both, "__copies", "__nth").drop("__copies", "__nth")
