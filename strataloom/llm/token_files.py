@@ -84,6 +84,12 @@ class Writer:
         self.store.move(self.temp, self.path)
 
 
+    def abandon(self) -> None:
+        """Removes what a failed task has written."""
+        self.out.close()
+        self.store.delete_file(self.temp)
+
+
 class Reader:
     """Reads one file. Frames are decompressed as documents of theirs are asked for, each checked against the table."""
 
@@ -141,7 +147,8 @@ def write_token_files(
     docs: DataFrame, folder: str, vocab: str = WORD_FILE, end_id: int = 1, file_docs: int = FILE_DOCS, doc_id: str = "doc_id", text: str = "text", n_docs: int | None = None
 ) -> DataFrame:
     """Writes the ids of whole texts, each with end_id after them, to files in ascending doc_id order (null first) and
-    returns the manifest: part, path, docs, tokens. Null texts count as empty; rows that repeat an id stand by text.
+    returns the manifest: part, path, docs, tokens. Null texts count as empty; rows that repeat an id stand by a hash of the
+    text. Very long texts are encoded whole and fill a frame of their own. An empty table writes no file.
 
     The files are written when the manifest is computed: store it before reading it twice. A task that runs again writes
     the same file under the same name. `folder` must be one that all executors share.
@@ -150,25 +157,33 @@ def write_token_files(
     path = vocabulary(vocab)
     n = docs.count() if n_docs is None else n_docs
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sorted_ = rows.repartitionByRange(max(1, -(-n // file_docs)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges go by text too, so that rows of one id, or of none, can fill several files
+    rows = rows.withColumn("by", F.xxhash64("text"))
+    sorted_ = rows.repartitionByRange(max(1, -(-n // file_docs)), "doc_id", "by").sortWithinPartitions("doc_id", "by").drop("by")
     sorted_ = sorted_.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, end, writer, docs_, part = encoder(path, words=True), np.array([end_id], np.uint32), None, 0, 0
         wide = enc.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
-        for pdf in batches:
-            if writer is None and len(pdf):
-                part = int(pdf["part"].iloc[0])
-                name = f"{folder}/part-{part:06d}.zst"
-                writer = Writer(name, wide)
-            ids_of = pdf["doc_id"].array
-            for first, ids, bounds, _ in enc.encode(pdf["text"].to_list()):
-                for i in range(len(bounds) - 1):
-                    key = ids_of[first + i]
-                    writer.add(None if pd.isna(key) else int(key), np.concatenate([ids[bounds[i] : bounds[i + 1]], end]))
-                    docs_ += 1
+        try:
+            for pdf in batches:
+                if writer is None and len(pdf):
+                    part = int(pdf["part"].iloc[0])
+                    name = f"{folder}/part-{part:06d}.zst"
+                    writer = Writer(name, wide)
+                ids_of = pdf["doc_id"].array
+                for first, ids, bounds, _ in enc.encode(pdf["text"].to_list()):
+                    for i in range(len(bounds) - 1):
+                        key = ids_of[first + i]
+                        writer.add(None if pd.isna(key) else int(key), np.concatenate([ids[bounds[i] : bounds[i + 1]], end]))
+                        docs_ += 1
+            if writer is not None:
+                writer.close()
+        except BaseException:
+            if writer is not None:
+                writer.abandon()
+            raise
         if writer is not None:
-            writer.close()
             yield pd.DataFrame({"part": [part], "path": [name], "docs": [docs_], "tokens": [writer.tokens]})
 
     return sorted_.mapInPandas(_nullable(run), "part int, path string, docs long, tokens long")

@@ -1,7 +1,8 @@
 """Whole-text encoding with public vocabulary files through the tokenizers library, with a cache of pieces.
 
 Both vocabularies split a text before they merge, and never across the cuts made here, so the ids of a text are those of
-its pieces in turn; tests hold them against the library on whole texts. Each worker keeps the ids of pieces it has met.
+its pieces in turn; tests hold them against the library on whole texts. Strings of the vocabulary's special tokens are cut
+out first, as the library does, and stand for their token. Each worker keeps the ids of pieces it has met.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SLICE_CHARS = 4_000_000
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Stands before the spaces at which a text is cut; a text that holds it is cut by the slower pattern.
 _CUT = "\ue000"
+_BLANK = re.compile(r"[ \n\t\r]")
 _TWO_BLANKS = re.compile(r"\s\s")
 #: Latin-1 letters, then marks: one or two words of the vocabulary that drops white space, so that many pieces can be encoded
 #: as one text and told apart by the tokens that end a word.
@@ -54,15 +56,20 @@ class _Known(dict):
 
 class Encoder:
     """Ids of whole texts. `words`: a vocabulary that drops white space, cut at each white space; otherwise one that keeps
-    it, cut before single spaces. Strings of special tokens inside a text are ordinary text."""
+    it, cut before single spaces."""
 
     def __init__(self, path: str, words: bool, offsets: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words, self.offsets = words, offsets
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"{path}: added tokens that take up more than their own characters can't be cut out of a text")
+        #: longest first, as the library matches them
+        self.added = sorted((t.content for t in added), key=len, reverse=True)
+        self.added_cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if words:
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -88,6 +95,8 @@ class Encoder:
 
     def _cut(self, texts: list[str]) -> pa.ListArray:
         """The pieces of each text."""
+        if any(a in t for a in self.added for t in texts):
+            return pa.array([self._apart(t) for t in texts], pa.list_(pa.large_string()))
         if self.words:
             cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
             return pc.split_pattern(pa.array(cut, pa.large_string()), " ")
@@ -99,6 +108,12 @@ class Encoder:
             cut.append(t.replace(" ", _CUT + " ") if plain else _SINGLE_SPACE.sub(_CUT, t))
         return pc.split_pattern(pa.array(cut, pa.large_string()), _CUT)
 
+    def _apart(self, text: str) -> list[str]:
+        """The pieces of a text that may hold added tokens, each of these a piece of its own."""
+        parts = self.added_cut.split(text) if self.added else [text]
+        cut = _BLANK.split if self.words else _SINGLE_SPACE.split
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else cut(part))]
+
     def _learn(self) -> None:
         if self.count > len(self.first):
             more = np.zeros(max(self.count - len(self.first), len(self.first)), np.int64)

@@ -93,6 +93,41 @@ def test_mix(spark, odd, empty):
     assert mixing.mixture(odd).count() == total
 
 
+def test_equal_rows_use_all_chunks(spark):
+    docs = spark.createDataFrame([(1, "same words here", "a")], "doc_id long, text string, source string")
+    docs = docs.withColumn("doc_id", F.lit(None).cast("long")).crossJoin(spark.range(20_000)).drop("id")
+    rows = docs.select(F.lit(False).alias("sn"), "source", "doc_id", F.lit(0).alias("carried"), F.lit(3).alias("size"), F.lit(20_000).alias("docs"))
+    per = mixing._dealt(rows).groupBy("chunk").count().toPandas()["count"]
+    assert len(per) == 20 and per.max() < 1300 and per.sum() == 20_000
+    got = mixing.mix(docs).agg(F.count("*"), F.sum("taken"), F.max("target"), F.max("copies")).first()
+    assert got[0] == 20_000 and got[1] == pytest.approx(got[2], rel=1e-3) and got[3] == 2
+    assert mixing.mixture(docs).count() == pytest.approx(got[1] / 3, rel=1e-3)
+
+
+def test_rates_are_the_entropy_optimum(spark):
+    """Against a plain solver: per source the tilt that meets the target, found by bisection."""
+    sizes = {"a": [3, 50, 7, 7, 120, 30, 1, 2], "b": [10, 20, 400, 5], "c": [6] * 9}
+    docs = spark.createDataFrame([(i, "w " * n, s) for s, own in sizes.items() for i, n in enumerate(own)], "doc_id long, text string, source string")
+    for r in mixing.mix(docs).groupBy("target", "source_size").agg(F.collect_list(F.struct("size", "rate")).alias("x")).collect():
+        n = np.array([x["size"] for x in r["x"]], float)
+        low, high = -1e5, 1e5  # a source that is taken whole has its tilt at infinity
+        for _ in range(200):
+            tilt = (low + high) / 2
+            rates = 2 / (1 + np.exp(-np.clip(tilt * n / n.mean(), -700, 700)))
+            low, high = (tilt, high) if (rates * n).sum() < r["target"] else (low, tilt)
+        assert np.allclose([x["rate"] for x in r["x"]], rates, atol=1e-4)
+
+
+def test_an_unmet_target_is_an_error(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i), "ab"[i % 2]) for i in range(30)], "doc_id long, text string, source string")
+    scratch = Scratch(spark)
+    rows = docs.select(F.lit(False).alias("sn"), F.col("source").alias("sk"), mixing.word_count(F.col("text")).alias("size"))
+    hist = rows.groupBy("sn", "sk", "size").agg(F.count("*").alias("n"))
+    targets = mixing.source_targets(rows, scratch, (5, 2, 1), 1.5, 2)
+    with pytest.raises(RuntimeError):
+        mixing.solve_tilts(hist, targets, scratch, 2, steps=1)
+
+
 # 2 and 7
 
 
@@ -254,18 +289,79 @@ def test_nearest_of_repeated_ids(spark):
 # 3
 
 
-def test_code_lengths_are_exact():
-    texts = [b"the cat sat on the mat and the rat", b"le chat et le rat sur le toit"]
-    keys = [np.unique(language._gram_keys(np.frombuffer(b"   " + t, np.uint8)), return_counts=True) for t in texts]
-    model = language.Model(language.Grams(["en", "fr"], [k for k, _ in keys], [c for _, c in keys]))
-    # every context's shares over its byte classes sum to one, the rest class once for each of its bytes
-    p = np.exp2(-model.costs.reshape(-1, model.width, 2).astype(float))
-    rest = 256 - int((model.classes > 0).sum())
-    assert np.allclose(p[:, 1:].sum(1) + rest * p[:, 0], 1, atol=1e-4)
-    bits = model.code_lengths([b"the mat", b"le toit", b"", b"the cat sat " * 200_000])
-    assert bits[0].argmin() == 0 and bits[1].argmin() == 1 and (bits[2] == 0).all()
-    piece = model.code_lengths([b"the cat sat " * 1000])[0]
-    assert bits[3] == pytest.approx(200 * piece, rel=0.001)
+def _counts(texts, order):
+    keys = [np.unique(language._grams([t.encode() for t in own], order), return_counts=True) for own in texts.values()]
+    return language.Counts(order, list(texts), [k for k, _ in keys], [c for _, c in keys])
+
+
+def _ppm_bits(learned, text, order):
+    """Plain prediction by partial matching: dictionaries of contexts, escape method C with exclusion, byte after byte."""
+    seen = defaultdict(Counter)
+    for t in learned:
+        data = b" " * order + t.encode()
+        for i in range(order, len(data)):
+            for o in range(order + 1):
+                seen[data[i - o : i]][data[i]] += 1
+
+    def share(context, byte, depth=0):
+        if depth > len(context):
+            return 1 / 256
+        own = seen.get(context[depth:])
+        if not own:
+            return share(context, byte, depth + 1)
+        total, kinds = sum(own.values()), len(own)
+        if kinds == 256:
+            return own[byte] / total
+        if byte in own:
+            return own[byte] / (total + kinds)
+        room = 1 - sum(share(context, other, depth + 1) for other in own)
+        return kinds / (total + kinds) * share(context, byte, depth + 1) / room
+
+    data = b" " * order + text.encode()
+    return -sum(np.log2(share(data[i - order : i], data[i])) for i in range(order, len(data)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_code_lengths_against_plain_matching(order):
+    texts = {"el": ["η γάτα κάθεται στο χαλί", "το σπίτι"], "en": ["the cat sat on the mat and the rat", "a hat"], "ja": ["猫が座った。", "家と犬と猫"], "ru": ["кошка сидит на ковре"]}
+    model = language.Model(_counts(texts, order))
+    asked = ["the mat", "猫と家", "коврик", "γάτα?", "x", "", "\x00\u07ff"]
+    bits = model.code_lengths([t.encode() for t in asked])
+    want = [[_ppm_bits(own, t, order) for own in texts.values()] for t in asked]
+    assert np.allclose(bits, want, atol=1e-6)
+    for tree in model.trees:  # the shares of every byte after a context sum to one
+        contexts = np.unique(np.concatenate([tree.levels[-1][2], [np.uint64(7)]]))[:50]
+        keys = (contexts[:, None] << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert np.allclose(np.exp2(-tree.cost(keys.ravel())).reshape(-1, 256).sum(1), 1)
+
+
+def test_no_context_is_left_out_of_many_languages():
+    rng = np.random.default_rng(5)
+    texts = {f"l{k:02d}": [" ".join("".join(chr(0x100 + 40 * k + c) for c in rng.integers(0, 40, 6)) for _ in range(300))] for k in range(48)}
+    model = language.Model(_counts(texts, 4))
+    asked = [t[0][100:400] for t in texts.values()]
+    bits = model.code_lengths([t.encode() for t in asked])
+    assert bits.argmin(1).tolist() == list(range(48))
+    for tree, (own,) in zip(model.trees, texts.values()):
+        assert len(tree.levels[3][0]) == len(np.unique(language._grams([own.encode()], 4)))
+    for k in (0, 20, 47):
+        assert bits[k, k] == pytest.approx(_ppm_bits(texts[f"l{k:02d}"], asked[k], 4))
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    model = language.Model(_counts({"en": ["the cat sat on the mat"], "fr": ["le chat et le rat"]}, 4))
+    text = "the cat sat et le rat " * 40
+    whole = model.code_lengths([text.encode(), b"a rat"])
+    monkeypatch.setattr(language, "SLICE_BYTES", 7)
+    assert np.allclose(model.code_lengths([text.encode(), b"a rat"]), whole)
+
+
+def test_learning_is_bounded_and_misses_no_language(spark):
+    rows = [(i, "wort " * 400, "de") for i in range(300)] + [(None, "mot " * 900_000, "fr"), (7, "λέξη", "el"), (8, None, "es"), (9, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.learn(docs, docs_per_lang=50, bytes_per_lang=100_000)
+    assert got.langs == ["de", "el", "fr"]
+    assert 20 * 2000 <= got.counts[0].sum() <= 90 * 2000 and got.counts[2].sum() == 4 * 900_000
 
 
 def test_language(spark, odd, empty):
@@ -287,13 +383,13 @@ def _library(vocab, texts, end=None):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary(vocab))
-    t.encode_special_tokens = True
     return t.encode_batch([x or "" for x in texts], add_special_tokens=False)
 
 
 @pytest.mark.parametrize("vocab, words", [(tokens.WORD_FILE, True), (tokens.BYTE_FILE, False)])
 def test_encoder(spark, vocab, words):
     texts = [t or "" for _, t, *_ in ODD] + ["a  b\r\n\r\n c", "It's 'tis don’t e.g., (x) A.B c!!", "\ue000 x \ue000", "İ ΣΑΣ ½² ﬁ", "x\x1cy\x1c z", "Ø" * 70]
+    texts += ["abc <|endoftext|> def", "abc<|endoftext|>def", "<|startoftext|><|endoftext|> ", " <|ENDOFTEXT|> <|endoftext", "a  <|endoftext|>\n b <| c |>"]
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     own = tokens.Encoder(tokens.vocabulary(vocab), words, not words)
     for first, ids, bounds, spans in own.encode(texts):
@@ -351,7 +447,13 @@ def test_bounded_bins():
 def test_token_files(spark, odd, empty, tmp_path):
     got = token_files.round_trip(odd).toPandas().sort_values("start")
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
-    lens = [len(e.ids) + 1 for e in _library(tokens.WORD_FILE, [r[1] for r in rows])]
+    whole = [np.array([*e.ids, 1], "<u4") for e in _library(tokens.WORD_FILE, [r[1] for r in rows])]
+    lens = [len(x) for x in whole]
+    assert sorted(got["ids_crc32"]) == sorted(zlib.crc32(x.tobytes()) for x in whole)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    told = {r["doc_id"]: r["ids_crc32"] for r in token_files.round_trip(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r, e in zip(docs, _library(tokens.WORD_FILE, [r["text"] for r in docs])):
+        assert told[r["doc_id"]] == zlib.crc32(np.array([*e.ids, 1], "<u4").tobytes())
     assert got["n_tokens"].tolist() == lens and got["start"].tolist() == np.cumsum([0, *lens[:-1]]).tolist()
     assert token_files.round_trip(empty).count() == 0
     path = str(tmp_path / "x.zst")
@@ -370,6 +472,16 @@ def test_token_files(spark, odd, empty, tmp_path):
         list(token_files.Reader(path).documents([1]))
 
 
+def test_rows_of_one_id_fill_several_files(spark):
+    rows = [(None, f"text number {i}") for i in range(600)] + [(3, f"other {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark)
+    manifest = scratch.keep(token_files.write_token_files(docs, scratch.path("files"), file_docs=100), "manifest")
+    assert manifest.count() >= 8 and manifest.agg(F.max("docs")).first()[0] <= 400
+    got = token_files.read_token_files(manifest, 4).toPandas().sort_values("start")
+    assert len(got) == 1200 and got["doc_id"].isna().tolist() == [True] * 600 + [False] * 600
+
+
 # 8
 
 
@@ -424,8 +536,9 @@ def test_ngram_join(spark, odd, empty, monkeypatch):
     rows += [(k, " ".join(f"w{rng.integers(400)}" for _ in range(150))) for k in range(60, 90)] + [(90, "a b"), (91, "A, b!"), (92, None), (93, ""), (94, None)]
     links = _brute(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (ngram_join.BLOCK_DOCS, 16):  # the second deals the group as pairs of blocks
+    for block, root in ((ngram_join.BLOCK_DOCS, ngram_join.BLOCK_ROOT), (16, 1)):  # the second deals the group as pairs of blocks
         monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_ROOT", root)
         got = {r["doc_id"]: r for r in ngram_join.similar_documents(docs).collect()}
         assert {k: got[k]["n_links"] for k, _ in rows} == {k: len(links[i]) for i, (k, _) in enumerate(rows)}
         assert got[90]["class_id"] == got[91]["class_id"] == 90 and got[94]["class_id"] == 94
@@ -446,6 +559,22 @@ def test_long_documents_on_one_side_link_once(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (i // 2 * 2, 1) for i, _ in rows}
 
 
+def test_planted_pairs_are_found(spark):
+    """Pairs just above the threshold, where bands and pruning lose most."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(1500):
+        n = int(rng.integers(60, 400))
+        own = [f"p{k}w{i}" for i in range(n)]
+        cut = int(0.1 * n)  # of n - 4 shingles, n - 4 - cut are shared: a similarity of 0.8 and a little more
+        other = own[: n - cut] + [f"q{k}w{i}" for i in range(int((n - 4 - cut) / 0.8) - (n - 4))] if k % 2 else own[: n - int(0.19 * (n - 4))]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    want = {2 * k for k in range(1500) if len(_brute(rows[2 * k : 2 * k + 2])) == 2}
+    assert len(want) > 600
+    got = {r["doc_id"] for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0").collect()}
+    assert {i for i in got if i % 2 == 0} == want
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     for n, least in ngram_join.least_matches():
         assert least <= n * 0.8
