@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Classifiers, tilts and packing have no SQL form; tests hold each stage against a brute-force version.
+#: Classifiers, tilts and packing have no SQL form; tests hold each stage's rows against a plain version of it.
 ORACLE_SQL = None
 
 
@@ -54,7 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = len(Scratch.opened)
         done = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.clear_since(before)
         scratch.drop(docs)
         docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
