@@ -101,9 +101,19 @@ def stable_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind + "-"), F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, 32))
 
 
+#: Scripts that are written without spaces between words.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+
+
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits. In scripts without spaces every two characters that stand together are a word,
+    and one that stands alone; these come after the others."""
+    low = F.lower(text)
+    found = lambda pattern, group=0: F.regexp_extract_all(low, F.lit(pattern), F.lit(group))
+    spaced = found(rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+")
+    pairs = found(rf"(?=([{_UNSPACED}]{{2}}))", 1)
+    alone = found(rf"(?<![{_UNSPACED}])[{_UNSPACED}](?![{_UNSPACED}])")
+    return F.when(low.rlike(f"[{_UNSPACED}]"), F.concat(spaced, pairs, alone)).otherwise(found(r"[\p{L}\p{N}]+"))
 
 
 def fixed_windows(text: Column, size: int) -> Column:
@@ -126,10 +136,43 @@ def iso(value: Column, kind: str) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision; null for zero vectors and unequal lengths."""
+    """Cosine of two arrays in double precision; null for zero vectors and unequal lengths. Each is divided by a power of two
+    near its largest component first, so that no square overflows or vanishes; that rounds nothing."""
     add = lambda x, y: x + y
     zero = F.lit(0.0)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), zero, add)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), zero, add))
+
+    def near_one(v: Column) -> Column:
+        most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+        scale = F.pow(F.lit(2.0), F.floor(F.log2(F.nullif(most, zero))))
+        return F.transform(v, lambda x: x.cast("double") / scale)
+
+    a, b = near_one(a), near_one(b)
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, add)
+    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), zero, add))
     both = norm(a) * norm(b)
     return F.when((F.size(a) == F.size(b)) & (both > 0), dot / both)
+
+
+def shorten(text: Column, n: int, mark: str = "...") -> Column:
+    """The first n characters of a longer text, with a mark after them."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
+
+
+def folder_of(path: Column, base: str) -> Column:
+    """A folder below base: paths that lie there as they are, others by their last name."""
+    inside = (path == base) | F.startswith(path, F.lit(base.rstrip("/") + "/"))
+    return F.when(inside, path).otherwise(F.concat_ws("/", F.lit(base.rstrip("/")), basename(F.rtrim(path, F.lit("/")))))
+
+
+def lines_of(recognised: Column) -> Column:
+    """Text of an OCR reply as JSON: a string, a list of strings or of objects with `text`, or an object with `text` or
+    `lines`; lines are joined by line feeds. Null if it has none of these shapes or nothing in it."""
+    of_list = lambda j: F.array_join(F.transform(F.from_json(j, "array<string>"), lambda x: F.coalesce(F.get_json_object(x, "$.text"), x)), "\n")
+    lines = F.get_json_object(recognised, "$.lines")
+    got = (
+        F.when(recognised.rlike(r"^\s*\["), of_list(recognised))
+        .when(lines.isNotNull(), of_list(lines))
+        .when(recognised.rlike(r"^\s*\{"), F.get_json_object(recognised, "$.text"))
+        .otherwise(F.regexp_replace(recognised, r'^\s*"|"\s*$', ""))
+    )
+    return F.when(F.trim(got) != "", got)

@@ -35,14 +35,14 @@ def neighbours(roots: DataFrame, edges: DataFrame, by: list[str] | None = None)
     return found.withColumn("j", j).select(*by, "i", "id", "j", "dst", "type")
 
 
-def with_parts(found: DataFrame, whole: DataFrame, parts: DataFrame) -> DataFrame:
-    """found (i, id, j, dst, type) with each dst of `whole` (id) replaced in place by its parts (whole_id, ord, part_id) in
+def with_parts(found: DataFrame, whole: DataFrame, parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """found (by, i, id, j, dst, type) with each dst of `whole` (id) replaced in place by its parts (whole_id, ord, part_id) in
     order; one without parts goes. Adds `sub`, the order within a place."""
     marked = found.join(whole.select(F.col("id").alias("dst"), F.lit(True).alias("is_whole")).distinct(), "dst", "left")
     opened = marked.join(parts.select(F.col("whole_id").alias("dst"), "ord", "part_id"), "dst", "left")
     kept = opened.where("is_whole is null or part_id is not null")
     return kept.select(
-        "i", "id", "j", F.coalesce(F.when(F.col("is_whole"), F.col("ord")), F.lit(0)).alias("sub"),
+        *(by or []), "i", "id", "j", F.coalesce(F.when(F.col("is_whole"), F.col("ord")), F.lit(0)).alias("sub"),
         F.when(F.col("is_whole"), F.col("part_id")).otherwise(F.col("dst")).alias("dst"), "type",
     )
 

@@ -19,9 +19,28 @@ def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("item", "m.path", "m.rule")
 
 
-def batch_number(order: list[Column], size: int) -> Column:
-    """From 1, in batches of `size` in one global order."""
-    return (F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size) + 1).cast("long")
+def numbered(rows: DataFrame, order: str, parts: int | None = None, name: str = "number") -> DataFrame:
+    """rows with their number, from 0, in ascending order of a numeric column, nulls first; equal values in any order.
+
+    Ranges of about equal size come from approximate quantiles, as constants of the plan; each range is numbered in a task
+    of its own and begins where the rows of those before it end. Only one row per range meets in one place.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, at or [0.5])).first()[0] or []))
+    part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0)) if cuts else F.lit(0)
+    dealt = rows.withColumn("__part", F.when(F.col(order).isNull(), -1).otherwise(part))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1
+    # a row per range
+    based = dealt.withColumn("__own", own).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return based.withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
+def batch_numbers(rows: DataFrame, order: str, size: int, name: str = "batch") -> DataFrame:
+    """rows with the number, from 1, of their batch of `size` in one global order."""
+    return numbered(rows, order, name=name).withColumn(name, (F.floor(F.col(name) / size) + 1).cast("long"))
 
 
 def overlap_before(text: Column, by: list[str], order: str, n: int) -> Column:

@@ -1,43 +1,90 @@
-"""In-order packing of texts under a length limit, per group, inside expressions."""
+"""In-order packing of texts under a length limit, per group. A running sum can't reset in a window, so groups are read in
+order and packed as they pass; none is held whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
+
+def _in_order(rows: DataFrame, by: list[str], *order) -> DataFrame:
+    ship(rows.sparkSession)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order)
+
 
 def greedy_batches(rows: DataFrame, by: list[str], order: str, size: str, limit: int) -> DataFrame:
     """(by, order, size, batch): in order, a new batch begins where the next item would pass the limit; one that is too
-    large alone is still a batch. A running sum can't reset, so each group is folded over its ordered array."""
-    item = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s"))))
-    start = F.expr("struct(cast(array() as array<int>) as batches, 0 as batch, 0L as used, false as any)")
+    large alone is still a batch. Null sizes count as 0; items of one place stand by size."""
+    kinds = dict(rows.dtypes)
+    own = rows.select(*by, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias(size))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, batch, used = None, 0, 0
+        for pdf in batches:
+            out = []
+            for key, s in zip(zip(*(pdf[c].tolist() for c in by)), pdf[size].tolist()):
+                if repr(key) != group:
+                    group, batch, used = repr(key), 0, s
+                elif used + s > limit:
+                    batch, used = batch + 1, s
+                else:
+                    used += s
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*by, order)] + [f"`{size}` long", "batch int"])
+    return _in_order(own, by, order, size).mapInPandas(run, schema)
 
-    def add(acc: Column, x: Column) -> Column:
-        fresh = acc["any"] & (acc["used"] + x["s"] > limit)
-        batch = F.when(fresh, acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(fresh, x["s"]).otherwise(acc["used"] + x["s"])
-        return F.struct(F.array_append(acc["batches"], batch).alias("batches"), batch.alias("batch"), used.alias("used"), F.lit(True).alias("any"))
 
-    folded = rows.groupBy(*by).agg(item.alias("items")).withColumn("batches", F.aggregate("items", start, add)["batches"])
-    x = folded.select(*by, F.explode(F.arrays_zip("items", "batches")).alias("x"))
-    return x.select(*by, F.col("x.items.o").alias(order), F.col("x.items.s").alias(size), F.col("x.batches").alias("batch"))
+def batch_sizes(batches: DataFrame, by: list[str], size: str) -> DataFrame:
+    """(by, batch, items, total) of what greedy_batches() gives."""
+    return batches.groupBy(*by, "batch").agg(F.count("*").alias("items"), F.sum(size).alias("total"))
 
 
 def digest(rows: DataFrame, by: list[str], order: str, name: str, text: str, per_file: int, total: int, least: int = 500) -> DataFrame:
-    """One text per group: files in order under headers, each cut at per_file characters; the first that no longer fits is
-    cut to what remains if that is more than `least`, and ends the text. Blank files are left out."""
-    kept = rows.where(F.length(text) > 0)
-    item = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.substring(text, 1, per_file + 1).alias("t"))))
-    start = F.expr("struct('' as text, false as done)")
-
-    def add(acc: Column, x: Column) -> Column:
-        head = F.concat(F.lit("\n=== "), x["n"], F.lit(" ===\n"))
-        body = F.when(F.length(x["t"]) > per_file, F.concat(F.substring(x["t"], 1, per_file), F.lit("\n..."))).otherwise(x["t"])
-        whole = F.concat(head, body, F.lit("\n"))
-        room = F.lit(total) - F.length(acc["text"]) - F.length(head)
-        over = F.length(acc["text"]) + F.length(whole) > total
-        part = F.when(room > least, F.concat(head, F.substr(body, F.lit(1), room), F.lit("...\n"))).otherwise(F.lit(""))
-        text_ = F.when(acc["done"], acc["text"]).when(over, F.concat(acc["text"], part)).otherwise(F.concat(acc["text"], whole))
-        return F.struct(text_.alias("text"), (acc["done"] | over).alias("done"))
-
-    return kept.groupBy(*by).agg(F.aggregate(item, start, add)["text"].alias("digest"))
+    """(by, digest): one text per group: files in order under headers, each cut at per_file characters; the first that no
+    longer fits is cut to what remains if that is more than `least`, and ends the text. Blank files are left out."""
+    kinds = dict(rows.dtypes)
+    kept = rows.where(F.length(text) > 0).select(*by, order, F.col(name).alias("__n"), F.substring(text, 1, per_file + 1).alias("__t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, key, whole, done = None, None, "", False
+        for pdf in batches:
+            out = []
+            for at, n, t in zip(zip(*(pdf[c].tolist() for c in by)), pdf["__n"].tolist(), pdf["__t"].tolist()):
+                if repr(at) != group:
+                    if group is not None:
+                        out.append((*key, whole))
+                    group, key, whole, done = repr(at), at, "", False
+                if done:
+                    continue
+                head = f"\n=== {n} ===\n"
+                body = t[:per_file] + "\n..." if len(t) > per_file else t
+                if len(whole) + len(head) + len(body) + 1 <= total:
+                    whole += f"{head}{body}\n"
+                    continue
+                done, room = True, total - len(whole) - len(head)
+                if room > least:
+                    whole += f"{head}{body[:room]}...\n"
+            if out:
+                yield pd.DataFrame(out, columns=[*by, "digest"])
+        if group is not None:
+            yield pd.DataFrame([(*key, whole)], columns=[*by, "digest"])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["digest string"])
+    return _in_order(kept, by, order, "__n", "__t").drop(order).mapInPandas(run, schema)
+
+
+def fitted(parts: DataFrame, by: list[str], text: str, total: int) -> DataFrame:
+    """parts with texts cut in proportion where a group's are longer than `total` together: each keeps the same share of
+    its characters, rounded down."""
+    from pyspark.sql import Window as W
+
+    whole = F.sum(F.length(text)).over(W.partitionBy(*by))
+    kept = F.floor(F.length(text) * (F.lit(float(total)) / whole)).cast("int")
+    return parts.withColumn(text, F.when(whole > total, F.substr(text, F.lit(1), kept)).otherwise(F.col(text)))

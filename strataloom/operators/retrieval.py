@@ -1,33 +1,68 @@
 """Retrieval over a chunk index: BM25, exact cosine, linear fusion, reranking. Queries come in batches.
 
 Postings carry only the terms that are asked for into the join; each ranking keeps k rows a query, which Spark limits per
-partition before its shuffle.
+partition before its shuffle. Vectors meet the queries in hash-dealt blocks, which hand on k rows a query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import cosine, words
-from .graph import two_hops
+from ..runtime import ship
+from .graph import neighbours, two_hops, with_parts
 
 K1, B = 1.2, 0.75
 TEXT_K, VECTOR_K, FUSED_K, VECTOR_WEIGHT = 50, 10, 10, 0.6
 RERANKED = 5
 #: Scores are rounded, so that the order of summation decides no rank.
 DIGITS = 6
+#: Queries that a block compares at a time.
+QUERY_PART = 256
 #: Recall that a search in cells has to reach, and the queries that an audit of it asks at most.
 RECALL, AUDITED = 0.9, 400
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """postings (id, term, dl, tf) and size, one row (n, avgdl): all that BM25 needs of a corpus."""
+
+    postings: DataFrame
+    size: DataFrame
+
+    def store(self, folder: str) -> TextIndex:
+        """Written once, by term, so that readers skip the parts without theirs, and read back; what is there is replaced."""
+        self.postings.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.size.write.mode("overwrite").parquet(f"{folder}/size")
+        return TextIndex.load(self.postings.sparkSession, folder)
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> TextIndex:
+        return TextIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/size"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, term, tf, dl): counted words and the document's length."""
+    """(id, term, dl, tf): counted words and the document's length."""
     listed = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
     return listed.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def text_index(docs: DataFrame, key: str, text: str) -> TextIndex:
+    """The index of docs, whose texts are cut once: all words are those of the postings. Null texts count for nothing."""
+    posted = postings(docs, key, text)
+    n = docs.agg(F.count(text).alias("n"))
+    # one row each
+    size = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).join(F.broadcast(n))
+    return TextIndex(posted, size.select("n", F.when(F.col("n") > 0, F.col("words") / F.col("n")).alias("avgdl")))
+
+
 def term_statistics(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -43,28 +78,64 @@ def normalised(hits: DataFrame) -> DataFrame:
     return hits.withColumn("normalised", F.when(best != 0, F.round(F.col("score") / best, DIGITS)).otherwise(0.0))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = TEXT_K, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(queries: DataFrame, index: TextIndex, k: int = TEXT_K, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, id, score, normalised) for queries (query_id, question); blank queries get nothing."""
-    posted = postings(docs, key, text)
-    size = docs.select(F.size(words(F.col(text))).alias("dl")).where("dl >= 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("question")))).alias("term"))
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     # one row of corpus figures
-    scored = asked.join(df, "term").join(wanted, "term").join(F.broadcast(size))
+    scored = asked.join(df, "term").join(wanted, "term").join(F.broadcast(index.size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return normalised(top(hits, k, F.desc("score"), F.asc("id")))
 
 
-def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int = VECTOR_K) -> DataFrame:
-    """(query_id, rank, id, score, normalised) by exact cosine for queries (query_id, vector). The batch of queries is the
-    small side that every row meets, as in any exact search; rows are ranked before anything is shuffled."""
-    asked = queries.select("query_id", F.col("vector").alias("__q"))
-    rows = index.select(F.col(key).alias("id"), F.col(vector).alias("__v")).where("__v is not null")
-    hits = rows.join(asked, F.size("__q") == F.size("__v")).select("query_id", "id", F.round(cosine(F.col("__q"), F.col("__v")), DIGITS).alias("score"))
-    return normalised(top(hits.where("score is not null"), k, F.desc("score"), F.asc("id")))
+def _directions(column: pd.Series) -> np.ndarray:
+    """Rows of length one; a power of two brings each near one first, so that no square overflows or vanishes."""
+    x = np.array(column.to_list(), np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _block_hits(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    rows = rows.sort_values("id", kind="stable")
+    ids, x, q_ids, q = rows["id"].array, _directions(rows["v"]), asked["query_id"].array, _directions(asked["q"])
+    out = []
+    for at in range(0, len(q), QUERY_PART):
+        score = np.round(q[at : at + QUERY_PART] @ x.T, DIGITS)
+        few = min(k, len(ids))
+        least = -np.partition(-score, few - 1, axis=1)[:, few - 1 : few]
+        r, c = np.nonzero(score >= least)  # ties too, of which those with the smallest ids stay
+        order = np.lexsort((c, -score[r, c], r))
+        r, c = r[order], c[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < few
+        r, c = r[best], c[best]
+        out.append(pd.DataFrame({"query_id": q_ids.take(at + r), "id": ids.take(c), "score": score[r, c]}))
+    return pd.concat(out)
+
+
+def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int = VECTOR_K, blocks: int | None = None) -> DataFrame:
+    """(query_id, rank, id, score, normalised) by exact cosine for queries (query_id, vector). Rows are dealt to blocks by
+    their id (as many as shuffle partitions), and every block gets the queries, the small side, and gives k rows for each.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another dimension."""
+    spark = queries.sparkSession
+    ship(spark)
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usable = lambda v: F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(usable(F.col("q")))
+    rows = rows.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("dim", F.size("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kinds = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(a) and len(b):
+            return _block_hits(a, b, k)
+        return pd.DataFrame({"query_id": b["query_id"][:0], "id": a["id"][:0], "score": np.zeros(0)})
+
+    hits = rows.groupBy("block", "dim").cogroup(asked.groupBy("block", "dim")).applyInPandas(meet, kinds)
+    return normalised(top(hits, k, F.desc("score"), F.asc("id")))
 
 
 def fused(text_hits: DataFrame, vector_hits: DataFrame, k: int = FUSED_K, weight: float = VECTOR_WEIGHT) -> DataFrame:
@@ -101,26 +172,98 @@ def word_overlap(question: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(0.0)
 
 
-def retrieve(queries: DataFrame, index: DataFrame, key: str, text: str, vector: str, score: Column | None = None, drop_single: bool = False) -> DataFrame:
+def with_question(queries: DataFrame, hits: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
+    own = index.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return hits.join(queries.select("query_id", "question"), "query_id").join(own, "id")
+
+
+def retrieve(
+    queries: DataFrame, index: DataFrame, key: str, text: str, vector: str, score: Column | None = None, drop_single: bool = False, terms: TextIndex | None = None
+) -> DataFrame:
     """Vector hits, then fused hits, each id once, reranked: (query_id, rank, id, score) for queries (query_id, question,
-    vector)."""
+    vector). `terms` is a stored index of the same texts, if there is one."""
     near = nearest(queries, index, key, vector)
-    both = fused(bm25(queries, index, key, text), near)
-    hits = first_of(near, both).join(queries.select("query_id", "question"), "query_id").join(index.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
+    both = fused(bm25(queries, terms or text_index(index, key, text)), near)
+    hits = with_question(queries, first_of(near, both), index, key, text)
     score = word_overlap(F.col("question"), F.col("text")) if score is None else score
     return reranked(hits, score, drop_single=drop_single).select("query_id", "rank", "id", "score")
 
 
+def nodes_of(hits: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Hits (query_id, rank, id, ...) with the columns of the nodes they stand for; hits without a node go."""
+    return hits.join(nodes.withColumnRenamed(key, "id"), "id")
+
+
+def by_position(candidates: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, rank, id): candidates (query_id, place, id) in the order of a reranker's `places` (query_id, places), which
+    count from 0. Places that no candidate has are passed over."""
+    asked = places.select("query_id", F.posexplode("places").alias("at", "place"))
+    found = asked.join(candidates.select("query_id", "place", "id"), ["query_id", "place"])
+    return found.select("query_id", F.row_number().over(W.partitionBy("query_id").orderBy("at")).alias("rank"), "id")
+
+
+def expanded_questions(queries: DataFrame, expand: Callable[[Column], Column], embed: Callable[[Column], Column]) -> DataFrame:
+    """queries with the question as a model restates it, and that one's vector; where it gives nothing both stay."""
+    told = queries.withColumn("__q", expand(F.col("question")))
+    told = told.withColumn("__q", F.when(F.coalesce(F.trim("__q"), F.lit("")) != "", F.col("__q")))
+    changed = ~F.col("__q").eqNullSafe(F.col("question")) & F.col("__q").isNotNull()
+    told = told.withColumn("vector", F.coalesce(embed(F.when(changed, F.col("__q"))), "vector"))
+    return told.withColumn("question", F.coalesce("__q", "question")).drop("__q")
+
+
 def expanded(
-    queries: DataFrame, index: DataFrame, edges: DataFrame, key: str, text: str, vector: str, k: int = 3, score: Column | None = None
+    queries: DataFrame,
+    index: DataFrame,
+    edges: DataFrame,
+    key: str,
+    text: str,
+    vector: str,
+    k: int = 3,
+    score: Column | None = None,
+    parts: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, level, i, j, k, id, type): the neighbours over two edges of each query's k best vector hits after reranking;
-    i is a hit's place. A node counts as met within its own query only; edges run between ids of the index as text."""
+    i is a hit's place. A node counts as met within its own query only; edges run between ids of the index as text. With
+    `parts` (wholes, parts), nodes that are wholes stand for their parts on both levels, as in expanded_parts()."""
     near = first_of(nearest(queries, index, key, vector))
-    hits = near.join(queries.select("query_id", "question"), "query_id").join(index.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
     score = word_overlap(F.col("question"), F.col("text")) if score is None else score
-    best = reranked(hits, score, k).select("query_id", (F.col("rank") - 1).alias("i"), F.col("id").cast("string").alias("id"))
-    return two_hops(best, edges, ["query_id"])
+    best = reranked(with_question(queries, near, index, key, text), score, k)
+    best = best.select("query_id", (F.col("rank") - 1).alias("i"), F.col("id").cast("string").alias("id"))
+    return two_hops(best, edges, ["query_id"]) if parts is None else expanded_parts(best, edges, *parts, ["query_id"])
+
+
+def expanded_parts(roots: DataFrame, edges: DataFrame, whole: DataFrame, parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """two_hops() with nodes of `whole` (id) replaced by their parts (whole_id, ord, part_id) in both rounds: the second
+    starts from the parts of what the first has met. (by, level, i, j, k, id, type); numbers count after the replacement."""
+    by = by or []
+    one = _opened(neighbours(roots, edges, by), whole, parts, by, ["i"], "j")
+    firsts = one.groupBy(*by, "dst").agg(F.min(F.struct("i", "j")).alias("met"))
+    fan = one.select(*by, F.struct("i", "j").alias("i"), F.col("dst").alias("id"))
+    two = _opened(neighbours(fan, edges, by).withColumnRenamed("j", "k"), whole, parts, by, ["i"], "k")
+    two = two.select(*by, F.col("i.i").alias("i"), F.col("i.j").alias("j"), "k", "dst", "type")
+    two = two.join(roots.select(*by, F.col("id").alias("dst")).distinct(), [*by, "dst"], "left_anti")
+    two = two.join(firsts, [*by, "dst"], "left").where("met is null or met > struct(i, j)")
+    two = two.withColumn("n", F.row_number().over(W.partitionBy(*by, "dst").orderBy("i", "j", "k"))).where("n = 1")
+    a = one.select(*by, F.lit(1).alias("level"), "i", "j", F.lit(0).alias("k"), F.col("dst").alias("id"), "type")
+    return a.unionByName(two.select(*by, F.lit(2).alias("level"), "i", "j", "k", F.col("dst").alias("id"), "type"))
+
+
+def _opened(found: DataFrame, whole: DataFrame, parts: DataFrame, by: list[str], root: list[str], place: str) -> DataFrame:
+    out = with_parts(found.withColumnRenamed(place, "j"), whole, parts, by)
+    again = F.row_number().over(W.partitionBy(*by, *root).orderBy("j", "sub")) - 1
+    return out.withColumn(place, again)
+
+
+def routed(queries: DataFrame, route: Column, ways: dict[str, Callable[[DataFrame], DataFrame]], default: str) -> DataFrame:
+    """(query_id, route, rank, id, score): each query answered by the way that `route` names, unknown names and null by the
+    default. Every way sees its own queries only."""
+    told = F.when(route.isin(*ways), route).otherwise(F.lit(default))
+    marked = queries.withColumn("__route", told)
+    out = None
+    for name, way in sorted(ways.items()):
+        got = way(marked.where(F.col("__route") == name).drop("__route")).select("query_id", F.lit(name).alias("route"), "rank", "id", "score")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def cells(index: DataFrame, vector: str, k: int, sample_rows: int = 100_000, seed: int = 7):

@@ -64,15 +64,19 @@ def filtered_projection(t: Tables) -> DataFrame:
     return t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.05)).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey IS NULL THEN 'none'
-  WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN 'accepted' ELSE 'low' END AS class FROM lineitem""")
+_GATE = """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 10 = 0 THEN 'none'
+  WHEN l_returnflag = 'R' AND CASE WHEN l_partkey % 7 <> 0 THEN l_discount END >= 0.09 THEN 'accepted' ELSE 'low' END AS class FROM lineitem"""
+
+
+@query(_GATE)
 def relevance_gate(t: Tables) -> DataFrame:
-    gate = ingest.gate_class(F.col("l_partkey"), F.col("l_returnflag") == "R", F.col("l_discount"), 0.09)
+    label = F.when(F.col("l_partkey") % 10 != 0, F.col("l_partkey"))  # some rows without a label, some without a relevance
+    relevance = F.when(F.col("l_partkey") % 7 != 0, F.col("l_discount"))
+    gate = ingest.gate_class(label, F.col("l_returnflag") == "R", relevance, 0.09)
     return t.lineitem.select("l_orderkey", "l_linenumber", gate.alias("class"))
 
 
-@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN l_partkey IS NULL THEN 'none'
-  WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN 'accepted' ELSE 'low' END AS class FROM lineitem) t GROUP BY class""")
+@query(f"SELECT class, count(*) AS n FROM ({_GATE}) t GROUP BY class")
 def gate_counts(t: Tables) -> DataFrame:
     return relevance_gate(t).groupBy("class").agg(F.count("*").alias("n"))
 
@@ -82,10 +86,12 @@ def article_gate(t: Tables) -> DataFrame:
     return t.documents.join(t.labels.where("quality >= 1 and toxic = 0"), "doc_id").select("doc_id")
 
 
-@query("""SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' THEN 'no text' WHEN embedding IS NULL THEN 'no vector'
-  WHEN len(embedding) <> 64 THEN 'wrong dimension' END AS fault FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+@query("""SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' OR d.doc_id % 11 = 0 THEN 'no text' WHEN embedding IS NULL THEN 'no vector'
+  WHEN d.doc_id % 5 = 0 THEN 'wrong dimension' END AS fault FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def vector_faults(t: Tables) -> DataFrame:
     rows = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left")
+    rows = rows.withColumn("text", F.when(F.col("doc_id") % 11 != 0, F.col("text")))
+    rows = rows.withColumn("embedding", F.when(F.col("doc_id") % 5 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
     return rows.select("doc_id", ingest.vector_fault(F.col("doc_id"), F.col("text"), F.col("embedding"), 64).alias("fault"))
 
 
@@ -194,14 +200,16 @@ def two_hop_expansion(t: Tables) -> DataFrame:
     return out.select("level", "i", F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), "id", "type")
 
 
-@query("""WITH trails AS (
-  SELECT DISTINCT o_custkey AS owner, l_partkey AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-) SELECT owner, label FROM trails""")
+@query(f"""WITH {_EDGES}, starts AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders),
+ends AS (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 'c' || c_custkey FROM customer),
+loops AS (SELECT id AS src, id AS dst, 'SAME' AS type FROM ends WHERE id LIKE 'c%'), every AS (SELECT * FROM edges UNION ALL SELECT * FROM loops),
+one AS (SELECT id AS start, src, dst, type FROM starts JOIN every ON src = id),
+two AS (SELECT start, e.dst AS "end" FROM one JOIN every e ON e.src = one.dst WHERE (e.src, e.dst, e.type) <> (one.src, one.dst, one.type))
+SELECT DISTINCT start, "end" FROM (SELECT start, dst AS "end" FROM one UNION ALL SELECT start, "end" FROM two) x WHERE "end" IN (SELECT id FROM ends)""")
 def trails_to_labels(t: Tables) -> DataFrame:
-    forward = _edges(t).where("type in ('HAS_FILE', 'HAS_LABEL')")
-    starts, ends = (d.select(F.concat(F.lit(x), k).alias("id")) for d, x, k in ((t.customer, "c", "c_custkey"), (t.part, "p", "p_partkey")))
-    found = graph.trails(starts, forward, ends)
-    return found.select(*[F.substring(c, 2, 20).cast("long").alias(n) for c, n in (("start", "owner"), ("end", "label"))])
+    owners, files, labels = (d.select(F.concat(F.lit(x), k).alias("id")) for d, x, k in ((t.customer, "c", "c_custkey"), (t.orders, "o", "o_orderkey"), (t.part, "p", "p_partkey")))
+    loops = owners.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("SAME").alias("type"))  # an edge that a trail may use once only
+    return graph.trails(owners.unionByName(files), _edges(t).unionByName(loops), labels.unionByName(owners))
 
 
 @query("""SELECT p_partkey, o_orderkey, l_linenumber FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey
@@ -328,7 +336,7 @@ def event_cube(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderkey, (floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) + 1)::BIGINT AS batch FROM orders""")
 def batch_numbers(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", matching.batch_number([F.col("o_orderkey")], 1000).alias("batch"))
+    return matching.batch_numbers(t.orders.select("o_orderkey"), "o_orderkey", 1000)
 
 
 @query("""SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM conversations) t WHERE n = 1""")
@@ -464,9 +472,11 @@ def updated_property(t: Tables) -> DataFrame:
     return ingest.update(old, new, ["c_custkey"], "c_name")
 
 
-@query(f"WITH old AS ({_OLD}) SELECT * FROM old")
+@query(f"""WITH old AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name, c_mktsegment FROM ({_OLD}) o), new AS ({_NEW})
+  SELECT o.c_custkey, coalesce(o.c_name, n.c_name) AS c_name, o.c_mktsegment FROM old o LEFT JOIN new n USING (c_custkey)""")
 def filled_if_null(t: Tables) -> DataFrame:
     old, new = _old_new(t)
+    old = old.withColumn("c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")))
     return ingest.update(old, new, ["c_custkey"], "c_name", only_null=True)
 
 
@@ -520,7 +530,7 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 @query(f"WITH {_HITS} SELECT query_id, rank, id, score, normalised FROM text_hits")
 def bm25_top(t: Tables) -> DataFrame:
-    return retrieval.bm25(_questions(t), _index(t), "doc_id", "text").select("query_id", "rank", "id", "score", "normalised")
+    return retrieval.bm25(_questions(t), retrieval.text_index(_index(t), "doc_id", "text")).select("query_id", "rank", "id", "score", "normalised")
 
 
 @query(f"WITH {_HITS} SELECT query_id, rank, id, score, normalised FROM vector_hits")
@@ -531,7 +541,7 @@ def vector_top(t: Tables) -> DataFrame:
 @query(f"WITH {_HITS} SELECT query_id, rank, id, text_score, vector_score, score FROM fused")
 def hybrid_top(t: Tables) -> DataFrame:
     q, index = _questions(t), _index(t)
-    out = retrieval.fused(retrieval.bm25(q, index, "doc_id", "text"), retrieval.nearest(q, index, "doc_id", "embedding"))
+    out = retrieval.fused(retrieval.bm25(q, retrieval.text_index(index, "doc_id", "text")), retrieval.nearest(q, index, "doc_id", "embedding"))
     return out.select("query_id", "rank", "id", "text_score", "vector_score", "score")
 
 
