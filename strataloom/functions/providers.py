@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable
@@ -13,8 +14,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .parsing import REQUIRED, find_json
+from .text import shorten
 
 DIM = 64
+#: What a prompt may hold of a project's tree and of its main files.
+TREE_CHARS, CODE_CHARS = 15_000, 30_000
 
 
 def hash_embedding(text: str, dim: int = DIM) -> list[float] | None:
@@ -53,6 +58,10 @@ class Providers:
     describe: Callable[[str], str] = first_sentences
     label: Callable[[str], list[dict]] = field(default=lambda text: [])
     fallback: Callable[[str], list[float] | None] | None = None
+    ask: Callable[[str], str] | None = None
+    judge: Callable[[str], bool] = field(default=lambda image: False)
+    read: tuple[Callable[[str], str], ...] = ()
+    route: Callable[[str], str] | None = None
 
     def embedding(self, text: Column) -> Column:
         ship(SparkSession.active())
@@ -88,6 +97,49 @@ class Providers:
 
         return run(column)
 
+    def strategy(self, question: Column) -> Column:
+        """The way that a question is to be answered; null leaves it to the default."""
+        return F.lit(None).cast("string") if self.route is None else self._text(self.route, question)
+
+    def relevant_image(self, image: Column) -> Column:
+        """Whether an image is to be kept; a failed call counts as no."""
+        ship(SparkSession.active())
+
+        @F.pandas_udf("boolean")
+        def run(images: pd.Series) -> pd.Series:
+            return images.map(lambda x: bool(_safe(self.judge, x)))
+
+        return run(image)
+
+    def recognised(self, image: Column) -> Column:
+        """Text of an image by the first of the readers that gives one; later ones are asked only for what is left."""
+        ship(SparkSession.active())
+        readers = list(dict.fromkeys(self.read))
+
+        @F.pandas_udf("string")
+        def run(images: pd.Series) -> pd.Series:
+            return images.map(lambda x: next((t for r in readers if (t := _safe(r, x)) and t.strip()), None))
+
+        return run(image)
+
+    def task(self, prompt: Column, kind: str) -> Column:
+        """struct(status, payload, error): the model's reply to a prompt as JSON that has the keys of its kind. Status is
+        success only then; a failed call, a reply without JSON and one of another shape say so in `error`."""
+        ship(SparkSession.active())
+        need = REQUIRED[kind]
+
+        @F.pandas_udf("struct<status:string,payload:string,error:string>")
+        def run(prompts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for p in prompts:
+                reply = _safe(self.ask, p)
+                found = find_json(reply, need[0]) if reply else None
+                error = "no reply" if not reply else "no json" if found is None else None if found[0] == "{" and set(need) <= set(json.loads(found)) else "wrong shape"
+                rows.append(("success" if error is None else "failed", found if error is None else None, error))
+            return pd.DataFrame(rows, columns=["status", "payload", "error"])
+
+        return run(prompt)
+
     def labels(self, text: Column) -> Column:
         ship(SparkSession.active())
 
@@ -107,3 +159,29 @@ def _safe(call, *args):
         return call(*args)
     except Exception:
         return None
+
+
+_REGISTRY: dict[str, Providers] = {}
+
+
+def register(name: str, providers: Providers) -> None:
+    _REGISTRY[name] = providers
+
+
+def registered(name: str | None = None) -> Providers:
+    """The providers of that name; the offline ones for None. An unknown name is an error."""
+    return Providers() if name is None else _REGISTRY[name]
+
+
+def prompt(task: str, **given: Column) -> Column:
+    """A model's task with what it is given: a line for the task, then one JSON object of the columns; nulls are left out."""
+    return F.concat(F.lit(f"{task}\n"), F.to_json(F.struct(*[c.alias(k) for k, c in sorted(given.items())])))
+
+
+def project_prompt(task: str, name: Column, summary: Column, readme: Column, code: Column, tree: Column) -> Column:
+    """What a model is told of a project: its README where there is no summary, its tree where there is no main code."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return prompt(
+        task, software_name=name, summary=F.when(blank(summary), readme).otherwise(summary),
+        file_code=F.when(blank(code), shorten(tree, TREE_CHARS)).otherwise(shorten(code, CODE_CHARS)),
+    )

@@ -43,7 +43,7 @@ def analysis_tables(results: DataFrame, batch: int = 0, describe: Callable[[Colu
         F.transform(found, lambda x: x["tactic_id"]).alias("tactic_id_list"), F.lit(batch).alias("insert_number"),
     )
     each = results.select(owner, "software_name", F.posexplode("software_files").alias("i", "f"))
-    file_id = stable_id("file", F.col("software_name"), F.col("i"), F.col("f.file_name")).alias("file_uuid")
+    file_id = stable_id("file", F.col("software_name"), F.col("i"), F.col("f.file_name"), F.col("f.file_abs_path")).alias("file_uuid")
     file = each.select(file_id, F.col("f.file_name").alias("name"), "software_uuid", F.lit(batch).alias("insert_number"))
     good = (F.col("f.file_technique.status") == "success") & F.col("f.file_technique.result")
     opened = each.select(file_id, F.when(good, F.col("f.file_technique.ttps")).alias("ttps"), F.posexplode("f.chunks").alias("k", "c"))

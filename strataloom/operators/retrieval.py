@@ -51,7 +51,9 @@ class TextIndex:
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, term, dl, tf): counted words and the document's length."""
     listed = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return listed.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    # from a plain explode the optimizer infers filters on the words and cuts every text up to three times
+    each = listed.select("id", "dl", F.explode_outer("w").alias("term")).where("term is not null")
+    return each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def text_index(docs: DataFrame, key: str, text: str) -> TextIndex:
@@ -83,11 +85,11 @@ def bm25(queries: DataFrame, index: TextIndex, k: int = TEXT_K, k1: float = K1,
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("question")))).alias("term"))
     wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    # one row of corpus figures
-    scored = asked.join(df, "term").join(wanted, "term").join(F.broadcast(index.size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    # a posting is weighed once, whoever asks for it; the corpus' figures are one row
+    weighed = wanted.join(df, "term").join(F.broadcast(index.size)).select("term", "id", part.alias("part"))
+    hits = asked.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     return normalised(top(hits, k, F.desc("score"), F.asc("id")))
 
 
@@ -177,6 +179,17 @@ def with_question(queries: DataFrame, hits: DataFrame, index: DataFrame, key: st
     return hits.join(queries.select("query_id", "question"), "query_id").join(own, "id")
 
 
+def scored(queries: DataFrame, hits: DataFrame, index: DataFrame, key: str, text: str, score: Column | None) -> DataFrame:
+    """hits with `judged`: the given expression over question and text, or word_overlap() of the two, for which a question is
+    cut once for all its hits."""
+    if score is not None:
+        return with_question(queries, hits, index, key, text).withColumn("judged", score)
+    asked = queries.select("query_id", F.array_distinct(words(F.col("question"))).alias("q"))
+    found = hits.join(asked, "query_id").join(index.select(F.col(key).alias("id"), F.col(text).alias("__t")), "id")
+    share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", words(F.col("__t")))) / F.size("q")).otherwise(0.0)
+    return found.withColumn("judged", share).drop("q", "__t")
+
+
 def retrieve(
     queries: DataFrame, index: DataFrame, key: str, text: str, vector: str, score: Column | None = None, drop_single: bool = False, terms: TextIndex | None = None
 ) -> DataFrame:
@@ -184,9 +197,8 @@ def retrieve(
     vector). `terms` is a stored index of the same texts, if there is one."""
     near = nearest(queries, index, key, vector)
     both = fused(bm25(queries, terms or text_index(index, key, text)), near)
-    hits = with_question(queries, first_of(near, both), index, key, text)
-    score = word_overlap(F.col("question"), F.col("text")) if score is None else score
-    return reranked(hits, score, drop_single=drop_single).select("query_id", "rank", "id", "score")
+    hits = scored(queries, first_of(near, both), index, key, text, score)
+    return reranked(hits, F.col("judged"), drop_single=drop_single).select("query_id", "rank", "id", "score")
 
 
 def nodes_of(hits: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -226,8 +238,7 @@ def expanded(
     i is a hit's place. A node counts as met within its own query only; edges run between ids of the index as text. With
     `parts` (wholes, parts), nodes that are wholes stand for their parts on both levels, as in expanded_parts()."""
     near = first_of(nearest(queries, index, key, vector))
-    score = word_overlap(F.col("question"), F.col("text")) if score is None else score
-    best = reranked(with_question(queries, near, index, key, text), score, k)
+    best = reranked(scored(queries, near, index, key, text, score), F.col("judged"), k)
     best = best.select("query_id", (F.col("rank") - 1).alias("i"), F.col("id").cast("string").alias("id"))
     return two_hops(best, edges, ["query_id"]) if parts is None else expanded_parts(best, edges, *parts, ["query_id"])
 

@@ -49,6 +49,8 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     root = "/" + folder.split(":", 1)[-1].strip("/") + "/"
     rel = F.regexp_replace(plain, "^" + _quoted(root), "")
+    if not recursive:  # a pattern that names a folder takes the files in it too
+        got = got.where(~rel.contains("/"))
     cols = [F.col("path"), rel.alias("relative_path"), basename(F.col("path")).alias("name"), "length", F.col("modificationTime").alias("modified")]
     return got.select(*cols, *(["content"] if content else []))
 

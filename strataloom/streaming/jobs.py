@@ -47,3 +47,14 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 
 def unique_events(events: DataFrame, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def backfill_new(source: DataFrame, fill: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
+    """Takes what is new in a stream of rows once, fills it in and stores it, and ends. Each batch of a checkpoint has a
+    folder of its own, which a repeated batch overwrites."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        own = f"{rows.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        fill(rows).write.mode("overwrite").parquet(f"{sink}/batch={own}")
+
+    return source.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start()
