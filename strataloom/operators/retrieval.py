@@ -261,7 +261,7 @@ def expanded_parts(roots: DataFrame, edges: DataFrame, whole: DataFrame, parts:
 
 def _opened(found: DataFrame, whole: DataFrame, parts: DataFrame, by: list[str], root: list[str], place: str) -> DataFrame:
     out = with_parts(found.withColumnRenamed(place, "j"), whole, parts, by)
-    again = F.row_number().over(W.partitionBy(*by, *root).orderBy("j", "sub")) - 1
+    again = F.row_number().over(W.partitionBy(*by, *root).orderBy("j", "sub", "dst")) - 1
     return out.withColumn(place, again)
 
 

@@ -140,15 +140,12 @@ _EDGES = """forward AS (
 ), edges AS (
   SELECT * FROM forward UNION ALL SELECT dst, src, CASE type WHEN 'HAS_FILE' THEN 'FILE_OF' ELSE 'LABEL_OF' END FROM forward
 )"""
-_ROOTS = """roots AS (
-  SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS i, 'c' || c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20
-)"""
+_ROOTS = "roots AS (SELECT c_custkey AS i, 'c' || c_custkey AS id FROM customer)"
 
 
 def _roots(t: Tables) -> DataFrame:
-    best = t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(20)  # a ranked search's hits
-    place = F.row_number().over(W.orderBy(F.desc("c_acctbal"), "c_custkey")) - 1
-    return best.select(place.cast("long").alias("i"), F.concat(F.lit("c"), "c_custkey").alias("id"))
+    """Every owner as a root of its own set."""
+    return t.customer.select(F.col("c_custkey").alias("root"), F.lit(0).alias("i"), F.concat(F.lit("c"), "c_custkey").alias("id"))
 
 
 @query(f"WITH {_EDGES} SELECT * FROM edges")
@@ -167,7 +164,7 @@ def absent_edges(t: Tables) -> DataFrame:
 @query(f"""WITH {_EDGES}, {_ROOTS} SELECT i, id, row_number() OVER (PARTITION BY i ORDER BY type, dst) - 1 AS j, dst, type
   FROM roots JOIN edges ON src = id""")
 def one_hop(t: Tables) -> DataFrame:
-    return graph.neighbours(_roots(t), _edges(t)).select("i", "id", F.col("j").cast("long").alias("j"), "dst", "type")
+    return graph.neighbours(_roots(t), _edges(t), ["root"]).select(F.col("root").alias("i"), "id", F.col("j").cast("long").alias("j"), "dst", "type")
 
 
 @query(f"""WITH {_EDGES}, {_ROOTS}, hop AS (
@@ -181,23 +178,23 @@ def files_opened(t: Tables) -> DataFrame:
         F.concat(F.lit("o"), "l_orderkey").alias("whole_id"), F.col("l_linenumber").alias("ord"),
         F.concat(F.lit("l"), "l_orderkey", F.lit("."), "l_linenumber").alias("part_id"),
     )
-    out = graph.with_parts(graph.neighbours(_roots(t), _edges(t)), whole, parts)
-    return out.select("i", F.col("j").cast("long").alias("j"), "sub", "dst")
+    out = graph.with_parts(graph.neighbours(_roots(t), _edges(t), ["root"]), whole, parts, ["root"])
+    return out.select(F.col("root").alias("i"), F.col("j").cast("long").alias("j"), "sub", "dst")
 
 
 @query(f"""WITH {_EDGES}, {_ROOTS}, one AS (
   SELECT i, row_number() OVER (PARTITION BY i ORDER BY type, dst) - 1 AS j, dst, type FROM roots JOIN edges ON src = id
-), firsts AS (SELECT dst, min(i * 1000000000 + j) AS met FROM one GROUP BY dst),
+), firsts AS (SELECT i, dst, min(j) AS met FROM one GROUP BY i, dst),
 two AS (
   SELECT i, j, row_number() OVER (PARTITION BY i, j ORDER BY e.type, e.dst) - 1 AS k, e.dst, e.type FROM one JOIN edges e ON e.src = one.dst
 ), kept AS (
-  SELECT t.*, row_number() OVER (PARTITION BY t.dst ORDER BY i, j, k) AS n FROM two t LEFT JOIN firsts f ON f.dst = t.dst
-  WHERE (met IS NULL OR met > i * 1000000000 + j) AND t.dst NOT IN (SELECT id FROM roots)
+  SELECT t.*, row_number() OVER (PARTITION BY t.i, t.dst ORDER BY j, k) AS n FROM two t LEFT JOIN firsts f ON f.i = t.i AND f.dst = t.dst
+  WHERE (met IS NULL OR met > j) AND t.dst <> 'c' || t.i
 )
 SELECT 1 AS level, i, j, 0::BIGINT AS k, dst AS id, type FROM one UNION ALL SELECT 2, i, j, k, dst, type FROM kept WHERE n = 1""")
 def two_hop_expansion(t: Tables) -> DataFrame:
-    out = graph.two_hops(_roots(t), _edges(t))
-    return out.select("level", "i", F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), "id", "type")
+    out = graph.two_hops(_roots(t), _edges(t), ["root"])
+    return out.select("level", F.col("root").alias("i"), F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), "id", "type")
 
 
 @query(f"""WITH {_EDGES}, starts AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders),
@@ -391,7 +388,7 @@ def parsed_properties(t: Tables) -> DataFrame:
     return t.events.select("event_id", k.alias("k"), F.coalesce(F.array_contains(F.json_object_keys("props"), "k"), F.lit(False)).alias("valid"))
 
 
-@query()
+@query("""SELECT event_id, json(props)::VARCHAR AS found, (props::JSON ->> '$.k')::BIGINT AS k FROM events""")
 def extracted_replies(t: Tables) -> DataFrame:
     reply = F.concat(F.lit("Result:\n```json\n"), "props", F.lit("\n```\nThat is all."))
     found = parsing.extract_json(reply, "k")
@@ -711,3 +708,6 @@ def project_statistics(t: Tables) -> DataFrame:
 def vectors_backfilled(t: Tables) -> DataFrame:
     nodes = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("vector"))
     return pipelines.backfill_vectors(nodes, "text", "vector", F.lower).select("id", "vector")
+
+
+from . import upkeep  # noqa: E402, F401  registers its queries here
