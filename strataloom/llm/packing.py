@@ -95,7 +95,8 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text counts as empty: such a document is its end id alone. Repeated rows are packed each. A null doc_id stays
-    null. An empty table gives no rows. Pieces are dealt by hash to tasks of about task_pieces rows and reach the bins in
+    null. An empty table gives no rows. Very long texts are cut to pieces; pieces of one length stand by id and place. Pieces
+    are dealt by hash to tasks of about task_pieces rows and reach the bins in
     descending length, so equal input is packed alike; each task has bins of its own.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pack")

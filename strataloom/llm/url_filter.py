@@ -119,7 +119,8 @@ def judge(
     Null urls and urls without `://` have empty host and path, no rule, and the verdict of an unknown host: allow. Null
     pages link nowhere. `trust` is the host's share of trust, 0.5 for a host that neither reaches. A host seeds trust by
     the share of its allowed pages, and of links to it from other hosts whose target a rule allows, among all of these;
-    distrust likewise. So hosts without pages seed too. Repeated rows count each.
+    distrust likewise. So hosts without pages seed too. Repeated rows count each. Very long pages are read whole. Other
+    columns are not looked at. An empty table gives no rows.
     """
     scratch = scratch or Scratch(pages.sparkSession, "urls")
     host, path = host_of(F.col(url)), path_of(F.col(url))

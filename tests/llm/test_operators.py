@@ -494,6 +494,20 @@ def test_quality(spark, odd, empty):
     assert quality.rate_quality(odd, empty, labels).select("quality_score").distinct().count() == 1
 
 
+def _auc(score, label):
+    rank = np.argsort(np.argsort(score, kind="stable")) + 1
+    good = label == 1
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_quality_of_held_out_documents(spark):
+    """Labels of the held-out fold, which nothing is learned from, are told apart."""
+    for sf in (SF, "/root/testdata/sf0.01"):
+        got = queries.op8_quality_classifier(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+        assert len(got) > 10 and _auc(got["score"].to_numpy(), got["quality"].to_numpy()) >= 0.95
+        assert (got["predicted"] == got["quality"]).mean() >= 0.9 and (got["predicted"] == (got["score"] >= 0.3)).all()
+
+
 def test_trees():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 6))
@@ -601,6 +615,15 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_of_odd_tables(spark):
+    long = "<p>" * 200_000 + '<a href="http://spam.net/">x</a>'
+    rows = [(1, "http://a.info/x", long, "v", "h", 5), (1, "http://a.info/x", long, "v", "h", 5), (None, None, None, None, None, None), (2, "http://a.info", "", "v", "p", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, host string, rank int")
+    got = sorted(map(tuple, url_filter.judge(pages).drop("trust").collect()), key=repr)
+    assert got == sorted([(1, "a.info", "/x", None, "block"), (1, "a.info", "/x", None, "block"), (None, "", "", None, "allow"), (2, "a.info", "", None, "block")], key=repr)
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 def test_linked_hosts_without_pages_seed(spark):
     rows = [
         (1, "http://p.info/a", '<a href="http://spam.net/x">l</a>'), (2, "http://q.info/a", '<a href="//p.info/a">l</a>'), (3, "http://r.info/a", '<a href="/a">l</a>'),
@@ -624,21 +647,85 @@ def test_distrust_reaches_far_hosts(spark):
 
 
 def test_pipeline(spark, odd, empty):
+    """Each stage's rows on its own input against a plain version of it: the model applied text by text, links by all pairs."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    key = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = Scratch(spark).keep(stage(spark, docs, SF), "stage")
-        assert out.columns == docs.columns
-        if name == "near_duplicates":
-            ids = [r["doc_id"] for r in out.select("doc_id").collect()]
-            told = {r["doc_id"]: r["class_id"] for r in ngram_join.similar_documents(docs).collect()}
-            assert sorted(ids) == sorted(set(told.values()))
-        elif name != "mixing":
-            assert 0.7 * n <= out.count() <= n
-        docs, n = out, out.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.where("piece = 0").count() == n
+        assert out.schema == docs.schema
+        rows = docs.collect()
+        learned = docs.where(~common.held_out(F.col("doc_id")))
+        if name == "quality":
+            forest = quality.learn(learned, labels)
+            want = [r for r in rows if forest.score(quality.features([r["text"] or ""]))[0] >= quality.THRESHOLD]
+            bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+            assert len(bad & {r["doc_id"] for r in want}) <= 0.1 * len(bad)
+        elif name == "language":
+            model = language.Model(language.learn(learned))
+            told = [language.predict([r["text"]], model).iloc[0] for r in rows]
+            want = [r for r, t in zip(rows, told) if t["lang"] != "und" and t["score"] >= 0.5]
+        elif name == "near_duplicates":
+            links = _brute([(r["doc_id"], r["text"]) for r in rows])
+            a, b = map(np.array, zip(*[(i, j) for i, js in links.items() for j in js]))
+            order = np.argsort([r["doc_id"] for r in rows], kind="stable")
+            place = np.argsort(order)
+            root = near_vectors.local_roots(place[a], place[b], len(rows))
+            want = [rows[order[i]] for i in range(len(rows)) if root[i] == i]
+        else:
+            taken = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, carry=F.xxhash64("doc_id", "text", "source")).collect()}
+            want = [r for r in rows for _ in range(taken[r["doc_id"]])]
+            by = {r["source"]: (r["size"], r["target"]) for r in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("size"), F.max("target").alias("target")).collect()}
+            assert all(abs(n - goal) <= max(0.2 * goal, 400) for n, goal in by.values()) and 0 < len(want)
+        assert key(out.collect()) == key(want), name
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+    rows = docs.collect()
+    ids = {r["doc_id"]: len(e.ids) + 1 for r, e in zip(rows, _library(tokens.WORD_FILE, [r["text"] for r in rows]))}
+    copies = Counter(r["doc_id"] for r in rows)
+    assert packed.groupby("doc_id")["length"].sum().to_dict() == {k: n * copies[k] for k, n in ids.items()}
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_stages_take_odd_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    kept = {name: Counter((r["doc_id"], r["text"]) for r in stage(spark, odd, SF).collect()) for name, stage in corpus_pipeline.STAGES[:-1]}
+    whole = Counter((r[0], r[1]) for r in ODD)
+    assert all(k in whole for rows in kept.values() for k in rows)
+    assert not {None, "", " \n\t ", "12 34 !!"} & {t for _, t in kept["language"]}
+    assert kept["near_duplicates"] == whole - Counter([ODD[0][:2], ODD[2][:2]])
+    assert not any(not (t or "").split() for _, t in kept["mixing"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert packed.where("piece = 0").count() == len(ODD)
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, SF).count() >= 0 and stage(spark, empty, SF).count() == 0
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_clears_what_stages_leave(spark):
+    import corpus_pipeline
+
+    before = len(Scratch.opened)
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(Scratch.opened) <= before + 2  # its own and the last stage's
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Unset:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args):
+            return self
+
+        def isEmpty(self):
+            return True
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "_jsc": Unset()})
+
+    with pytest.raises(RuntimeError):
+        common.shared_root(Session)
