@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
+#: Rows that go to a Python worker at a time while a table is stored: texts are long, and both sides hold a batch twice.
+BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows below which a table of narrow rows is broadcast; its rows are counted first.
 BROADCAST_ROWS = 20_000
 
@@ -57,7 +59,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and give it back as read from storage, with its lineage cut."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -30,7 +30,7 @@ ORDER = 4
 #: are dealt by hash, so reruns agree, and are taken whole; one document is always taken.
 DOCS_PER_LANG, BYTES_PER_LANG = 400, 2_000_000
 #: Bytes scored at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 PAD = b" "  # blanks stand before each text
 UNKNOWN = "und"
 

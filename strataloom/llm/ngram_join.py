@@ -34,8 +34,8 @@ BLOCK_DOCS, BLOCK_ROOT, BLOCK_SHINGLES = 256, 10, 4_000_000
 #: Rows of a few numbers below which a table of documents' keys is broadcast, after a count.
 KEYS = 200_000
 #: Words whose hashes a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
-SLICE_CHARS = 4_000_000
+CACHE_WORDS = 400_000
+SLICE_CHARS = 2_000_000
 
 _WORD = re.compile(r"[^\W]+")
 _RNG = np.random.default_rng(909)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import WORD_FILE, crc, encoder, vocabulary
+from .tokens import CACHE_PIECES, WORD_FILE, crc, encoder, vocabulary
 
 LENGTH = 2048
 #: Bins that are open at once; the fullest closes when one more would be needed.
@@ -19,12 +19,12 @@ OPEN_BINS = 8192
 TASK_PIECES = 20_000
 
 
-def pieces(docs: DataFrame, length: int, vocab: str, end_id: int, doc_id: str, text: str) -> DataFrame:
+def pieces(docs: DataFrame, length: int, vocab: str, end_id: int, doc_id: str, text: str, cache: int = CACHE_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, cut only where it is longer than `length`."""
     path = vocabulary(vocab)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path, words=True), np.array([end_id], np.uint32)
+        enc, end = encoder(path, words=True, most=cache), np.array([end_id], np.uint32)
         for pdf in batches:
             ids_of, texts = pdf["doc_id"].array, [x if isinstance(x, str) else "" for x in pdf["text"]]
             for first, ids, bounds, _ in enc.encode(texts):
@@ -88,6 +88,7 @@ def pack(
     end_id: int = 0,
     open_bins: int = OPEN_BINS,
     task_pieces: int = TASK_PIECES,
+    cache: int = CACHE_PIECES,
     doc_id: str = "doc_id",
     text: str = "text",
     scratch: Scratch | None = None,
@@ -100,7 +101,7 @@ def pack(
     descending length, so equal input is packed alike; each task has bins of its own.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pack")
-    cut = scratch.keep(pieces(docs, length, vocab, end_id, doc_id, text), "pieces")
+    cut = scratch.keep(pieces(docs, length, vocab, end_id, doc_id, text, cache), "pieces")
     n = cut.count()
     tasks = max(1, -(-n // task_pieces))
     deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks)).cast("int")

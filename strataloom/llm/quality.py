@@ -16,7 +16,7 @@ from .common import hold, ship
 TRAIN_DOCS = 8000
 THRESHOLD = 0.3
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _m in enumerate(MARKS):
@@ -201,7 +201,8 @@ def rate_quality(
 ) -> DataFrame:
     """docs with one more column quality_score in [0, 1], from trees learned on the labelled rows of `training`.
 
-    Null texts score as empty ones. Repeated rows score alike. A column of docs with that name is replaced.
+    Null texts score as empty ones. Equal texts score alike; very long ones are read whole. An empty table gives no rows. A
+    column of docs with that name is replaced.
     """
     rate = scorer(docs.sparkSession, learn(training, labels, doc_id, text, label))
     return docs.withColumn("quality_score", rate(F.col(text).cast("string")))

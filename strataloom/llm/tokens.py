@@ -23,7 +23,7 @@ CACHE_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
 LONG_PIECE = 64
 #: Characters that are taken up at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Stands before the spaces at which a text is cut; a text that holds it is cut by the slower pattern.
@@ -58,12 +58,12 @@ class Encoder:
     """Ids of whole texts. `words`: a vocabulary that drops white space, cut at each white space; otherwise one that keeps
     it, cut before single spaces."""
 
-    def __init__(self, path: str, words: bool, offsets: bool = False):
+    def __init__(self, path: str, words: bool, offsets: bool = False, most: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.offsets = words, offsets
+        self.words, self.offsets, self.most = words, offsets, most
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError(f"{path}: added tokens that take up more than their own characters can't be cut out of a text")
@@ -183,7 +183,7 @@ class Encoder:
             shift = before - np.repeat(before[first], counts[1:]) if len(before) else before
             span = self.span[at] + np.repeat(shift, n)[:, None]
         ids = self.ids[at]
-        if self.count > CACHE_PIECES:
+        if self.count > self.most:
             self.reset()
         return ids, bounds, span
 
@@ -197,13 +197,13 @@ class Encoder:
                 begin, chars = i + 1, 0
 
 
-_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool, int], Encoder] = {}
 
 
-def encoder(path: str, words: bool, offsets: bool = False) -> Encoder:
-    """This worker's encoder for a vocabulary."""
+def encoder(path: str, words: bool, offsets: bool = False, most: int = CACHE_PIECES) -> Encoder:
+    """This worker's encoder for a vocabulary, with a cache of up to `most` pieces."""
     hold("tokens", _ENCODERS.clear)
-    key = (path, words, offsets)
+    key = (path, words, offsets, most)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
