@@ -32,9 +32,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs)
 
 
+#: Pieces of text whose ids a worker keeps while it packs: fewer than a job of its own may, as executors have been through
+#: four stages by then. It costs time only.
+CACHE = 250_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=CACHE)
 
 
 STAGES = [
