@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,17 +142,24 @@ def cosine(a: Column, b: Column) -> Column:
     near its largest component first, so that no square overflows or vanishes; that rounds nothing."""
     add = lambda x, y: x + y
     zero = F.lit(0.0)
+    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), zero, add))
+
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        """then(value), with value computed once: inside a lambda it would be computed again for every element."""
+        return F.transform(F.array(value), then)[0]
 
     def near_one(v: Column) -> Column:
         most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
         scale = F.pow(F.lit(2.0), F.floor(F.log2(F.nullif(most, zero))))
-        return F.transform(v, lambda x: x.cast("double") / scale)
+        return bound(scale, lambda s: F.transform(v, lambda x: x.cast("double") / s))
 
-    a, b = near_one(a), near_one(b)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, add)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), zero, add))
-    both = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (both > 0), dot / both)
+    def of(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        both = norm(a) * norm(b)
+        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, add)
+        return F.when((F.size(a) == F.size(b)) & (both > 0), dot / both)
+
+    return bound(F.struct(near_one(a).alias("a"), near_one(b).alias("b")), of)
 
 
 def shorten(text: Column, n: int, mark: str = "...") -> Column:

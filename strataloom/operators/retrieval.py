@@ -28,6 +28,8 @@ DIGITS = 6
 QUERY_PART = 256
 #: Recall that a search in cells has to reach, and the queries that an audit of it asks at most.
 RECALL, AUDITED = 0.9, 400
+#: Vectors of a cell that one task takes, about.
+CELL_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,11 @@ def bm25(queries: DataFrame, index: TextIndex, k: int = TEXT_K, k1: float = K1,
     return normalised(top(hits, k, F.desc("score"), F.asc("id")))
 
 
+def _usable(v: Column) -> Column:
+    """Whether a vector has a direction: no null or non-finite component, and one that is not zero."""
+    return F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def _directions(column: pd.Series) -> np.ndarray:
     """Rows of length one; a power of two brings each near one first, so that no square overflows or vanishes."""
     x = np.array(column.to_list(), np.float64)
@@ -124,9 +131,8 @@ def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int
     spark = queries.sparkSession
     ship(spark)
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usable = lambda v: F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(usable(F.col("q")))
+    rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(_usable(F.col("v")))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(_usable(F.col("q")))
     rows = rows.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("dim", F.size("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     kinds = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
@@ -304,14 +310,26 @@ def assigned(model, index: DataFrame, vector: str) -> DataFrame:
 def _hits_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int) -> DataFrame:
     """The k best hits over the `probes` cells closest to a query; `n` is the place of a hit's cell among them."""
     spark = queries.sparkSession
+    ship(spark)
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, __c array<double>")
     # one row per cell
     far = queries.join(F.broadcast(centres), F.size("vector") == F.size("__c")).withColumn("d", cosine(F.col("vector"), F.col("__c")))
     n = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("d"), "cell"))
-    asked = far.withColumn("n", n).where(F.col("n") <= probes).select("query_id", "cell", "n", F.col("vector").alias("__q"))
-    rows = in_cells.select("cell", F.col(key).alias("id"), F.col(vector).alias("__v"))
-    hits = rows.join(asked, "cell").select("query_id", "id", "n", F.round(cosine(F.col("__q"), F.col("__v")), DIGITS).alias("score"))
-    return top(hits.where("score is not null"), k, F.desc("score"), F.asc("id"))
+    asked = far.withColumn("n", n).where(F.col("n") <= probes).select("query_id", "cell", "n", F.col("vector").cast("array<double>").alias("q"))
+    # a cell that holds many of the vectors is dealt to several tasks; one row per cell is broadcast
+    parts = F.broadcast(in_cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")))
+    asked = asked.where(_usable(F.col("q"))).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = in_cells.select("cell", F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(_usable(F.col("v")))
+    rows = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    kinds = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, n int, score double"
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(a) and len(b):
+            return _block_hits(a, b, k).merge(b[["query_id", "n"]], on="query_id")[["query_id", "id", "n", "score"]]
+        return pd.DataFrame({"query_id": b["query_id"][:0], "id": a["id"][:0], "n": np.zeros(0, np.int32), "score": np.zeros(0)})
+
+    hits = rows.drop("parts").groupBy("cell", "part").cogroup(asked.drop("parts").groupBy("cell", "part")).applyInPandas(meet, kinds)
+    return top(hits, k, F.desc("score"), F.asc("id"))
 
 
 def nearest_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int = VECTOR_K) -> DataFrame:
