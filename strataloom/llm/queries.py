@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, near_vectors, ngram_join, packing, quality, sql, token_counts, token_files, url_filter
+from . import ann, collocations, language, mixing, near_vectors, ngram_join, packing, quality, sql, token_counts, token_files, url_filter
 from .common import Scratch, held_out
 
 
@@ -67,6 +67,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("trust")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_mix_to_target_weights, op2_near_vectors, op3_language_id, op4_token_counts, op5_best_fit_packing, op6_token_files,
-        op7_nearest_neighbours, op8_quality_classifier, op9_ngram_jaccard_join, op10_url_filter, pipeline,
+        op7_nearest_neighbours, op8_quality_classifier, op9_ngram_jaccard_join, op10_url_filter,
+        op12_phrase_collocations, pipeline,
     ]
     return {f.__name__: f for f in own}
 
@@ -87,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_nearest_neighbours": sql.nearest(50, 5),
         "op9_ngram_jaccard_join": sql.ngram_join(ngram_join.WORDS, ngram_join.THRESHOLD),
         "op10_url_filter": sql.url_filter(url_filter.RULES, url_filter.DAMPING, url_filter.STEPS, url_filter.THRESHOLD, url_filter.DIGITS),
+        "op12_phrase_collocations": sql.collocations(collocations.MAX_WORDS, collocations.LEAST, collocations.SHARE, collocations.MOST),
     }

@@ -125,3 +125,31 @@ def url_filter(rules, damping: float, steps: int, threshold: float, digits: int)
 SELECT page_id, b.host, path, rule, coalesce(ruled, CASE WHEN coalesce(trust, 0.5) >= {threshold} THEN 'allow' ELSE 'block' END) AS verdict
 FROM base b LEFT JOIN standing s ON s.host = b.host"""
     )
+
+
+def collocations(max_words: int, least: int, share: int, most: int) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase, {k} AS words FROM said WHERE len(w) >= {k}"
+        for k in range(1, max_words + 1)
+    )
+    return f"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+f AS (SELECT lang, phrase, words, count(*) AS n FROM ({grams}) t GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, words, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= {least}),
+cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.w, c.a, x.n AS l, y.n AS r, k, 1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM candidates b WHERE b.lang = s.lang AND b.words > len(s.w) AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+      AND 100 * b.a >= {share} * s.a)
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, t.n, score::BIGINT AS score FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= {most}"""
