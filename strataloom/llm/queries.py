@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, language, mixing, near_vectors, ngram_join, packing, quality, sql, token_counts, token_files, url_filter
+from . import ann, collocations, language, merkle, mixing, near_vectors, ngram_join, packing, quality, sql, token_counts, token_files, url_filter
 from .common import Scratch, held_out
 
 
+#: Rows whose crc32 of doc_id this divides claim a wrong n_chars, to show that the manifest tells.
+TAMPERED = 7
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +71,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("trust")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + hit.cast("int").cast("decimal(20,0)")).cast("string")
+    claimed = {"n_chars": F.when(hit, more).otherwise(F.col("n_chars").cast("string"))}
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", claimed, proofs=False)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -81,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_mix_to_target_weights, op2_near_vectors, op3_language_id, op4_token_counts, op5_best_fit_packing, op6_token_files,
         op7_nearest_neighbours, op8_quality_classifier, op9_ngram_jaccard_join, op10_url_filter,
-        op12_phrase_collocations, pipeline,
+        op11_merkle_manifest, op12_phrase_collocations, pipeline,
     ]
     return {f.__name__: f for f in own}
 
@@ -92,5 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_nearest_neighbours": sql.nearest(50, 5),
         "op9_ngram_jaccard_join": sql.ngram_join(ngram_join.WORDS, ngram_join.THRESHOLD),
         "op10_url_filter": sql.url_filter(url_filter.RULES, url_filter.DAMPING, url_filter.STEPS, url_filter.THRESHOLD, url_filter.DIGITS),
+        "op11_merkle_manifest": sql.manifest(TAMPERED),
         "op12_phrase_collocations": sql.collocations(collocations.MAX_WORDS, collocations.LEAST, collocations.SHARE, collocations.MOST),
     }

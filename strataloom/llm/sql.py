@@ -153,3 +153,53 @@ kept AS (
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT r.lang, rank, phrase, a, l, r, t.n, score::BIGINT AS score FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= {most}"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def manifest(modulus: int) -> str:
+    def leaf(n_chars: str) -> str:
+        said = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        return f"sha256({' || '.join(said)})"
+
+    return f"""WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {leaf("n_chars")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % {modulus} = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS claim FROM documents
+),
+leaves AS (
+  SELECT row_number() OVER () AS id, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n FROM hashed
+),
+tree(lang, level, pos, n, h) AS (
+  SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n
+),
+subroots AS (SELECT lang, h, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper(level, pos, n, h) AS (
+  SELECT 0, place, n, h FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2, n
+),
+top AS (SELECT h AS root, level AS height FROM upper WHERE n = 1),
+steps AS (
+  SELECT l.id, l.k, l.j % 2 = 1 AS is_right, t.h AS sibling FROM (
+    SELECT id, l.lang, unnest(range(0, height)) AS k, pos // (2 ** unnest(range(0, height)))::BIGINT AS j FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+  ) l LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND t.level = l.k AND t.pos = xor(l.j, 1)
+  UNION ALL
+  SELECT l.id, l.below + l.k, l.j % 2 = 1, t.h FROM (
+    SELECT id, s.height AS below, unnest(range(0, o.height)) AS k, place // (2 ** unnest(range(0, o.height)))::BIGINT AS j
+    FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN top o
+  ) l LEFT JOIN upper t ON t.level = l.k AND t.pos = xor(l.j, 1)
+),
+folded(id, k, h) AS (
+  SELECT id, 0::BIGINT, claim FROM leaves
+  UNION ALL SELECT f.id, f.k + 1, sha256(CASE WHEN is_right THEN coalesce(sibling, '') || h ELSE h || coalesce(sibling, '') END)
+  FROM folded f JOIN steps s ON s.id = f.id AND s.k = f.k
+),
+proofs AS (SELECT id, string_agg(sibling, '' ORDER BY k) AS siblings, count(*) AS height FROM steps GROUP BY id)
+SELECT l.doc_id, l.leaf, s.h AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN top LEFT JOIN proofs p ON p.id = l.id
+JOIN folded f ON f.id = l.id AND f.k = coalesce(p.height, 0)"""
