@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, language, merkle, mixing, near_vectors, ngram_join, packing, quality, sql, token_counts, token_files, url_filter
+from . import ann, collocations, interpolation, language, merkle, mixing, near_vectors, ngram_join, packing, quality, sql, token_counts, token_files, url_filter
 from .common import Scratch, held_out
 
 
@@ -83,6 +83,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return interpolation.score_texts(_table(spark, sf_dir, "documents"), held)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_mix_to_target_weights, op2_near_vectors, op3_language_id, op4_token_counts, op5_best_fit_packing, op6_token_files,
         op7_nearest_neighbours, op8_quality_classifier, op9_ngram_jaccard_join, op10_url_filter,
-        op11_merkle_manifest, op12_phrase_collocations, pipeline,
+        op11_merkle_manifest, op12_phrase_collocations, op13_lm_scoring, pipeline,
     ]
     return {f.__name__: f for f in own}
 
