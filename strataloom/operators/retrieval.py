@@ -197,12 +197,13 @@ def scored(queries: DataFrame, hits: DataFrame, index: DataFrame, key: str, text
 
 
 def retrieve(
-    queries: DataFrame, index: DataFrame, key: str, text: str, vector: str, score: Column | None = None, drop_single: bool = False, terms: TextIndex | None = None
+    queries: DataFrame, index: DataFrame, key: str, text: str, vector: str, score: Column | None = None, drop_single: bool = False, terms=None
 ) -> DataFrame:
     """Vector hits, then fused hits, each id once, reranked: (query_id, rank, id, score) for queries (query_id, question,
-    vector). `terms` is a stored index of the same texts, if there is one."""
+    vector). `terms` is a stored index of the same texts, if there is one: a TextIndex or a KeptIndex."""
     near = nearest(queries, index, key, vector)
-    both = fused(bm25(queries, terms or text_index(index, key, text)), near)
+    by_text = bm25(queries, terms or text_index(index, key, text)) if terms is None or isinstance(terms, TextIndex) else terms.search(queries)
+    both = fused(by_text, near)
     hits = scored(queries, first_of(near, both), index, key, text, score)
     return reranked(hits, F.col("judged"), drop_single=drop_single).select("query_id", "rank", "id", "score")
 

@@ -6,6 +6,7 @@ the graph; documents with embeddings for the chunk index; benchmark items for qu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from ..api import KnowledgeBase
 from ..functions import chunking, parsing, text
 from ..functions.providers import Providers
 from ..operators import graph, ingest, matching, packing, pipelines, retrieval
-from ..runtime import ship
+from ..operators.kept_index import KeptIndex
+from ..operators.versions import Conflict
+from ..runtime import shared_folder, ship
 from ..streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +31,11 @@ class Tables:
         ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
+    def files(self, name: str) -> list:
+        """The file statuses of a table: one file, or a folder of them."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+        return list(at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -525,9 +533,21 @@ both_ AS (
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t NULLS LAST, v NULLS LAST)::INTEGER AS rank FROM both_) x WHERE rank <= 10)"""
 
 
+def _kept_index(t: Tables) -> KeptIndex:
+    """The stored index of the chunk texts: made once for each state of the tables, loaded after that."""
+    state = "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for n in ("documents", "embeddings") for f in t.files(n)))
+    index = KeptIndex(t.spark, f"{shared_folder(t.spark)}/strataloom-kept/text-{hashlib.sha256(state.encode()).hexdigest()[:24]}")
+    if not index.snapshot().segments:
+        try:
+            index.upsert(_index(t), "doc_id", "text")
+        except Conflict:
+            pass  # another session has stored the same
+    return index
+
+
 @query(f"WITH {_HITS} SELECT query_id, rank, id, score, normalised FROM text_hits")
 def bm25_top(t: Tables) -> DataFrame:
-    return retrieval.bm25(_questions(t), retrieval.text_index(_index(t), "doc_id", "text")).select("query_id", "rank", "id", "score", "normalised")
+    return _kept_index(t).search(_questions(t)).select("query_id", "rank", "id", "score", "normalised")
 
 
 @query(f"WITH {_HITS} SELECT query_id, rank, id, score, normalised FROM vector_hits")
@@ -538,7 +558,7 @@ def vector_top(t: Tables) -> DataFrame:
 @query(f"WITH {_HITS} SELECT query_id, rank, id, text_score, vector_score, score FROM fused")
 def hybrid_top(t: Tables) -> DataFrame:
     q, index = _questions(t), _index(t)
-    out = retrieval.fused(retrieval.bm25(q, retrieval.text_index(index, "doc_id", "text")), retrieval.nearest(q, index, "doc_id", "embedding"))
+    out = retrieval.fused(_kept_index(t).search(q), retrieval.nearest(q, index, "doc_id", "embedding"))
     return out.select("query_id", "rank", "id", "text_score", "vector_score", "score")
 
 
@@ -551,7 +571,7 @@ def hybrid_top(t: Tables) -> DataFrame:
   JOIN (SELECT doc_id AS id, {_W.format("text")} AS w FROM idx) b USING (id)
 ) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place)::INTEGER AS rank FROM judged) t WHERE rank <= 5""")
 def retrieve_reranked(t: Tables) -> DataFrame:
-    return retrieval.retrieve(_questions(t), _index(t), "doc_id", "text", "embedding")
+    return retrieval.retrieve(_questions(t), _index(t), "doc_id", "text", "embedding", terms=_kept_index(t))
 
 
 @query(f"""WITH posted AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_W.format("text")}) AS term FROM documents) t GROUP BY ALL)
@@ -710,4 +730,4 @@ def vectors_backfilled(t: Tables) -> DataFrame:
     return pipelines.backfill_vectors(nodes, "text", "vector", F.lower).select("id", "vector")
 
 
-from . import upkeep  # noqa: E402, F401  registers its queries here
+from . import kept, upkeep  # noqa: E402, F401  register their queries here

@@ -20,3 +20,15 @@ def ship(spark: SparkSession) -> None:
                 out.write(path, path.relative_to(package.parent))
         ctx.addPyFile(str(target))
         ctx._strataloom = str(target)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a new local one where it is unset and all runs on
+    one machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="strataloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
