@@ -26,7 +26,7 @@ from .grams import cut, gram_hashes, slices
 ORDER = 2
 GAPS = b" \t\n\x0b\x0c\r"
 #: Bytes of text in a batch, tokens whose n-grams one task sums, about, and one in how many training documents is left out.
-BATCH_BYTES, PART_TOKENS, DELETED = 12_000_000, 2_000_000, 10
+BATCH_BYTES, PART_TOKENS, DELETED = 5_000_000, 1_000_000, 10
 #: EM ends after so many rounds, or when a token's mean log-likelihood gains less.
 ROUNDS, GAIN = 60, 1e-5
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,7 +81,7 @@ def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         held.append(batch)
         waiting += batch.nbytes
-        if waiting >= 2 * BATCH_BYTES:
+        if waiting >= BATCH_BYTES:
             yield from cut_up(pa.Table.from_batches(held))
             held, waiting = [], 0
     if held:
