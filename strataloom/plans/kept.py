@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.kept_index import KeptIndex
+from ..operators.keyed_table import KeyedTable, upsert_batches
 from ..runtime import shared_folder
 from .catalog import _W, Tables, query
 
@@ -58,3 +59,43 @@ def changed_index_frequencies(t: Tables) -> DataFrame:
     index.merge(fanout=2)
     terms = t.benchmark.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct()
     return index.frequencies(terms)
+
+
+# --- a table by key ------------------------------------------------------------------------------------------------------
+
+_BATCHED = """old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal::DOUBLE AS value FROM customer WHERE c_custkey % 3 <> 0),
+sent AS (
+  SELECT c_custkey AS id, upper(c_mktsegment) AS name, c_nationkey::DOUBLE AS value, c_custkey % 4 AS batch FROM customer WHERE c_custkey % 2 = 0
+)"""
+
+
+def _batched(t: Tables) -> tuple[KeyedTable, DataFrame]:
+    """A table by key that gets four batches: some rows have no name, all of batch 2 can't be cast, batch 0 comes twice."""
+    table = KeyedTable.create(t.spark, _folder(t, "customers"), "id long, name string, value double", ["id"], buckets=8)
+    table.insert(t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("value")), [F.col("name")])
+    sent = t.customer.where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 != 0, F.upper("c_mktsegment")).alias("name"),
+        F.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("x"), "c_nationkey")).otherwise(F.col("c_nationkey").cast("string")).alias("value"),
+    )
+    fault = F.when(F.col("name").isNull(), "no name")
+    batches = [(f"b{n}", sent.where(F.col("id") % 4 == n)) for n in (0, 2)] + [("b0", sent.where("id % 4 = 0"))]
+    results = upsert_batches(table, batches, [F.col("value")], fault, lambda rows: rows.withColumn("value", F.col("value").cast("double")))
+    table.update(t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("name")).where("id % 7 = 0"), "name")
+    table.delete(t.customer.where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("id")))
+    return table, results
+
+
+@query(f"""WITH {_BATCHED},
+taken AS (SELECT id, name, value FROM sent WHERE batch = 0 AND id % 5 <> 0),
+both_ AS (SELECT * FROM taken UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM taken)),
+later AS (SELECT o_custkey AS id, max(o_orderpriority) AS name FROM orders WHERE o_custkey % 7 = 0 GROUP BY 1)
+SELECT b.id, coalesce(l.name, b.name) AS name, b.value FROM both_ b LEFT JOIN later l ON l.id = b.id WHERE b.id % 11 <> 0""")
+def keyed_rows(t: Tables) -> DataFrame:
+    return _batched(t)[0].read()
+
+
+@query(f"""WITH {_BATCHED} SELECT * FROM (
+  SELECT 'b0' AS batch, 'taken' AS status, count(*) FILTER (id % 5 <> 0) AS taken, count(*) FILTER (id % 5 = 0) AS refused, NULL::VARCHAR AS error FROM sent WHERE batch = 0
+  UNION ALL SELECT 'b2', 'failed', 0, 0, 'CAST_INVALID_INPUT' UNION ALL SELECT 'b0', 'repeated', 0, 0, NULL) x""")
+def keyed_batch_results(t: Tables) -> DataFrame:
+    return _batched(t)[1]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import kept_index, retrieval
 from strataloom.operators.kept_index import KeptIndex
+from strataloom.operators.keyed_table import KeyedTable, upsert_batches
 from strataloom.operators.versions import Conflict, Versions
 
 random.seed(5)
@@ -92,3 +93,92 @@ def test_versions_are_made_once(spark, tmp_path):
     assert versions.commit(1, {"a": 4}) == 3 and versions.last() == (3, {"a": 4})
     versions.forget(1)
     assert versions.read(1) is None and json.loads((tmp_path / "t/versions/v000000003.json").read_text()) == {"a": 4}
+
+
+def _table(spark, tmp_path, n=200, buckets=8):
+    table = KeyedTable.create(spark, str(tmp_path / "t"), "id long, name string, value double", ["id"], buckets)
+    table.upsert(_rows(spark, {i: (f"n{i}", float(i)) for i in range(n)}), [F.col("value")], "load")
+    return table
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(i, *v) for i, v in rows.items()], "id long, name string, value double")
+
+
+def _content(table, at=None):
+    rows = table.read(at).collect()
+    assert len(rows) == len({r["id"] for r in rows})
+    return {r["id"]: (r["name"], r["value"]) for r in rows}
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    table = _table(spark, tmp_path)
+    _, before = table.state()
+    old = _content(table)
+    version = table.upsert(_rows(spark, {5: ("five", 0.5), 1000: ("new", 1.0)}), [F.col("value")])
+    _, after = table.state()
+    changed = [b for b in after["files"] if after["files"][b] != before["files"].get(b)]
+    assert sorted(map(int, changed)) == after["touched"] and 1 <= len(changed) <= 2 and len(before["files"]) == 8
+    assert _content(table) == old | {5: ("five", 0.5), 1000: ("new", 1.0)} and _content(table, version - 1) == old
+    table.insert(_rows(spark, {5: ("no", 0.0), 1001: ("yes", 2.0)}).unionByName(spark.createDataFrame([(None, "x", 0.0), (1002, "b", 2.0), (1002, "a", 1.0)], "id long, name string, value double")), [F.col("value")])
+    table.update(spark.createDataFrame([(5, "5"), (6, "6"), (7777, "none")], "id long, name string"), "name")
+    table.update(spark.createDataFrame([(8, "no"), (5, "no")], "id long, name string"), "name", only_null=True)
+    table.delete(spark.createDataFrame([(7,), (8888,)], "id long"))
+    want = old | {5: ("5", 0.5), 6: ("6", 6.0), 1000: ("new", 1.0), 1001: ("yes", 2.0), 1002: ("a", 1.0)}
+    want.pop(7)
+    assert _content(table) == want
+    assert table.vacuum() and not table.vacuum() and _content(table) == want
+    table.delete(table.read().select("id"))
+    assert _content(table) == {} and table.read().columns == ["id", "name", "value"]
+
+
+def test_a_commit_that_dies_half_way_changes_nothing(spark, tmp_path, monkeypatch):
+    table = _table(spark, tmp_path)
+    old, number = _content(table), table.state()[0]
+    change = _rows(spark, {1: ("one", 1.5), 2: ("two", 2.5)})
+
+    def die(self, after, content):
+        (tmp_path / f"t/versions/v{after + 1:09d}.json").write_text('{"files": {"0"')
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "commit", die)
+        with pytest.raises(OSError):
+            table.upsert(change, [F.col("value")], "b1")
+    assert table.state()[0] == number and _content(table) == old and not table.done("b1")
+    made = table.upsert(change, [F.col("value")], "b1")
+    assert made == number + 2 and table.done("b1") and _content(table) == old | {1: ("one", 1.5), 2: ("two", 2.5)}
+    assert table.upsert(change.withColumn("name", F.lit("again")), [F.col("value")], "b1") == made and _content(table)[1] == ("one", 1.5)
+    assert table.vacuum()  # what the killed change has left
+
+
+def test_writers_that_meet_both_take_effect(spark, tmp_path, monkeypatch):
+    table, other = _table(spark, tmp_path), KeyedTable(spark, str(tmp_path / "t"))
+    commit, meet = Versions.commit, [True]
+
+    def first(self, after, content):
+        if meet.pop() if meet else False:
+            other.upsert(_rows(spark, {1: ("other", 0.0)}), [F.col("value")])
+        return commit(self, after, content)
+
+    monkeypatch.setattr(Versions, "commit", first)
+    table.upsert(_rows(spark, {2: ("mine", 0.0)}), [F.col("value")])
+    got = _content(table)
+    assert got[1] == ("other", 0.0) and got[2] == ("mine", 0.0) and len(got) == 200
+    with pytest.raises(Conflict):
+        KeyedTable.create(spark, str(tmp_path / "t"), "id long", ["id"])
+    with pytest.raises(ValueError):
+        KeyedTable.create(spark, str(tmp_path / "u"), "id long", ["key"])
+
+
+def test_batches(spark, tmp_path):
+    """One is refused in part, one fails, one comes twice."""
+    table = _table(spark, tmp_path, 10, 2)
+    good = _rows(spark, {1: ("one", 1.5), 2: (None, 2.5)})
+    bad = spark.createDataFrame([(3, "x", "word")], "id long, name string, value string")
+    got = upsert_batches(
+        table, [("a", good), ("b", bad), ("a", good), ("c", _rows(spark, {4: ("four", 4.0)}))], [F.col("value")], F.when(F.col("name").isNull(), "no name"),
+        lambda rows: rows.withColumn("value", F.col("value").cast("double")),
+    )
+    assert [tuple(r) for r in got.collect()] == [("a", "taken", 1, 1, None), ("b", "failed", 0, 0, "CAST_INVALID_INPUT"), ("a", "repeated", 0, 0, None), ("c", "taken", 1, 0, None)]
+    assert _content(table)[1] == ("one", 1.5) and _content(table)[2] == ("n2", 2.0) and _content(table)[3] == ("n3", 3.0)
