@@ -11,9 +11,10 @@ is in force only: a search gives the scores of an index built anew.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,10 +39,11 @@ class Snapshot:
 
 
 class KeptIndex:
-    """docs are rows (key, text); keys are unique among those in force, null keys and null texts are passed over."""
+    """docs are rows (key, text); keys are unique among those in force, null keys and null texts are passed over. `analyse`
+    cuts texts and questions into terms; an index is read with what it was made with."""
 
-    def __init__(self, spark: SparkSession, folder: str, key_type: str = "bigint"):
-        self.spark, self.folder, self.key_type = spark, folder.rstrip("/"), key_type
+    def __init__(self, spark: SparkSession, folder: str, key_type: str = "bigint", analyse: Callable[[Column], Column] = words):
+        self.spark, self.folder, self.key_type, self.analyse = spark, folder.rstrip("/"), key_type, analyse
         self.versions = Versions(spark, self.folder)
 
     def snapshot(self) -> Snapshot:
@@ -55,7 +57,7 @@ class KeptIndex:
         """Adds documents as one segment; those in force with the same key go. Of rows that share a key one stays."""
         now = self.snapshot()
         cut = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).dropDuplicates([key])
-        cut = cut.select(F.col(key).cast(self.key_type).alias("id"), words(F.col(text)).alias("w"))
+        cut = cut.select(F.col(key).cast(self.key_type).alias("id"), self.analyse(F.col(text)).alias("w"))
         segment = self._store(cut, None, 0)
         gone = self._deleted(now, self._docs([segment])) if now.segments else None
         self._commit(now, [*now.segments, segment], [*now.deletions, *([gone] if gone else [])])
@@ -211,7 +213,7 @@ class KeptIndex:
         docs, length = self.size(now)
         average = length / docs if docs else 1.0
         impact = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (average or 1.0)))
-        asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("question")))).alias("term"))
+        asked = queries.select("query_id", F.explode(F.array_distinct(self.analyse(F.col("question")))).alias("term"))
         df = self.frequencies(asked.select("term").distinct(), now)
         weight = asked.join(df, "term").withColumn("idf", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         rows = self._wanted(now, asked)

@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import segmenting
+from ..functions.text import words
+from ..operators import ingest
 from ..operators.kept_index import KeptIndex
 from ..operators.keyed_table import KeyedTable, upsert_batches
 from ..runtime import shared_folder
+from ..sources import collection
 from .catalog import _W, Tables, query
 
 
@@ -53,8 +57,6 @@ def changed_index_top(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_CHANGED} SELECT term, count(*) AS df FROM posted WHERE term IN (SELECT unnest({_W.format("text")}) FROM benchmark) GROUP BY term""")
 def changed_index_frequencies(t: Tables) -> DataFrame:
-    from ..functions.text import words
-
     index = _changed_index(t)
     index.merge(fanout=2)
     terms = t.benchmark.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct()
@@ -99,3 +101,65 @@ def keyed_rows(t: Tables) -> DataFrame:
   UNION ALL SELECT 'b2', 'failed', 0, 0, 'CAST_INVALID_INPUT' UNION ALL SELECT 'b0', 'repeated', 0, 0, NULL) x""")
 def keyed_batch_results(t: Tables) -> DataFrame:
     return _batched(t)[1]
+
+
+# --- copies of a collection ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id::VARCHAR AS vec_id, coalesce(label::VARCHAR, '') AS text, len(embedding) AS dim FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL")
+def collection_copied(t: Tables) -> DataFrame:
+    """In steps of a third of the rows, by two copiers of which the second goes on where the first has stopped."""
+    path, target = f"{t.sf_dir}/embeddings.parquet", _folder(t, "copy")
+    clean = lambda df: ingest.clean_for_copy(df.select("vec_id", F.col("label").cast("string").alias("text"), "embedding"), "vec_id", "text", "embedding")
+    first = collection.Copy(t.spark, path, target)
+    rows = first.plan()[1] // 3 + 1
+    first.step(rows, clean)
+    out = collection.Copy(t.spark, path, target).run(rows, clean)
+    return out.select("vec_id", "text", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 3) AND vec_id >= 100")
+def collection_filtered(t: Tables) -> DataFrame:
+    """Both conditions are met inside the source."""
+    return collection.pages(t.spark, f"{t.sf_dir}/embeddings.parquet").where("label in (1, 3) and vec_id >= 100").select("vec_id", "label")
+
+
+# --- words of unspaced text ----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE said AS (SELECT item_id, {_W.format("text")} AS w FROM benchmark),
+counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM said) t GROUP BY word),
+total AS (SELECT sum(n) AS total FROM counts),
+known AS (
+  SELECT map_from_entries(list((word, round(-1000 * ln(n / total))::BIGINT))) AS m, max(length(word)) AS longest, max(round(-1000 * ln(0.1 / total)))::BIGINT AS other
+  FROM counts, total WHERE length(word) <= 24
+),
+dp AS (
+  SELECT item_id, array_to_string(w, '') AS s, 0 AS i, [struct_pack(c := 0::BIGINT, n := 0::BIGINT, l := 0::BIGINT)] AS best FROM said
+  UNION ALL
+  SELECT item_id, s, i + 1, list_append(best, list_min(list_filter(list_transform(range(1, least(i + 1, longest) + 1), lambda k: struct_pack(
+    c := best[i + 2 - k].c + coalesce(m[substr(s, i + 2 - k, k)], CASE WHEN k = 1 THEN other END), n := best[i + 2 - k].n + 1, l := -k)), lambda x: x.c IS NOT NULL)))
+  FROM dp, known WHERE i < length(s)
+),
+back AS (
+  SELECT item_id, s, best, length(s)::BIGINT AS place, ''::VARCHAR AS cut FROM dp WHERE i = length(s)
+  UNION ALL SELECT item_id, s, best, place + best[place + 1].l, substr(s, place + best[place + 1].l + 1, -best[place + 1].l) || ' ' || cut FROM back WHERE place > 0
+)
+SELECT item_id, rtrim(cut) AS cut FROM back WHERE place = 0""")
+def items_recut(t: Tables) -> DataFrame:
+    """Every item without its blanks, cut again along the cheapest path."""
+    cut = segmenting.cutter(t.spark, segmenting.learned(t.benchmark, "text"))
+    return t.benchmark.select("item_id", F.array_join(cut(F.array_join(words(F.col("text")), "")), " ").alias("cut"))
+
+
+@query()
+def documents_recut(t: Tables) -> DataFrame:
+    """How well words are found again in whole documents without blanks: precision, recall and F1 of their ends by language.
+    Costs are learned from three quarters of the documents; `learned` tells those from the rest."""
+    learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0
+    cut = segmenting.cutter(t.spark, segmenting.learned(t.documents.where(learns), "text"))
+    told = t.documents.where("text is not null").select("lang", learns.alias("learned"), words(F.col("text")).alias("told"))
+    rows = segmenting.agreement(told.withColumn("found", cut(F.array_join("told", ""))), F.col("told"), F.col("found"))
+    sums = rows.groupBy("lang", "learned").agg(F.sum("hits").alias("hits"), F.sum("ends").alias("ends"), F.sum("found_ends").alias("found_ends"))
+    p, r = F.col("hits") / F.col("found_ends"), F.col("hits") / F.col("ends")
+    return sums.withColumns({"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(2 * p * r / (p + r), 4)})

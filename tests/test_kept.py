@@ -3,13 +3,17 @@
 import json
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from strataloom.operators import kept_index, retrieval
 from strataloom.operators.kept_index import KeptIndex
 from strataloom.operators.keyed_table import KeyedTable, upsert_batches
 from strataloom.operators.versions import Conflict, Versions
+from strataloom.sources import collection
 
 random.seed(5)
 WORDS = [f"w{i}" for i in range(300)]
@@ -182,3 +186,53 @@ def test_batches(spark, tmp_path):
     )
     assert [tuple(r) for r in got.collect()] == [("a", "taken", 1, 1, None), ("b", "failed", 0, 0, "CAST_INVALID_INPUT"), ("a", "repeated", 0, 0, None), ("c", "taken", 1, 0, None)]
     assert _content(table)[1] == ("one", 1.5) and _content(table)[2] == ("n2", 2.0) and _content(table)[3] == ("n3", 3.0)
+
+
+def _collection(tmp_path, first, n, name="c"):
+    (tmp_path / name).mkdir(exist_ok=True)
+    table = pa.table({"id": pa.array(range(first, first + n), pa.int64()), "v": [f"v{i}" if i % 5 else None for i in range(first, first + n)]})
+    pq.write_table(table, str(tmp_path / name / f"part-{first:06d}.parquet"), row_group_size=40)
+    return str(tmp_path / name)
+
+
+def test_pages_filters_and_offsets(spark, tmp_path):
+    path = _collection(tmp_path, 0, 100)
+    _collection(tmp_path, 100, 50)
+    df = collection.pages(spark, path)
+    assert df.columns == ["id", "v", "_offset"] and df.rdd.getNumPartitions() == 5
+    assert [tuple(r) for r in df.where("id >= 99 and id < 101").collect()] == [(99, "v99", 99), (100, None, 100)]
+    assert {r["id"] for r in collection.pages(spark, path, 95, 10).collect()} == set(range(95, 105))
+    assert df.where("id in (3, 149, 900) and v is not null").count() == 2 and df.where("_offset = 7").count() == 1
+    assert collection.pages(spark, path, 150).count() == 0
+    reader = collection.CollectionReader({"path": path})
+    assert not list(reader.pushFilters([EqualTo(("id",), 120)])) and len(reader.partitions()) == 1
+    assert collection.described(path) == '{"files": 2, "groups": 5, "rows": 150}'
+
+
+def test_a_copy_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    path = _collection(tmp_path, 0, 100)
+    copy = collection.Copy(spark, path, str(tmp_path / "copy"))
+    clean = lambda df: df.where("v is not null").select("id", "v")
+    assert copy.plan() == (100, 100) and copy.step(30, clean) and copy.offset == 30
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            copy.step(30, clean)
+    again = collection.Copy(spark, path, str(tmp_path / "copy"))
+    assert again.plan() == (70, 100)
+    _collection(tmp_path, 100, 20)
+    assert sorted(r["id"] for r in again.run(45, clean).collect()) == [i for i in range(120) if i % 5]
+    assert again.plan() == (0, 120) and not again.step(10) and again.vacuum() == 1
+    again.recreate()
+    assert again.plan() == (120, 120) and again.run(1000, clean).count() == 96
+
+
+def test_a_stream_follows_a_collection(spark, tmp_path):
+    path, sink, mark = _collection(tmp_path, 0, 60), str(tmp_path / "sink"), str(tmp_path / "mark")
+    collection.follow(spark, path, sink, mark).awaitTermination(60)
+    assert spark.read.parquet(sink).count() == 60
+    _collection(tmp_path, 60, 30)
+    collection.follow(spark, path, sink, mark).awaitTermination(60)
+    collection.follow(spark, path, sink, mark).awaitTermination(60)
+    got = [r["id"] for r in spark.read.parquet(sink).collect()]
+    assert sorted(got) == list(range(90))
