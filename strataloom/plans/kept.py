@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import segmenting
+from .. import sql_functions
+from ..functions import calls, segmenting
 from ..functions.text import words
 from ..operators import ingest
 from ..operators.kept_index import KeptIndex
 from ..operators.keyed_table import KeyedTable, upsert_batches
+from ..operators.paged import PagedTable
 from ..runtime import shared_folder
 from ..sources import collection
+from ..streaming import slow_jobs as slow
 from .catalog import _W, Tables, query
 
 
@@ -163,3 +166,102 @@ def documents_recut(t: Tables) -> DataFrame:
     sums = rows.groupBy("lang", "learned").agg(F.sum("hits").alias("hits"), F.sum("ends").alias("ends"), F.sum("found_ends").alias("found_ends"))
     p, r = F.col("hits") / F.col("found_ends"), F.col("hits") / F.col("ends")
     return sums.withColumns({"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(2 * p * r / (p + r), 4)})
+
+
+# --- jobs that take time -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (
+  SELECT user_id || '/' || (ts::DATE)::VARCHAR AS job, date_trunc('milliseconds', ts) AS ts,
+    CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS kind FROM events
+),
+sent AS (SELECT job, min(ts) AS submitted FROM m WHERE kind = 'submitted' GROUP BY job HAVING min(ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM m) - INTERVAL '1 day'),
+own AS (SELECT m.*, submitted FROM m JOIN sent USING (job) WHERE kind <> 'submitted' AND ts BETWEEN submitted AND submitted + INTERVAL '6 hours'),
+ends AS (SELECT job, min(ts) AS ended, arg_min(kind, (ts, kind)) AS status FROM own WHERE kind IN ('done', 'failed') GROUP BY job),
+told AS (
+  SELECT job, min(ts) FILTER (kind = 'running') AS started, count(*) AS n FROM own LEFT JOIN ends USING (job)
+  WHERE ended IS NULL OR ts < ended OR (ts = ended AND kind <= status) GROUP BY job
+)
+SELECT job, submitted, started, ended, coalesce(status, 'timed out') AS status, (coalesce(n, 0) + 1)::INTEGER AS messages
+FROM sent LEFT JOIN ends USING (job) LEFT JOIN told USING (job)""")
+def slow_jobs(t: Tables) -> DataFrame:
+    """A user's day is a job: sign-ups submit it, purchases end it well and errors badly; six hours are the limit."""
+    kind = F.when(F.col("event_type") == "signup", "submitted").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
+    messages = stream.select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("job"), F.date_trunc("millisecond", "ts").alias("ts"), kind.alias("kind"))
+    at = _folder(t, "jobs")
+    slow.follow(messages, 6 * 3600, "1 day", f"{at}/sink", f"{at}/checkpoint").awaitTermination()
+    return slow.judged(t.spark, f"{at}/sink").select("job", "submitted", "started", "ended", "status", "messages")
+
+
+# --- calls in flight -----------------------------------------------------------------------------------------------------
+
+
+class Moody:
+    """A provider that fails as often as a request's length tells, then answers."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, request: str) -> str:
+        self.seen[request] = self.seen.get(request, 0) + 1
+        if self.seen[request] <= len(request) % 5:
+            raise OSError("busy")
+        return request[:12]
+
+
+@query("""WITH asked AS (SELECT conv_id, turn, conv_id || '/' || turn || ' ' || text AS request FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(request) % 5 < 3 THEN left(request, 12) ELSE 'later' END AS reply,
+  CASE WHEN request IS NOT NULL THEN CASE WHEN length(request) % 5 < 3 THEN 'ok' ELSE 'fallback' END END AS status, least(length(request) % 5 + 1, 3)::INTEGER AS tries FROM asked""")
+def called_requests(t: Tables) -> DataFrame:
+    """Eight calls at once per task, three tries each, then a fallback."""
+    asked = t.conversations.select("conv_id", "turn", F.concat(F.concat_ws("/", "conv_id", "turn"), F.lit(" "), "text").alias("request"))
+    got = calls.called(asked, "request", Moody(), lambda request: "later", calls.Limits(in_flight=8, tries=3, wait=0.001))
+    return got.select("conv_id", "turn", "reply", "status", "tries")
+
+
+# --- pages by rank -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH ranked AS (
+  SELECT row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) - 1 AS rank, l_orderkey, l_linenumber FROM lineitem
+), n AS (SELECT count(*) AS total, (count(*) + 49) // 50 AS pages FROM lineitem)
+SELECT rank // 50 + 1 AS page, rank, l_orderkey, l_linenumber, rank // 50 + 1 < pages AS has_next FROM ranked, n WHERE rank // 50 + 1 IN (1, pages // 2, pages)""")
+def pages_by_rank(t: Tables) -> DataFrame:
+    """The first page, a middle one and the last of all lines, each from the range that holds it."""
+    table = PagedTable(t.spark, _folder(t, "pages"))
+    table.store(t.lineitem, ["desc l_shipdate", "l_orderkey", "l_linenumber"], range_rows=5000)
+    last, out = table.page(1).pages, None
+    for n in (1, last // 2, last):
+        page = table.page(n)
+        own = page.rows.select(F.lit(n).cast("long").alias("page"), "rank", "l_orderkey", "l_linenumber", F.lit(page.has_next).alias("has_next"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+# --- the library in SQL text ---------------------------------------------------------------------------------------------
+
+
+def _in_sql(t: Tables, sql: str) -> DataFrame:
+    sql_functions.register(t.spark)
+    t.documents.createOrReplaceTempView("sl_documents")
+    t.embeddings.createOrReplaceTempView("sl_embeddings")
+    return t.spark.sql(sql)
+
+
+@query("""SELECT doc_id, pos, substr(text, pos * 500 + 1, 500) AS part, len(w) AS n FROM (
+  SELECT doc_id, text, unnest(range(0, ceil(length(text) / 500.0)::BIGINT))::INTEGER AS pos, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents) t""")
+def windows_in_sql(t: Tables) -> DataFrame:
+    return _in_sql(t, "SELECT doc_id, w.pos, w.part, cast(size(sl_words(text)) AS bigint) AS n FROM sl_documents, LATERAL sl_windows(text, 500) w")
+
+
+@query("""SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b
+  ON b.vec_id = a.vec_id + 1 WHERE a.embedding IS NOT NULL""")
+def cosine_in_sql(t: Tables) -> DataFrame:
+    return _in_sql(t, "SELECT a.vec_id, b.vec_id AS other, round(sl_cosine(a.embedding, b.embedding), 6) AS cosine FROM sl_embeddings a JOIN sl_embeddings b ON b.vec_id = a.vec_id + 1")
+
+
+@query()
+def text_chunks_in_sql(t: Tables) -> DataFrame:
+    """The rows of text_chunks, asked in SQL text: a test holds the two against each other."""
+    return _in_sql(t, "SELECT * FROM sl_text_chunks(TABLE(SELECT doc_id, text FROM sl_documents), 'doc_id', 'text', 2048, 512)")
