@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from ..functions.text import cosine, words
 from ..runtime import ship
 from .graph import neighbours, two_hops, with_parts
+from .versions import Versions
 
 K1, B = 1.2, 0.75
 TEXT_K, VECTOR_K, FUSED_K, VECTOR_WEIGHT = 50, 10, 10, 0.6
@@ -26,10 +27,13 @@ RERANKED = 5
 DIGITS = 6
 #: Queries that a block compares at a time.
 QUERY_PART = 256
-#: Recall that a search in cells has to reach, and the queries that an audit of it asks at most.
-RECALL, AUDITED = 0.9, 400
+#: Recall that a search in cells has to reach, what its audit asks for so that other questions reach it too, and the queries
+#: that the audit asks at most.
+RECALL, AUDIT_RECALL, AUDITED = 0.9, 0.95, 400
 #: Vectors of a cell that one task takes, about.
 CELL_ROWS = 16_384
+#: Bytes of vectors (eight a component) that one task takes of the index, and of the questions, about.
+BLOCK_BYTES, ASKED_BYTES = 16 << 20, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -124,17 +128,25 @@ def _block_hits(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame
     return pd.concat(out)
 
 
-def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int = VECTOR_K, blocks: int | None = None) -> DataFrame:
+def _parts_of(vectors: DataFrame, size: str, most: int) -> int:
+    """Into how many parts of about `most` bytes vectors go."""
+    return max(1, -(-int(vectors.agg(F.coalesce(F.sum(8 * F.col(size).cast("long")), F.lit(0))).first()[0]) // most))
+
+
+def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int = VECTOR_K, blocks: int | None = None, parts: int | None = None) -> DataFrame:
     """(query_id, rank, id, score, normalised) by exact cosine for queries (query_id, vector). Rows are dealt to blocks by
-    their id (as many as shuffle partitions), and every block gets the queries, the small side, and gives k rows for each.
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another dimension."""
+    their id and questions to parts, as many as their bytes ask for, so that a task holds one of either, whatever their
+    number; every block gives k rows for each question. Rows and questions travel once for each part and block of the other
+    side. Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another dimension."""
     spark = queries.sparkSession
     ship(spark)
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(_usable(F.col("v")))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(_usable(F.col("q")))
-    rows = rows.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("dim", F.size("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(_usable(F.col("v"))).withColumn("dim", F.size("v"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(_usable(F.col("q"))).withColumn("dim", F.size("q"))
+    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _parts_of(rows, "dim", BLOCK_BYTES))
+    parts = parts or _parts_of(asked, "dim", ASKED_BYTES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts) if parts > 1 else F.lit(0))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
     kinds = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +154,8 @@ def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int
             return _block_hits(a, b, k)
         return pd.DataFrame({"query_id": b["query_id"][:0], "id": a["id"][:0], "score": np.zeros(0)})
 
-    hits = rows.groupBy("block", "dim").cogroup(asked.groupBy("block", "dim")).applyInPandas(meet, kinds)
+    by = ("block", "part", "dim")
+    hits = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(meet, kinds)
     return normalised(top(hits, k, F.desc("score"), F.asc("id")))
 
 
@@ -308,11 +321,16 @@ def assigned(model, index: DataFrame, vector: str) -> DataFrame:
     return model.transform(_unit(index, vector)).drop("__unit")
 
 
+def _centres(model) -> list:
+    """Of a fitted model, or of a list of them as it is stored."""
+    return model if isinstance(model, list) else model.clusterCenters()
+
+
 def _hits_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, probes: int, k: int) -> DataFrame:
     """The k best hits over the `probes` cells closest to a query; `n` is the place of a hit's cell among them."""
     spark = queries.sparkSession
     ship(spark)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, __c array<double>")
+    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(_centres(model))], "cell int, __c array<double>")
     # one row per cell
     far = queries.join(F.broadcast(centres), F.size("vector") == F.size("__c")).withColumn("d", cosine(F.col("vector"), F.col("__c")))
     n = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("d"), "cell"))
@@ -340,13 +358,17 @@ def nearest_in_cells(model, in_cells: DataFrame, queries: DataFrame, key: str, v
 
 
 def audited_probes(
-    model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, least: float = RECALL, audited: int = AUDITED, k: int = VECTOR_K
-) -> tuple[int, float]:
+    model, in_cells: DataFrame, queries: DataFrame, key: str, vector: str, least: float = RECALL, audited: int = AUDITED, k: int = VECTOR_K,
+    themselves: bool = True,
+) -> tuple[int, float]:
     """(probes, recall): the fewest probes with which nearest_in_cells() finds a share of `least` or more of the k nearest
-    of about `audited` queries, told by an exact scan over all cells; all cells if there is nothing to tell by."""
-    cells_ = len(model.clusterCenters())
+    of about `audited` queries, told by an exact scan over all cells; all cells if there is nothing to tell by. Without
+    `themselves` a query that is a vector of the index doesn't count as one of its own nearest."""
+    cells_ = len(_centres(model))
     asked = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(audited)
-    hits = _hits_in_cells(model, in_cells, asked, key, vector, cells_, k)
+    hits = _hits_in_cells(model, in_cells, asked, key, vector, cells_, k + (not themselves))
+    if not themselves:
+        hits = hits.where(F.col("id") != F.col("query_id"))
     by_place = {r["n"]: r["hits"] for r in hits.groupBy("n").agg(F.count("*").alias("hits")).collect()}
     total, found = sum(by_place.values()), 0
     for probes in range(1, cells_ + 1):
@@ -354,3 +376,35 @@ def audited_probes(
         if total and found >= least * total:
             return probes, found / total
     return cells_, 1.0
+
+
+class CellIndex:
+    """A coarse index that is kept: centres, the vectors stored by cell, and the number of cells to ask.
+
+    It is fitted, placed and audited once, when it is stored; the audit asks vectors of its own (or others that it is given)
+    for their nearest ones, themselves left out, and takes the fewest cells that find AUDIT_RECALL of them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.versions = spark, folder.rstrip("/"), Versions(spark, folder)
+
+    def store(self, index: DataFrame, key: str, vector: str, k: int = 16, audit: DataFrame | None = None, least: float = AUDIT_RECALL) -> CellIndex:
+        number, _ = self.versions.last()
+        model, at = cells(index, vector, k), f"{self.folder}/cells-{number + 1}"
+        placed = assigned(model, index.select(key, vector), vector)
+        placed.repartition("cell").sortWithinPartitions("cell", key).write.mode("overwrite").partitionBy("cell").parquet(at)
+        asked = (index if audit is None else audit).select(F.col(key).alias("query_id"), F.col(vector).alias("vector"))
+        centres = [[float(x) for x in c] for c in model.clusterCenters()]
+        probes, recall = audited_probes(centres, self.spark.read.parquet(at), asked, key, vector, least, themselves=False)
+        self.versions.commit(number, {"at": at, "key": key, "vector": vector, "centres": centres, "probes": probes, "recall": recall})
+        return self
+
+    def state(self) -> dict:
+        content = self.versions.last()[1]
+        if content is None:
+            raise ValueError(f"no index at {self.folder}")
+        return content
+
+    def search(self, queries: DataFrame, k: int = VECTOR_K) -> DataFrame:
+        """As nearest(), from the cells that the stored number of probes takes."""
+        now = self.state()
+        return nearest_in_cells(now["centres"], self.spark.read.parquet(now["at"]), queries, now["key"], now["vector"], now["probes"], k)

@@ -706,11 +706,12 @@ def base_expanded_query(t: Tables) -> DataFrame:
 
 @query()
 def cells_top(t: Tables) -> DataFrame:
-    index = _index(t)
-    model = retrieval.cells(index, "embedding", 16)
-    placed, asked = retrieval.assigned(model, index, "embedding"), _questions(t)
-    probes, _ = retrieval.audited_probes(model, placed, asked, "doc_id", "embedding")
-    return retrieval.nearest_in_cells(model, placed, asked, "doc_id", "embedding", probes)
+    """From a coarse index that is stored once for each state of the vectors."""
+    state = "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for n in ("documents", "embeddings") for f in t.files(n)))
+    kept = retrieval.CellIndex(t.spark, f"{shared_folder(t.spark)}/strataloom-kept/cells-{hashlib.sha256(state.encode()).hexdigest()[:24]}")
+    if kept.versions.last()[1] is None:
+        kept.store(_index(t), "doc_id", "embedding")
+    return kept.search(_questions(t))
 
 
 @query("""WITH kinds AS (

@@ -15,7 +15,7 @@ from ..operators.kept_index import KeptIndex
 from ..operators.keyed_table import KeyedTable, upsert_batches
 from ..operators.paged import PagedTable
 from ..runtime import shared_folder
-from ..sources import collection
+from ..sources import archives, collection
 from ..streaming import slow_jobs as slow
 from .catalog import _W, Tables, query
 
@@ -265,3 +265,17 @@ def cosine_in_sql(t: Tables) -> DataFrame:
 def text_chunks_in_sql(t: Tables) -> DataFrame:
     """The rows of text_chunks, asked in SQL text: a test holds the two against each other."""
     return _in_sql(t, "SELECT * FROM sl_text_chunks(TABLE(SELECT doc_id, text FROM sl_documents), 'doc_id', 'text', 2048, 512)")
+
+
+# --- archives ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT lang || '-' || source || '.zip' AS archive, 'd' || doc_id % 10 || '/' || doc_id || '.txt' AS member, lang || '-' || source AS folder, 'ok' AS status, text
+  FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL""")
+def archived_documents(t: Tables) -> DataFrame:
+    """Documents packed to a zip file for each language and source, and read back by index and range reads."""
+    docs = t.documents.where("lang is not null and source is not null and text is not null")
+    member = F.concat(F.lit("d"), F.col("doc_id") % 10, F.lit("/"), "doc_id", F.lit(".txt"))
+    rows = docs.select(F.concat("lang", F.lit("-"), "source", F.lit(".zip")).alias("archive"), member.alias("member"), F.encode("text", "utf-8").alias("content"))
+    got = archives.members(archives.index(archives.write_zips(rows, _folder(t, "zips").removeprefix("file:"))), task_bytes=1 << 20)
+    return got.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "member", "folder", "status", F.decode("content", "utf-8").alias("text"))

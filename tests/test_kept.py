@@ -236,3 +236,24 @@ def test_a_stream_follows_a_collection(spark, tmp_path):
     collection.follow(spark, path, sink, mark).awaitTermination(60)
     got = [r["id"] for r in spark.read.parquet(sink).collect()]
     assert sorted(got) == list(range(90))
+
+
+def test_nearest_in_parts_and_a_kept_coarse_index(spark, tmp_path):
+    """Many blocks and parts of questions give the rows of one; a stored coarse index is loaded as it was."""
+    r = random.Random(2)
+    vectors = [(i, [r.gauss(0, 1) + 3 * (i % 4 == j) for j in range(8)]) for i in range(400)] + [(400, None), (401, [0.0] * 8), (402, [1.0] * 7)]
+    index = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked = spark.createDataFrame([(1000 + i, [r.gauss(0, 1) + 3 * (i % 4 == j) for j in range(8)]) for i in range(60)] + [(2000, None), (2001, [1.0] * 7)], "query_id long, vector array<double>")
+    one = sorted(map(tuple, retrieval.nearest(asked, index, "id", "v", blocks=1, parts=1).collect()))
+    assert sorted(map(tuple, retrieval.nearest(asked, index, "id", "v", blocks=5, parts=3).collect())) == one and len(one) == 601
+    assert retrieval._parts_of(index.withColumn("dim", F.size("v")).where("dim > 0"), "dim", 6400) == 5
+    kept = retrieval.CellIndex(spark, str(tmp_path / "cells"))
+    with pytest.raises(ValueError):
+        kept.search(asked)
+    kept.store(index, "id", "v", k=8)
+    again = retrieval.CellIndex(spark, str(tmp_path / "cells"))
+    state = again.state()
+    assert state["recall"] >= retrieval.AUDIT_RECALL and 1 <= state["probes"] <= 8
+    found = {(x["query_id"], x["id"]) for x in again.search(asked.where("query_id < 2000")).collect()}
+    exact = {(x[0], x[2]) for x in one if x[0] < 2000}
+    assert len(found & exact) >= retrieval.RECALL * len(exact)
