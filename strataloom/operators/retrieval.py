@@ -388,7 +388,12 @@ class CellIndex:
         self.spark, self.folder, self.versions = spark, folder.rstrip("/"), Versions(spark, folder)
 
     def store(self, index: DataFrame, key: str, vector: str, k: int = 16, audit: DataFrame | None = None, least: float = AUDIT_RECALL) -> CellIndex:
+        """Vectors of another dimension than most have are left out."""
         number, _ = self.versions.last()
+        common = index.where(_usable(F.col(vector))).groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+        if common is None:
+            raise ValueError("no vector with a direction")
+        index = index.where(_usable(F.col(vector)) & (F.size(vector) == common["dim"]))
         model, at = cells(index, vector, k), f"{self.folder}/cells-{number + 1}"
         placed = assigned(model, index.select(key, vector), vector)
         placed.repartition("cell").sortWithinPartitions("cell", key).write.mode("overwrite").partitionBy("cell").parquet(at)

@@ -255,5 +255,5 @@ def test_nearest_in_parts_and_a_kept_coarse_index(spark, tmp_path):
     state = again.state()
     assert state["recall"] >= retrieval.AUDIT_RECALL and 1 <= state["probes"] <= 8
     found = {(x["query_id"], x["id"]) for x in again.search(asked.where("query_id < 2000")).collect()}
-    exact = {(x[0], x[2]) for x in one if x[0] < 2000}
+    exact = {(x["query_id"], x["id"]) for x in retrieval.nearest(asked, index, "id", "v").where("query_id < 2000").collect()}
     assert len(found & exact) >= retrieval.RECALL * len(exact)
