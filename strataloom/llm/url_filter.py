@@ -7,6 +7,7 @@ them. A host's standing is its share of trust in both; below the threshold its p
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,14 +79,22 @@ def host_edges(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("n").alias("n"), *told)
 
 
+def _shares(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst, p): what part of its rank a host passes on along each edge."""
+    total = edges.groupBy("src").agg(F.sum("n").alias("all"))
+    return scratch.keep(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")), "shares")
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """(host, rank): rank = (1 - damping) seed + damping * what the edges (src, dst, n) bring, iterated from the seeds until
     no host is new and no rank changes by more than `tolerance` of itself. An error if `rounds` rounds don't do.
 
     seeds: (host, seed) with seeds that sum to 1. What a host without an edge out would pass on is dropped.
     """
-    total = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    share = scratch.keep(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")), "shares")
+    return _settled(_shares(edges, scratch), seeds, scratch, damping, tolerance, rounds)
+
+
+def _settled(share: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     kept = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     before = scratch.keep(seeds.select("host", F.col("seed").alias("rank")), "rank")
     for _ in range(-(-rounds // LOOK)):
@@ -104,6 +113,35 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
+def log_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float) -> DataFrame:
+    """(host, log_rank): the natural logarithms of propagate()'s ranks, for hosts that have one.
+
+    A host that is no seed and has one edge in passes a fixed share of one other host's rank on, so chains of such hosts, as
+    calendars and link farms make them, are taken together first: each finds the host that its chain begins at by steps that
+    double, and the logarithm of its share. Only the others are iterated. What leads back to itself without a seed has no rank.
+    """
+    share = _shares(edges, scratch)
+    ins = share.groupBy("dst").agg(F.count("*").alias("ins"), F.first("src").alias("root"), F.first("p").alias("p")).where("ins = 1")
+    ins = ins.join(seeds.select(F.col("host").alias("dst")), "dst", "left_anti")
+    chains = scratch.keep(ins.select(F.col("dst").alias("host"), "root", (F.log("p") + math.log(damping)).alias("f")), "chains")
+    hosts = chains.select(F.col("host").alias("passes"))
+    for _ in range(chains.count().bit_length() + 1):
+        if chains.join(hosts, F.col("root") == F.col("passes"), "left_semi").isEmpty():
+            break
+        next_ = chains.select(F.col("host").alias("root"), F.col("root").alias("far"), F.col("f").alias("g"))
+        longer = chains.join(next_, "root", "left").select("host", F.coalesce("far", "root").alias("root"), (F.col("f") + F.coalesce("g", F.lit(0.0))).alias("f"))
+        chains = scratch.keep(longer, "chains")
+    # what still stands on a host that passes on is a cycle, or hangs on one
+    chains = chains.join(hosts, F.col("root") == F.col("passes"), "left_anti")
+    rest = share.join(hosts, F.col("dst") == F.col("passes"), "left_anti")
+    plain = rest.join(hosts, F.col("src") == F.col("passes"), "left_anti")
+    through = rest.join(chains, F.col("src") == F.col("host")).select(F.col("root").alias("src"), "dst", (F.col("p") * F.exp("f")).alias("p"))
+    short = scratch.keep(plain.unionByName(through).groupBy("src", "dst").agg(F.sum("p").alias("p")), "short")
+    ranks = _settled(short, seeds, scratch, damping).where("rank > 0").select("host", F.log("rank").alias("log_rank"))
+    passed = chains.join(ranks.withColumnRenamed("host", "root"), "root").select("host", (F.col("log_rank") + F.col("f")).alias("log_rank"))
+    return scratch.keep(ranks.unionByName(passed), "log-ranks")
+
+
 def judge(
     pages: DataFrame,
     rules: tuple[Rule, ...] = RULES,
@@ -136,11 +174,12 @@ def judge(
         own = ruled.where(F.col("verdict") == verdict)
         total = own.agg(F.sum("n")).first()[0] or 1
         seeds = own.select("host", (F.col("n") / F.lit(total)).alias("seed"))
-        ranks.append(propagate(way, seeds, scratch, damping))
-    trust = ranks[0].withColumnRenamed("rank", "t").join(ranks[1].withColumnRenamed("rank", "d"), "host", "full")
-    t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
+        ranks.append(log_ranks(way, seeds, scratch, damping))
+    trust = ranks[0].withColumnRenamed("log_rank", "t").join(ranks[1].withColumnRenamed("log_rank", "d"), "host", "full")
+    # t / (t + d) of the ranks themselves, which may be too small for a number
+    of_both = F.when(F.col("d").isNull(), 1.0).when(F.col("t").isNull(), 0.0).otherwise(1 / (1 + F.exp(F.col("d") - F.col("t"))))
     # rounded, so that the order in which ranks are summed can't turn a verdict
-    standing = scratch.keep(trust.select("host", F.round(F.when(t + d > 0, t / (t + d)).otherwise(0.5), DIGITS).alias("trust")), "standing")
+    standing = scratch.keep(trust.select("host", F.round(of_both, DIGITS).alias("trust")), "standing")
     out = base.drop("html").join(small(standing), "host", "left")
     told = F.when(F.coalesce("trust", F.lit(0.5)) >= threshold, "allow").otherwise("block")
     return out.select(
