@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Pieces of text whose ids a worker keeps while it packs: fewer than a job of its own may, as executors have been through
 #: four stages by then. It costs time only.
-CACHE = 250_000
+CACHE = 100_000
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
