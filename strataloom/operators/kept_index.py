@@ -157,11 +157,12 @@ class KeptIndex:
 
     def _read(self, segments: list[dict], kind: str, columns: str) -> DataFrame:
         kinds = {"docs": f"id {self.key_type}, dl int", "forward": f"id {self.key_type}, terms array<string>", "postings": f"term string, grp bigint, n bigint, best array<struct<tf: int, dl: int>>, postings array<struct<id: {self.key_type}, tf: int, dl: int>>, folder int"}
-        out = self.spark.createDataFrame([], f"segment string, {kinds[kind]}").select("segment", *columns.split(", "))
+        out = None
         for s in segments:
             own = self.spark.read.schema(kinds[kind]).parquet(f"{self.folder}/segments/{s['name']}/{kind}")
-            out = out.unionByName(own.select(F.lit(s["name"]).alias("segment"), *columns.split(", ")))
-        return out
+            own = own.select(F.lit(s["name"]).alias("segment"), *columns.split(", "))
+            out = own if out is None else out.unionByName(own)
+        return out if out is not None else self.spark.createDataFrame([], f"segment string, {kinds[kind]}").select("segment", *columns.split(", "))
 
     def _docs(self, segments: list[dict]) -> DataFrame:
         return self._read(segments, "docs", "id, dl")
@@ -174,11 +175,12 @@ class KeptIndex:
         return rows.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.id", "p.tf", "p.dl")
 
     def _marks(self, now: Snapshot, kind: str, schema: str) -> DataFrame:
-        out = self.spark.createDataFrame([], schema)
+        out = None
         for d in now.deletions:
             own = self.spark.read.schema(schema).parquet(f"{self.folder}/deletions/{d['name']}/{kind}")
-            out = out.unionByName(own.where(F.col("segment").isin(d["segments"])))
-        return out
+            own = own.where(F.col("segment").isin(d["segments"]))
+            out = own if out is None else out.unionByName(own)
+        return out if out is not None else self.spark.createDataFrame([], schema)
 
     def _gone(self, now: Snapshot) -> DataFrame:
         return self._marks(now, "docs", f"segment string, id {self.key_type}, dl int").select("segment", "id")
@@ -193,10 +195,14 @@ class KeptIndex:
     def frequencies(self, terms: DataFrame, now: Snapshot | None = None) -> DataFrame:
         """(term, df) of the asked terms (term): documents in force that hold them."""
         now = now or self.snapshot()
-        held = self._wanted(now, terms).select("term", F.col("n"))
-        less = self._marks(now, "terms", "segment string, term string, less bigint").join(terms.select("term"), "term", "left_semi")
-        counts = held.unionByName(less.select("term", (-F.col("less")).alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
-        return counts.where("df > 0")
+        return self._counted(now, terms, self._wanted(now, terms))
+
+    def _counted(self, now: Snapshot, terms: DataFrame, rows: DataFrame) -> DataFrame:
+        held = rows.select("term", "n")
+        if now.deletions:
+            less = self._marks(now, "terms", "segment string, term string, less bigint").join(terms.select("term"), "term", "left_semi")
+            held = held.unionByName(less.select("term", (-F.col("less")).alias("n")))
+        return held.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     def _wanted(self, now: Snapshot, terms: DataFrame) -> DataFrame:
         """Rows of the asked terms: by a filter that reaches the scan if they are few, else by a join."""
@@ -213,10 +219,10 @@ class KeptIndex:
         docs, length = self.size(now)
         average = length / docs if docs else 1.0
         impact = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (average or 1.0)))
-        asked = queries.select("query_id", F.explode(F.array_distinct(self.analyse(F.col("question")))).alias("term"))
-        df = self.frequencies(asked.select("term").distinct(), now)
-        weight = asked.join(df, "term").withColumn("idf", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        asked = self._stored(queries.select("query_id", F.explode(F.array_distinct(self.analyse(F.col("question")))).alias("term")))
         rows = self._wanted(now, asked)
+        df = self._counted(now, asked, rows)
+        weight = self._stored(asked.join(df, "term").withColumn("idf", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))))
         bound = F.sum(F.col("idf") * F.array_max(F.transform("best", lambda p: impact(p["tf"], p["dl"]))))
         groups = weight.join(rows.select("term", "segment", "grp", "best"), "term").groupBy("query_id", "segment", "grp").agg(bound.alias("bound"))
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "grp"))
@@ -227,7 +233,8 @@ class KeptIndex:
             found = met.join(rows.select("term", "segment", "grp", "postings"), ["term", "segment", "grp"])
             each = found.select("query_id", "segment", "idf", F.explode("postings").alias("p"))
             each = each.select("query_id", "segment", F.col("p.id").alias("id"), (F.col("idf") * impact(F.col("p.tf"), F.col("p.dl"))).alias("part"))
-            each = each.join(self._gone(now), ["segment", "id"], "left_anti")
+            if now.deletions:
+                each = each.join(self._gone(now), ["segment", "id"], "left_anti")
             return each.groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
         first = top(hits(groups.where(F.col("place") <= k)), k, F.desc("score"), F.asc("id"))
