@@ -19,6 +19,7 @@ REQUIRED = {
     "summary": ("summary", "files"),
     "tactics": ("tactics",),
     "technique": ("result", "ttps"),
+    "main_files": ("main_files",),
 }
 
 

@@ -102,3 +102,11 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     out = rows.orderBy(*order).offset((number - 1) * size).limit(size)
     out = out.join(F.broadcast(total))  # one row
     return out.withColumn("has_next", F.col("total") > number * size).withColumn("has_prev", F.lit(number > 1))
+
+
+def groups_in_order(rows: DataFrame, by: list[str], group: str, at: str, item: str) -> DataFrame:
+    """(by, pos, group, items): the groups of each `by` in the order in which they are first met by `at` (ties by group, null
+    first), pos from 1, with their distinct items in order. Rows without a group are a group of their own."""
+    per = rows.groupBy(*by, group).agg(F.min(at).alias("__at"), F.sort_array(F.collect_set(item)).alias("items"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy("__at", F.asc_nulls_first(group)))
+    return per.withColumn("pos", place).select(*by, "pos", group, "items")

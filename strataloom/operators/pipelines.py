@@ -64,6 +64,16 @@ def analysis_tables(results: DataFrame, batch: int = 0, describe: Callable[[Colu
     return {"software": software, "file": file, "code_chunk": chunk, "edges": mirrored(forward, BACK)}
 
 
+def unmatched_findings(results: DataFrame) -> DataFrame:
+    """(software_name, file_name, chunk_number, technique_id, n): findings of analysis results (ANALYSIS) that name no chunk with
+    text of their file, and so reach no table; n counts repeats. Files without chunks have all of theirs listed."""
+    each = results.select("software_name", F.explode("software_files").alias("f"))
+    there = F.transform(F.filter("f.chunks", lambda c: has_text(c["code"])), lambda c: c["chunk_number"])
+    each = each.select("software_name", "f.file_name", F.coalesce(there, F.array().cast("array<int>")).alias("there"), F.explode("f.file_technique.ttps").alias("t"))
+    lost = each.where(~F.coalesce(F.array_contains("there", F.col("t.chunk_number")), F.lit(False)))
+    return lost.groupBy("software_name", "file_name", "t.chunk_number", "t.technique_id").agg(F.count("*").alias("n"))
+
+
 def document_tables(
     parsed: DataFrame, label: Callable[[Column], Column], summarise: Callable[[Column], Column], batch: int = 0, window: int = WINDOW
 ) -> dict[str, DataFrame]:

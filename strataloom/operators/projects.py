@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import chunking
 from ..functions.providers import Providers, project_prompt, prompt
@@ -20,6 +21,8 @@ from .retrieval import TextIndex, text_index
 #: Stands for the tactics of a project that no model has told.
 NO_TACTICS = ("Command and Control", "TA0011", "")
 MAIN_FILES, TACTICS = 10, 3
+#: Paths of a project that a model is told of when it is asked for main files.
+TOLD_FILES = 200
 _TTPS = "array<struct<technique_id:string,name:string,chunk_number:int,relevance:double,have_code:boolean>>"
 
 
@@ -38,6 +41,22 @@ def main_files(files: DataFrame, suggested: DataFrame | None = None, most: int =
     return found.withColumn("main_files", F.slice("main_files", 1, most))
 
 
+def suggested_files(files: DataFrame, providers: Providers, most: int = TOLD_FILES) -> DataFrame:
+    """(project, names): the main files of each project (project, relative_path) that `providers.ask` suggests, in its order, as
+    far as they exist; empty where it gives none. It is told the first `most` paths by depth and name, which bounds the prompt."""
+    depth = F.size(F.split("relative_path", "/"))
+    place = F.row_number().over(W.partitionBy("project").orderBy(depth, "relative_path"))
+    told = files.select("project", "relative_path", place.alias("place")).where(F.col("place") <= most)
+    told = told.groupBy("project").agg(F.sort_array(F.collect_list(F.struct("place", "relative_path"))).alias("x"))
+    asked = prompt("main_files", software_name=F.col("project"), files=F.transform("x", lambda x: x["relative_path"]))
+    reply = told.select("project", providers.task(asked, "main_files").alias("r"))
+    named = reply.select("project", F.posexplode(F.from_json("r.payload", "main_files array<string>")["main_files"]).alias("pos", "relative_path"))
+    there = named.join(files.select("project", "relative_path").distinct(), ["project", "relative_path"], "left_semi")
+    kept = there.groupBy("project").agg(F.sort_array(F.collect_list(F.struct("pos", "relative_path"))).alias("x"))
+    kept = kept.select("project", F.transform("x", lambda x: x["relative_path"]).alias("names"))
+    return told.select("project").join(kept, "project", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
 def rule_summary(readme_text: Column, names: Column, files: Column) -> Column:
     """A summary without a model: the start of the README, up to five main files, the number of files."""
     head = F.when(has_text(readme_text), F.concat(F.lit("README: "), F.substring(readme_text, 1, 200), F.lit("...")))

@@ -731,4 +731,4 @@ def vectors_backfilled(t: Tables) -> DataFrame:
     return pipelines.backfill_vectors(nodes, "text", "vector", F.lower).select("id", "vector")
 
 
-from . import kept, upkeep  # noqa: E402, F401  register their queries here
+from . import ingestion, kept, upkeep  # noqa: E402, F401  register their queries here
