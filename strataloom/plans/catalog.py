@@ -310,7 +310,21 @@ def greedy_batches(t: Tables) -> DataFrame:
     return packing.greedy_batches(rows, ["conv_id"], "turn", "size", 1500)
 
 
-@query()
+_DIGEST = """WITH RECURSIVE items AS (
+  SELECT conv_id, chr(10) || '=== ' || role || '-' || turn || ' ===' || chr(10) AS head, CASE WHEN length(text) > {per} THEN left(text, {per}) || chr(10) || '...' ELSE text END AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || '-' || turn, left(text, {per} + 1)) AS r FROM conversations WHERE length(text) > 0
+), walk AS (
+  SELECT conv_id, r, CASE WHEN length(head || body) + 1 <= {total} THEN head || body || chr(10) WHEN {total} - length(head) > {least} THEN head || left(body, {total} - length(head)) || '...' || chr(10) ELSE '' END AS x,
+    length(head || body) + 1 > {total} AS done FROM items WHERE r = 1
+  UNION ALL
+  SELECT i.conv_id, i.r, CASE WHEN w.done THEN w.x WHEN length(w.x) + length(head || body) + 1 <= {total} THEN w.x || head || body || chr(10)
+    WHEN {total} - length(w.x) - length(head) > {least} THEN w.x || head || left(body, {total} - length(w.x) - length(head)) || '...' || chr(10) ELSE w.x END,
+    w.done OR length(w.x) + length(head || body) + 1 > {total}
+  FROM walk w JOIN items i ON i.conv_id = w.conv_id AND i.r = w.r + 1
+) SELECT conv_id, arg_max(x, r) AS digest FROM walk GROUP BY conv_id"""
+
+
+@query(_DIGEST.format(per=20_000, total=80_000, least=500))
 def file_digests(t: Tables) -> DataFrame:
     rows = t.conversations.withColumn("name", F.concat_ws("-", "role", "turn"))
     return packing.digest(rows, ["conv_id"], "turn", "name", "text", 20_000, 80_000)
@@ -414,12 +428,23 @@ def code_chunks(t: Tables) -> DataFrame:
     return chunking.chunk_files(rows, "doc_id", "text", "language")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g')[:2000], '([.!?])\s+', '\1' || chr(1), 'g') AS x FROM documents),
+s AS (SELECT doc_id, unnest(string_split(x, chr(1))) AS s, unnest(range(1, len(string_split(x, chr(1))) + 1)) AS i FROM t),
+fits AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS upto FROM s),
+told AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i)[:100] AS description FROM fits WHERE i = 1 OR upto <= 100 GROUP BY doc_id)
+SELECT doc_id, description FROM documents LEFT JOIN told USING (doc_id)""")
 def described_documents(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", Providers().description(F.col("text")).alias("description"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark),
+bytes AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM w) x),
+hashed AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+  list_reduce(list_prepend(xor(c, x), range(0, 8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))) AS h FROM bytes),
+v AS (SELECT item_id, h % 64 AS d, sum(CASE WHEN h & 65536 <> 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN hashed USING (w) GROUP BY ALL),
+norm AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY item_id HAVING sum(v * v) > 0),
+told AS (SELECT item_id, list(coalesce(v, 0.0::DOUBLE) / n ORDER BY d) AS embedding FROM (SELECT *, unnest(range(0, 64)) AS d FROM norm) x LEFT JOIN v USING (item_id, d) GROUP BY item_id)
+SELECT item_id, embedding FROM benchmark LEFT JOIN told USING (item_id)""")
 def embedded_questions(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", Providers().embedding(F.col("text")).alias("embedding"))
 
@@ -699,11 +724,6 @@ def base_labels_of_owner(t: Tables) -> DataFrame:
     return _base(t).labels_of_owner(7)
 
 
-@query()
-def base_expanded_query(t: Tables) -> DataFrame:
-    return _base(t).expanded_query(_questions(t))
-
-
 @query()
 def cells_top(t: Tables) -> DataFrame:
     """From a coarse index that is stored once for each state of the vectors."""

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import text
 from ..operators import graph, ingest, lookup, packing, projects, retrieval
 from ..runtime import shared_folder
-from .catalog import _EDGES, _HITS, _ROOTS, _W, Tables, _edges, _index, _questions, _roots, _source_edges, query
+from .catalog import _DIGEST, _EDGES, _HITS, _ROOTS, _W, Tables, _base, _edges, _index, _questions, _roots, _source_edges, query
 
 # --- lookups and counts --------------------------------------------------------------------------------------------
 
@@ -184,18 +184,7 @@ def batch_sizes(t: Tables) -> DataFrame:
     return packing.batch_sizes(packing.greedy_batches(rows, ["conv_id"], "turn", "size", 900), ["conv_id"], "size")
 
 
-@query("""WITH RECURSIVE items AS (
-  SELECT conv_id, chr(10) || '=== ' || role || '-' || turn || ' ===' || chr(10) AS head, CASE WHEN length(text) > 200 THEN left(text, 200) || chr(10) || '...' ELSE text END AS body,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || '-' || turn, left(text, 201)) AS r FROM conversations WHERE length(text) > 0
-), walk AS (
-  SELECT conv_id, r, CASE WHEN length(head || body) + 1 <= 700 THEN head || body || chr(10) WHEN 700 - length(head) > 100 THEN head || left(body, 700 - length(head)) || '...' || chr(10) ELSE '' END AS x,
-    length(head || body) + 1 > 700 AS done FROM items WHERE r = 1
-  UNION ALL
-  SELECT i.conv_id, i.r, CASE WHEN w.done THEN w.x WHEN length(w.x) + length(head || body) + 1 <= 700 THEN w.x || head || body || chr(10)
-    WHEN 700 - length(w.x) - length(head) > 100 THEN w.x || head || left(body, 700 - length(w.x) - length(head)) || '...' || chr(10) ELSE w.x END,
-    w.done OR length(w.x) + length(head || body) + 1 > 700
-  FROM walk w JOIN items i ON i.conv_id = w.conv_id AND i.r = w.r + 1
-) SELECT conv_id, arg_max(x, r) AS digest FROM walk GROUP BY conv_id""")
+@query(_DIGEST.format(per=200, total=700, least=100))
 def short_digests(t: Tables) -> DataFrame:
     rows = t.conversations.withColumn("name", F.concat_ws("-", "role", "turn"))
     return packing.digest(rows, ["conv_id"], "turn", "name", "text", 200, 700, 100)
@@ -276,17 +265,25 @@ _SOURCE_EDGES = """edges AS (
 )"""
 
 
-@query(f"""WITH {_HITS}, {_SOURCE_EDGES}, judged AS (
+_EXPANDED = f"""WITH {_HITS}, {_SOURCE_EDGES}, judged AS (
   SELECT query_id, id, rank, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0.0 END, 6)::DOUBLE AS score
   FROM vector_hits JOIN (SELECT query_id, list_distinct({_W.format("question")}) AS q FROM questions) a USING (query_id) JOIN (SELECT doc_id AS id, {_W.format("text")} AS w FROM idx) b USING (id)
 ), roots AS (
   SELECT query_id, i, id::VARCHAR AS id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) - 1 AS i FROM judged) x WHERE i < 3
 ), {_HOPS.format(by="query_id,", t_by="t.query_id,", same="f.query_id = t.query_id AND", root="r.query_id = t.query_id AND")}
-SELECT query_id, 1 AS level, i::INTEGER AS i, j::INTEGER AS j, 0 AS k, dst AS id, type FROM one UNION ALL SELECT query_id, 2, i::INTEGER, j::INTEGER, k::INTEGER, dst, type FROM kept WHERE n = 1""")
+SELECT query_id, 1 AS level, i::INTEGER AS i, j::INTEGER AS j, 0 AS k, dst AS id, type FROM one UNION ALL SELECT query_id, 2, i::INTEGER, j::INTEGER, k::INTEGER, dst, type FROM kept WHERE n = 1"""
+
+
+@query(_EXPANDED)
 def expanded_hits(t: Tables) -> DataFrame:
     return retrieval.expanded(_questions(t), _index(t), _source_edges(t), "doc_id", "text", "embedding")
 
 
+@query(_EXPANDED)
+def base_expanded_query(t: Tables) -> DataFrame:
+    return _base(t).expanded_query(_questions(t))
+
+
 @query(f"""WITH {_EDGES}, {_ROOTS}, parts AS (SELECT 'o' || l_orderkey AS whole_id, l_linenumber AS ord, 'p' || l_partkey AS part_id FROM lineitem),
 hop AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY type, dst) AS j, dst, type FROM roots JOIN edges ON src = id),
 one AS (

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from strataloom.functions.providers import Providers
-from strataloom.operators import graph, pipelines, retrieval
+from strataloom.operators import graph, pipelines, projects, retrieval
 from strataloom.plans import catalog
 
 TTP = {"technique_id": "T1", "name": "x", "chunk_number": 0, "relevance": 0.95, "have_code": True}
@@ -105,3 +105,58 @@ def test_cells_reach_the_recall_they_promise(spark):
     key = lambda d: {(r["query_id"], r["id"], r["score"]) for r in d.collect()}
     exact = key(retrieval.nearest(catalog._questions(t), catalog._index(t), "doc_id", "embedding"))
     assert exact and len(key(catalog.cells_top(t)) & exact) >= 0.9 * len(exact)
+
+
+def test_findings_without_a_chunk_are_told(spark, tmp_path):
+    out = pipelines.unmatched_findings(analysis(spark, tmp_path))
+    assert out.count() == 0  # each names a chunk of its file
+    files = [
+        {"file_name": "a.py", "chunks": [{"chunk_number": 0, "code": "x"}, {"chunk_number": 1, "code": " "}],
+         "file_technique": {"ttps": [TTP, {**TTP, "chunk_number": 1}, {**TTP, "chunk_number": 7}, {**TTP, "chunk_number": 7}, {**TTP, "chunk_number": None}]}},
+        {"file_name": "b.py", "file_technique": {"ttps": [TTP]}},
+    ]
+    path = tmp_path / "lost.json"
+    path.write_text(json.dumps({"software_name": "p", "software_files": files}) + "\n" + json.dumps({"software_name": "none"}))
+    got = pipelines.unmatched_findings(spark.read.schema(pipelines.ANALYSIS).json(str(path)))
+    assert {(r["file_name"], r["chunk_number"], r["n"]) for r in got.collect()} == {("a.py", 1, 1), ("a.py", 7, 2), ("a.py", None, 1), ("b.py", 0, 1)}
+
+
+def test_groups_in_order_of_first_sight(spark):
+    rows = [(1, "b", 5, "x"), (1, "a", 7, "y"), (1, None, 6, "z"), (1, "a", 9, "w"), (1, "a", 9, "y"), (2, "a", 3, "q"), (2, None, 3, None)]
+    table = spark.createDataFrame(rows, "own int, grp string, at int, name string")
+    out = graph.groups_in_order(table, ["own"], "grp", "at", "name")
+    got = {(r["own"], r["pos"]): (r["grp"], r["items"]) for r in out.collect()}
+    assert got == {(1, 1): ("b", ["x"]), (1, 2): (None, ["z"]), (1, 3): ("a", ["w", "y"]), (2, 1): (None, []), (2, 2): ("a", ["q"])}
+    assert graph.groups_in_order(table.limit(0), ["own"], "grp", "at", "name").count() == 0
+
+
+def test_suggested_files_exist_and_keep_their_order(spark):
+    rows = [("p", "a/b/c.py"), ("p", "z.py"), ("p", "a.py"), ("p", "a.py"), ("q", "m.py"), ("r", "main.py"), ("s", "x.py")]
+    files = spark.createDataFrame(rows, "project string, relative_path string")
+
+    def ask(prompt):
+        told = json.loads(prompt.split("\n", 1)[1])
+        if told["software_name"] == "q":
+            return '```json\n{"main_files": []}\n```'
+        if told["software_name"] == "r":
+            raise OSError("no model")
+        if told["software_name"] == "s":
+            return '{"main_files": "x.py"}'
+        assert told["files"][:2] == ["a.py", "z.py"]
+        return json.dumps({"main_files": ["z.py", "gone.py", "a.py"]})
+
+    out = projects.suggested_files(files.distinct(), Providers(ask=ask), 2)
+    assert {r["project"]: r["names"] for r in out.collect()} == {"p": ["z.py", "a.py"], "q": [], "r": [], "s": []}
+    chosen = projects.main_files(files, out)
+    assert {r["project"]: r["main_files"] for r in chosen.collect()} == {"p": ["z.py", "a.py"], "q": [], "r": ["main.py"], "s": []}
+
+
+def test_ingestion_queries_are_not_empty(spark):
+    """Every class, type and choice that the ingestion queries tell apart is met."""
+    rows = lambda name: catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in rows("analysed_chunks").select("class").distinct().collect()} == {"none", "low", "accepted"}
+    assert {r[0] for r in rows("analysed_edges").select("type").distinct().collect()} == {"HAS_FILE", "FILE_OF", "HAS_CHUNK", "CHUNK_OF", "HAS_LABEL", "LABEL_OF"}
+    urls = rows("urls_backfilled").select("repo_url")
+    assert urls.where("repo_url is null").count() and urls.where("repo_url = 'old'").count() and urls.where("repo_url like '%20%'").count()
+    mains = rows("main_files_chosen")
+    assert mains.where("main_files like '%/%'").count() and mains.where("main_files like 'main_%'").count()
