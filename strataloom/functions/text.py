@@ -137,6 +137,12 @@ def iso(value: Column, kind: str) -> Column:
     return F.date_format(value, form) if form else value.cast("string")
 
 
+def safe_json(value: Column) -> Column:
+    """A struct, array or map as JSON that any reader takes: times as ISO text to the microsecond, dates as ISO text, binary as
+    base64, also inside lists and objects; nulls keep their keys."""
+    return F.to_json(value, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "dateFormat": "yyyy-MM-dd", "ignoreNullFields": "false"})
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; null for zero vectors and unequal lengths. Each is divided by a power of two
     near its largest component first, so that no square overflows or vanishes; that rounds nothing."""

@@ -15,6 +15,11 @@ def gate_class(label: Column, has_evidence: Column, relevance: Column, least: fl
     return F.when(label.isNull(), "none").when(good, "accepted").otherwise("low")
 
 
+def passing(labels: Column, least: float = RELEVANT) -> Column:
+    """Those of an array of labels (relevance, evidence, ...) that have evidence and enough relevance, in order."""
+    return F.filter(labels, lambda x: F.coalesce((x["relevance"] >= least) & (x["evidence"] != ""), F.lit(False)))
+
+
 def vector_fault(key: Column, text: Column, vector: Column, dim: int) -> Column:
     """Why a row can't enter the index; null if it can."""
     return (

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.text import basename, encode_path, extension, fixed_windows, has_text, is_code, stable_id
 from ..sources.files import not_ignored
 from .graph import mirrored, ordered_text
-from .ingest import RELEVANT, gate_class, update
+from .ingest import gate_class, passing, update
 
 #: Result of a project's analysis, as it is read from JSON.
 ANALYSIS = """software_name string, software_summary string, software_tree string,
@@ -86,7 +86,7 @@ def document_tables(
     whole = ordered_text(kept, ["name"], "chunk_number", "content", "", "full_text").withColumn("source_info", F.concat(F.lit("userUpload-"), "name"))
     parts = whole.select("name", F.posexplode(fixed_windows(F.col("full_text"), window)).alias("pos", "part"))
     found = parts.select("name", "pos", label(F.col("part"))["labels"].alias("l"))
-    passed = F.transform(F.filter("l", lambda x: F.coalesce((x["relevance"] >= RELEVANT) & (x["evidence"] != ""), F.lit(False))), lambda x: x["label_id"])
+    passed = F.transform(passing(F.col("l")), lambda x: x["label_id"])
     per = found.select("name", "pos", passed.alias("ids")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
     per = per.select("name", F.flatten(F.transform("x", lambda x: x["ids"])).alias("label_ids"))
     document = whole.join(per, "name", "left").withColumn("label_ids", F.coalesce("label_ids", F.array().cast("array<string>")))

@@ -12,7 +12,7 @@ from ..functions import chunking
 from ..functions.providers import Providers, project_prompt, prompt
 from ..functions.text import basename, fixed_windows, has_text, is_main_name, normal_language, preview, extension, shorten
 from ..sources.files import code_files, decoded, readme
-from .ingest import RELEVANT
+from .ingest import passing
 from .matching import tree_lines
 from .packing import digest, greedy_batches
 from .pipelines import WINDOW, analysis_tables, backfill_vectors, document_tables, unique_owners
@@ -90,7 +90,7 @@ def analysed_files(files: DataFrame, providers: Providers, max_bytes: int = 1 <<
     told = rows.groupBy(*by, "batch").agg(F.sort_array(F.collect_list(F.struct("chunk_number", "chunk"))).alias("c"))
     text = F.array_join(F.transform("c", lambda x: F.concat(F.lit("#"), x["chunk_number"].cast("string"), F.lit("\n"), x["chunk"])), "\n")
     found = told.select(*by, "batch", "c", providers.labels(text).alias("l"))
-    passed = F.filter("l.labels", lambda x: F.coalesce((x["relevance"] >= RELEVANT) & (x["evidence"] != ""), F.lit(False)))
+    passed = passing(F.col("l.labels"))
     place = lambda x: F.coalesce(F.try_element_at(F.filter("c", lambda k: F.contains(k["chunk"], x["evidence"])), F.lit(1))["chunk_number"], F.col("c")[0]["chunk_number"])
     ttps = F.transform(passed, lambda x: F.struct(x["label_id"].alias("technique_id"), x["evidence"].alias("name"), place(x).alias("chunk_number"), x["relevance"], F.lit(True).alias("have_code")))
     found = found.select(*by, "batch", (F.col("l.status") == "success").alias("ok"), ttps.cast(_TTPS).alias("ttps"))

@@ -165,6 +165,32 @@ def recognised_lines(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.rtrim(text.lines_of(listed), F.lit("\n")).alias("text"), k.alias("k"))
 
 
+@query("""WITH e AS (SELECT event_id, event_type AS k, event_id % 7 AS form FROM events)
+SELECT event_id, CASE WHEN form IN (0, 3) THEN 'line ' || event_id WHEN form IN (1, 2, 4) THEN 'line ' || event_id || chr(10) || k END AS text FROM e""")
+def recognised_shapes(t: Tables) -> DataFrame:
+    """Replies of a reader in every shape: a string, lists of strings and of objects, objects with a text or lines, and two with nothing."""
+    line, kind, form = F.concat(F.lit("line "), "event_id"), F.col("event_type"), F.col("event_id") % 7
+    object_ = lambda x: F.struct(x.alias("text"))
+    shapes = (
+        F.concat(F.lit('"'), line, F.lit('"')), F.to_json(F.array(line, kind)), F.to_json(F.array(object_(line), object_(kind))), F.to_json(object_(line)),
+        F.to_json(F.struct(F.array(line, kind).alias("lines"))), F.lit('{"other": 1}'), F.lit("[]"),
+    )
+    return t.events.select("event_id", text.lines_of(F.coalesce(*[F.when(form == i, x) for i, x in enumerate(shapes)])).alias("text"))
+
+
+@query("""WITH parts AS (SELECT l_orderkey, string_agg('{"n":' || l_linenumber || ',"at":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') || '"}', ',' ORDER BY l_linenumber, l_shipdate) AS x FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, '{"at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || '","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","status":"' || o_orderstatus || '","gone":null,"parts":'
+  || coalesce('[' || x || ']', 'null') || '}' AS json FROM orders LEFT JOIN parts ON l_orderkey = o_orderkey""")
+def safe_rows(t: Tables) -> DataFrame:
+    part = F.struct(F.col("l_linenumber").alias("n"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    row = F.struct(
+        F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("status"),
+        F.lit(None).cast("string").alias("gone"), "parts",
+    )
+    return t.orders.join(parts, "o_orderkey", "left").select("o_orderkey", text.safe_json(row).alias("json"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN sum(length(text)) OVER w > 400 THEN left(text, floor(length(text) * (400.0::DOUBLE / sum(length(text)) OVER w))::INTEGER) ELSE text END AS text
   FROM conversations WINDOW w AS (PARTITION BY conv_id)""")
 def fitted_parts(t: Tables) -> DataFrame:
