@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .text import words
 
 #: Known words, at most, that a model holds (it is broadcast: a few MB), and characters in one of them.
 MOST_WORDS, MOST_CHARS = 200_000, 24
+#: Characters that a lattice takes at a time, about (a text is never parted), and those of a piece that is cut by itself.
+CHUNK_CHARS, LONG = 1 << 19, 4096
 #: Characters of scripts that are written without blanks.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 
@@ -76,14 +79,140 @@ def cheapest(run: str, costs: Costs) -> list[str]:
     return out[::-1]
 
 
+class Lattice:
+    """cheapest() for many runs at once, with the same words.
+
+    Known words lie in a tree of prefixes, a sorted array for each level, which all places of all runs go down together. A
+    place that no known word reaches over is on every path, so runs fall into short pieces there; the pieces' paths are
+    found in step, place by place. Costs are whole numbers from 0.
+    """
+
+    def __init__(self, costs: Costs):
+        self.costs = costs
+        known = sorted(w for w in costs.known if w)
+        own = np.array([costs.known[w] for w in known], np.int64)
+        size = np.array([len(w) for w in known], np.int64)
+        chars = _points("".join(known))
+        self.alphabet = np.unique(chars)
+        self.base = len(self.alphabet) + 1
+        code = np.searchsorted(self.alphabet, chars) + 1
+        first = np.cumsum(size) - size
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        node, of = np.zeros(len(known), np.int64), np.arange(len(known))
+        for k in range(int(size.max(initial=0))):
+            deep = size[of] > k
+            of, node = of[deep], node[deep]
+            keys, node = np.unique(node * self.base + code[first[of] + k], return_inverse=True)
+            cost = np.full(len(keys), -1, np.int64)
+            ends = size[of] == k + 1
+            cost[node[ends]] = own[of[ends]]
+            self.levels.append((keys, cost))
+        self.most = max(int(own.max(initial=0)), costs.other)
+
+    def _edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, cost) of the known words at all places, one of one character at each, and the longest at each."""
+        n = len(code)
+        single, longest = np.full(n, self.costs.other, np.int64), np.ones(n, np.int64)
+        starts, lengths, costs = [], [], []
+        alive, node = np.arange(n), np.zeros(n, np.int64)
+        for k, (keys, cost) in enumerate(self.levels):
+            inside = alive + k < n
+            alive, node = alive[inside], node[inside]
+            key = node * self.base + code[alive + k]
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = keys[node] == key
+            alive, node = alive[there], node[there]
+            if not len(alive):
+                break
+            own = cost[node]
+            at, own = alive[own >= 0], own[own >= 0]
+            if k == 0:
+                single[at] = own
+            else:
+                longest[at] = k + 1
+                starts.append(at), lengths.append(np.full(len(at), k + 1)), costs.append(own)
+        return np.concatenate([np.arange(n), *starts]), np.concatenate([np.ones(n, np.int64), *lengths]), np.concatenate([single, *costs]), longest
+
+    def _ends(self, joined: str, stops: np.ndarray) -> np.ndarray:
+        """Whether a word of a cheapest path ends before each place of a text; none reaches over the places of `stops`."""
+        points = _points(joined)
+        n, code = len(points), np.zeros(len(points), np.int64)
+        if len(self.alphabet):
+            at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+            code = np.where(self.alphabet[at] == points, at + 1, 0)
+        code[stops] = 0
+        start, length, cost, longest = self._edges(code)
+        fresh = np.concatenate([[True], np.maximum.accumulate(np.arange(n) + longest)[:-1] <= np.arange(1, n)])
+        begins = np.flatnonzero(fresh)
+        sizes = np.diff(np.append(begins, n))
+        mark = np.zeros(n + 1, bool)
+        # a piece's cost and number of words share 63 bits
+        most = min(LONG, (1 << 43) // (self.most + 1))
+        for b, size in zip(begins[sizes > most], sizes[sizes > most]):
+            mark[b + np.cumsum([len(w) for w in cheapest(joined[b : b + size], self.costs)])] = True
+        piece = np.cumsum(fresh) - 1
+        short = (sizes <= most)[piece[start]]
+        start, length, cost = start[short], length[short], cost[short]
+        end = start + length
+        far = end - begins[piece[start]]
+        order = np.argsort(far * (n + 1) + end, kind="stable")
+        start, length, end, far = start[order], length[order], end[order], far[order]
+        more, new = (cost[order] << 20) + 1, fresh[start]
+        best, back = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (end[1:] != end[:-1]) | (far[1:] != far[:-1])])) if len(end) else np.zeros(0, np.int64)
+        steps = np.concatenate([[0], np.flatnonzero(np.diff(far)) + 1, [len(far)]])
+        groups = np.searchsorted(first, steps)
+        for a, b, g, h in zip(steps[:-1], steps[1:], groups[:-1], groups[1:]):
+            if a == b:
+                continue
+            v = np.where(new[a:b], 0, best[start[a:b]]) + more[a:b]
+            at = first[g:h] - a
+            least = np.minimum.reduceat(v, at)
+            tied = v == np.repeat(least, np.diff(np.append(at, b - a)))
+            to = end[first[g:h]]
+            best[to], back[to] = least, np.maximum.reduceat(np.where(tied, length[a:b], 0), at)
+        place, least = (begins + sizes)[sizes <= most], begins[sizes <= most]
+        while len(place):
+            mark[place] = True
+            place = place - back[place]
+            on = place > least
+            place, least = place[on], least[on]
+        return mark
+
+    def cut(self, runs: list[str]) -> list[list[str]]:
+        """cheapest() of each run."""
+        out: list[list[str]] = []
+        at = 0
+        while at < len(runs):
+            to, size = at + 1, len(runs[at])
+            while to < len(runs) and size + len(runs[to]) < CHUNK_CHARS:
+                size += len(runs[to])
+                to += 1
+            joined = "\n".join(runs[at:to]) + "\n"
+            stops = np.cumsum([len(r) + 1 for r in runs[at:to]]) - 1
+            ends = np.flatnonzero(self._ends(joined, stops))
+            begin = 0
+            for stop, last in zip(stops.tolist(), np.searchsorted(ends, stops, "right").tolist()):
+                own = ends[np.searchsorted(ends, begin, "right") : last].tolist()
+                out.append([joined[i:j] for i, j in zip([begin, *own], own)])
+                begin = stop + 1
+            at = to
+        return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
 def cutter(spark: SparkSession, costs: Costs) -> Callable[[Column], Column]:
     """A column function text -> words of all of it, which is taken as one run; null and empty text have none."""
-    sent = spark.sparkContext.broadcast(costs)
+    ship(spark)
+    sent = spark.sparkContext.broadcast(Lattice(costs))
 
     @F.pandas_udf("array<string>")
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield texts.map(lambda t: cheapest(t, sent.value) if isinstance(t, str) else [])
+            yield pd.Series(sent.value.cut([t if isinstance(t, str) else "" for t in texts]), dtype=object)
 
     return cut
 
@@ -113,7 +242,17 @@ def boundaries(text: str | None, parts: list[str]) -> set[int]:
 
 def agreement(rows: DataFrame, truth: Column, found: Column) -> DataFrame:
     """rows with `ends`, `found_ends` and `hits`: ends of words, as told and as found, over the same characters."""
-    ends = lambda a: F.aggregate(F.transform(a, F.length), F.array(F.lit(0)), lambda x, n: F.array_append(x, F.element_at(x, -1) + n))
-    both = rows.withColumn("__a", F.array_except(ends(truth), F.array(F.lit(0)))).withColumn("__b", F.array_except(ends(found), F.array(F.lit(0))))
-    sizes = {"ends": F.size("__a"), "found_ends": F.size("__b"), "hits": F.size(F.array_intersect("__a", "__b"))}
-    return both.withColumns(sizes).drop("__a", "__b")
+    ship(rows.sparkSession)
+
+    def ends(sizes) -> np.ndarray | None:
+        return None if sizes is None else np.setdiff1d(np.cumsum(np.asarray(sizes, np.int64)), [0])
+
+    @F.pandas_udf("ends int, found_ends int, hits int")
+    def compared(told: pd.Series, cut: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(told.map(ends), cut.map(ends)):
+            out.append((None if a is None else len(a), None if b is None else len(b), None if a is None or b is None else len(np.intersect1d(a, b, True))))
+        return pd.DataFrame(out, columns=["ends", "found_ends", "hits"]).astype("Int32")
+
+    both = rows.withColumn("__c", compared(F.transform(truth, F.length), F.transform(found, F.length)))
+    return both.withColumns({c: F.col(f"__c.{c}") for c in ("ends", "found_ends", "hits")}).drop("__c")

@@ -1,6 +1,7 @@
 """Cheapest paths against all paths, and words of mixed scripts in an index."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,32 @@ def test_against_all_paths():
         assert segmenting.cheapest(run, costs) == list(min(_all_paths(run, costs))[3])
 
 
+def test_a_lattice_of_many_runs_cuts_like_the_path_of_each(monkeypatch):
+    r = random.Random(5)
+    for n in range(60):
+        known = {"".join(r.choices("ab\nc東", k=r.randint(1, 5))): r.choice([0, 5, 5, 10, 20]) for _ in range(n % 14)}
+        costs = segmenting.Costs(known, 30)
+        runs = ["".join(r.choices("ab\ncx東😀", k=r.randint(0, 40))) for _ in range(30)]
+        monkeypatch.setattr(segmenting, "LONG", r.choice([3, 4096]))  # longer pieces are cut by themselves
+        monkeypatch.setattr(segmenting, "CHUNK_CHARS", r.choice([50, 1 << 19]))
+        assert segmenting.Lattice(costs).cut(runs) == [segmenting.cheapest(x, costs) for x in runs]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A million characters of 24-letter reach, and 200,000 words in a row: each took minutes."""
+    r = random.Random(7)
+    known = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 12))) for _ in range(3000)] + ["q" * 24]
+    costs = segmenting.Costs({w: r.randint(3000, 12000) for w in known}, 15000)
+    told = r.choices(known[:-1], k=130_000)
+    began = time.process_time()
+    assert "".join(segmenting.Lattice(costs).cut(["".join(told)])[0]) == "".join(told)
+    assert time.process_time() - began < 15
+    rows = spark.createDataFrame([(["ab"] * 200_000, ["ab", "ab", "abab"] * 50_000)], "told array<string>, found array<string>")
+    began = time.monotonic()
+    got = segmenting.agreement(rows, F.col("told"), F.col("found")).select("ends", "found_ends", "hits").first()
+    assert tuple(got) == (200_000, 150_000, 150_000) and time.monotonic() - began < 30
+
+
 def test_learned_costs_and_odd_texts(spark):
     rows = spark.createDataFrame([("the cat the dog",), ("the",), (None,), ("",), ("x" * 30,)], "t string")
     costs = segmenting.learned(rows, "t")
