@@ -1,6 +1,7 @@
 """Whole ingestion plans on small literals; retrieval parts against plain Python."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -160,3 +161,33 @@ def test_ingestion_queries_are_not_empty(spark):
     assert urls.where("repo_url is null").count() and urls.where("repo_url = 'old'").count() and urls.where("repo_url like '%20%'").count()
     mains = rows("main_files_chosen")
     assert mains.where("main_files like '%/%'").count() and mains.where("main_files like 'main_%'").count()
+
+
+def test_a_second_hop_is_dealt_once_by_its_roots(spark):
+    """Nodes ahead travel as lists to their root set, and no row of the second level does: it went through three shuffles."""
+    r = random.Random(4)
+    edges = [(f"n{r.randint(0, 30)}", f"n{r.randint(0, 30)}", r.choice("AB")) for _ in range(150)] + [("n1", None, "A"), ("n2", "n3", None)]
+    roots = [(q, i, f"n{r.randint(0, 30)}") for q in range(12) for i in range(2)] + [(None, 0, "n5")]
+    a, e = spark.createDataFrame(roots, "q int, i int, id string"), spark.createDataFrame(edges, "src string, dst string, type string")
+    out = graph.two_hops(a, e, ["q"])
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(q#" in line]
+    assert any("REPARTITION_BY_COL" in line for line in dealt) and not any("dst#" in line.split("hashpartitioning(")[1].split(", [")[0].split("id#")[0] for line in dealt if "REPARTITION" in line)
+    order = lambda x: (x[0] is not None, x[0] or "")
+    want = []
+    for q in {x[0] for x in roots}:
+        own = [(i, n) for p, i, n in roots if p == q]
+        hop = lambda n: sorted(((t, d) for s, d, t in edges if s == n), key=lambda x: (order((x[0],)), order((x[1],))))  # noqa: E731, B023
+        one = [(i, j, d, t) for i, n in own for j, (t, d) in enumerate(hop(n))]
+        want += [(q, 1, i, j, 0, d, t) for i, j, d, t in one]
+        met, taken = {}, set()
+        for i, j, d, _ in sorted(one, key=lambda x: x[:2]):
+            met.setdefault(d, (i, j))
+        for i, j, d, _ in sorted(one, key=lambda x: x[:2]):
+            for k, (t, far) in enumerate(hop(d) if d is not None else []):
+                blocked = far is not None and q is not None and (far in {n for _, n in own} or (far in met and met[far] <= (i, j)))
+                if far not in taken and not blocked:
+                    taken.add(far)
+                    want.append((q, 2, i, j, k, far, t))
+    key = lambda x: tuple(order((v if isinstance(v, str) else None if v is None else f"{v:06d}",)) for v in x)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
