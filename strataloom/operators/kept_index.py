@@ -1,6 +1,6 @@
 """An inverted index that takes changes: segments that are written once, marks of what is deleted, tiered merges.
 
-A segment deals its documents to groups by hash. For each term and group with it there is one row: the postings in arrays,
+A segment puts its documents into groups as they lie. For each term and group with it there is one row: the postings in arrays,
 beside their number and the pairs of term frequency and length of which no other is better in both. The best of these is the
 most that the term adds to the score of any document of the group, so a search sums these bounds per group, scores as many of
 the best groups as it wants hits, and then only those others whose bound reaches the k-th score found. Documents come in, change and go by ids; a version names the segments and deletions
@@ -11,20 +11,24 @@ is in force only: a search gives the scores of an index built anew.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import words
+from ..runtime import ship
 from .retrieval import B, DIGITS, K1, TEXT_K, normalised, top
 from .versions import Versions
 
 #: Documents in a group, about; folders over which the terms of a segment are dealt; terms that a search hands to the scan as
-#: a filter.
-GROUP_DOCS, FOLDERS, FILTER_TERMS = 64, 16, 2000
+#: a filter; documents whose rows of one term meet in one task; rows of ids or terms that are broadcast at most.
+GROUP_DOCS, FOLDERS, FILTER_TERMS, TERM_DOCS, SENT_ROWS = 64, 16, 2000, 1 << 18, 200_000
 #: Segments of one size class that are merged into one of the next.
 FANOUT = 4
 
@@ -56,9 +60,13 @@ class KeptIndex:
     def upsert(self, docs: DataFrame, key: str, text: str) -> None:
         """Adds documents as one segment; those in force with the same key go. Of rows that share a key one stays."""
         now = self.snapshot()
-        cut = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).dropDuplicates([key])
+        cut = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+        # only keys travel, if each is there once
+        if cut.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            cut = cut.dropDuplicates([key])
         cut = cut.select(F.col(key).cast(self.key_type).alias("id"), self.analyse(F.col(text)).alias("w"))
-        segment = self._store(cut, None, 0)
+        ship(self.spark)
+        segment = self._store(cut.mapInArrow(_held, f"id {self.key_type}, dl int, terms array<string>, tfs array<int>"), 0)
         gone = self._deleted(now, self._docs([segment])) if now.segments else None
         self._commit(now, [*now.segments, segment], [*now.deletions, *([gone] if gone else [])])
 
@@ -71,7 +79,7 @@ class KeptIndex:
 
     def merge(self, fanout: int = FANOUT) -> bool:
         """Merges the oldest `fanout` segments of a size class into one of the next, if there are as many; what is deleted
-        is dropped for good. Postings are read, texts are not."""
+        is dropped for good. Lists of terms are read, texts are not."""
         now = self.snapshot()
         levels: dict[int, list[dict]] = {}
         for s in now.segments:
@@ -81,9 +89,8 @@ class KeptIndex:
             return False
         names = {s["name"] for s in ready}
         part = Snapshot(now.number, ready, now.deletions)
-        flat = self._flat(self._rows(ready)).join(self._gone(part), ["segment", "id"], "left_anti")
-        lengths = self._docs(ready).join(self._gone(part), ["segment", "id"], "left_anti")
-        merged = self._store(lengths.select("id", "dl"), flat.select("id", "term", "dl", "tf"), ready[0]["level"] + 1)
+        held = self._read(ready, "forward", "id, dl, terms, tfs").join(self._gone(part).hint("shuffle_hash"), ["segment", "id"], "left_anti")
+        merged = self._store(held.drop("segment"), ready[0]["level"] + 1)
         # deletions of other segments stay; those of the merged ones have taken effect
         rest = [dict(d, segments=[s for s in d["segments"] if s not in names]) for d in now.deletions]
         self._commit(now, [*(s for s in now.segments if s["name"] not in names), merged], [d for d in rest if d["segments"]])
@@ -104,36 +111,24 @@ class KeptIndex:
     def _commit(self, now: Snapshot, segments: list[dict], deletions: list[dict]) -> None:
         self.versions.commit(now.number, {"segments": segments, "deletions": deletions})
 
-    def _store(self, docs: DataFrame, flat: DataFrame | None, level: int) -> dict:
-        """Writes a segment from (id, w) or from (id, dl) and postings (id, term, dl, tf). Each text is cut once."""
+    def _store(self, held: DataFrame, level: int) -> dict:
+        """Writes a segment from (id, dl, terms, tfs). Each text is cut once, and its list of terms is what all else is made of:
+        postings are grouped where the lists lie, and only they travel, once, to be sorted by term."""
         name = uuid.uuid4().hex
         at = f"{self.folder}/segments/{name}"
-        if flat is None:
-            counted = docs.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-            counted.write.parquet(f"{at}/counted")
-            counted = self.spark.read.parquet(f"{at}/counted")
-            docs, flat = counted.select("id", "dl").distinct(), counted.where("term is not null")
-        docs.select("id", F.col("dl").cast("int").alias("dl")).write.parquet(f"{at}/docs")
-        docs = self.spark.read.parquet(f"{at}/docs")
-        n, length = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        groups = max(1, -(-n // GROUP_DOCS))
-        group = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("grp")
-        posting = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("p")
-        # a group holds about GROUP_DOCS documents, so no list grows with the input
-        listed = flat.select("term", group, posting).groupBy("term", "grp").agg(
-            F.count("*").alias("n"), F.sort_array(F.collect_list("p")).alias("postings")
-        )
-        by_tf = F.array_sort(F.transform("postings", lambda p: F.struct((-p["tf"]).alias("tf"), p["dl"].alias("dl"))))
-        none = F.array().cast("array<struct<tf: int, dl: int>>")
-        better = lambda a, p: F.when((F.size(a) == 0) | (p["dl"] < F.element_at(a, -1)["dl"]), F.array_append(a, F.struct((-p["tf"]).alias("tf"), p["dl"].alias("dl")))).otherwise(a)
-        listed = listed.withColumn("best", F.aggregate(by_tf, none, better))
-        dealt = listed.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).repartition("folder", "term")
-        dealt.sortWithinPartitions("folder", "term", "grp").write.partitionBy("folder").parquet(f"{at}/postings")
-        # what a document holds, so that its going can be counted without reading postings
-        held = flat.groupBy("id").agg(F.collect_list("term").alias("terms"))
-        held.write.parquet(f"{at}/forward")
-        self.versions.delete(f"{at}/counted")
-        return {"name": name, "level": level, "docs": n, "words": int(length), "terms": n > 0}
+        # the row's number in its task, which holds whole groups of rows that lie together
+        group = F.shiftright(F.monotonically_increasing_id(), GROUP_DOCS.bit_length() - 1)
+        held.select("id", F.col("dl").cast("int").alias("dl"), "terms", "tfs").withColumn("grp", group).write.option("compression", "zstd").parquet(f"{at}/forward")
+        segment = {"name": name, "level": level}
+        n, length = self._docs([segment]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        listed = self._read([segment], "forward", "id, dl, terms, tfs, grp").drop("segment")
+        ship(self.spark)
+        listed = listed.mapInArrow(_posted, f"term string, {self._kinds('postings').removeprefix('term string, ').removesuffix(', folder int')}")
+        # a term that all documents hold is dealt to several tasks
+        part = F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-n // TERM_DOCS))))
+        dealt = listed.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).repartition("folder", "term", part)
+        dealt.sortWithinPartitions("folder", "term", "grp").write.option("compression", "zstd").partitionBy("folder").parquet(f"{at}/postings")
+        return segment | {"docs": n, "words": int(length), "terms": n > 0}
 
     def _deleted(self, now: Snapshot, ids: DataFrame) -> dict | None:
         """Writes the marks of ids in force, and how much less each term occurs without them."""
@@ -146,7 +141,10 @@ class KeptIndex:
         if not docs:
             self.versions.delete(at)
             return None
-        held = self._read(now.segments, "forward", "id, terms").join(found.select("segment", "id"), ["segment", "id"])
+        marked = found.select("segment", "id")
+        # the smaller side is held, so that no list of terms is sorted
+        marked = F.broadcast(marked) if docs <= SENT_ROWS else marked.hint("shuffle_hash")
+        held = self._read(now.segments, "forward", "id, terms").join(marked, ["segment", "id"])
         less = held.select("segment", F.explode("terms").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("less"))
         less.write.parquet(f"{at}/terms")
         hit = sorted(r["segment"] for r in found.select("segment").distinct().collect())
@@ -155,25 +153,25 @@ class KeptIndex:
 
     # --- reading ---------------------------------------------------------------------------------------------------
 
+    def _kinds(self, kind: str) -> str:
+        if kind == "postings":
+            return f"term string, grp bigint, n bigint, best array<struct<tf: int, dl: int>>, postings array<struct<id: {self.key_type}, tf: int, dl: int>>, folder int"
+        return f"id {self.key_type}, dl int, terms array<string>, tfs array<int>, grp bigint"
+
     def _read(self, segments: list[dict], kind: str, columns: str) -> DataFrame:
-        kinds = {"docs": f"id {self.key_type}, dl int", "forward": f"id {self.key_type}, terms array<string>", "postings": f"term string, grp bigint, n bigint, best array<struct<tf: int, dl: int>>, postings array<struct<id: {self.key_type}, tf: int, dl: int>>, folder int"}
         out = None
         for s in segments:
-            own = self.spark.read.schema(kinds[kind]).parquet(f"{self.folder}/segments/{s['name']}/{kind}")
+            own = self.spark.read.schema(self._kinds(kind)).parquet(f"{self.folder}/segments/{s['name']}/{kind}")
             own = own.select(F.lit(s["name"]).alias("segment"), *columns.split(", "))
             out = own if out is None else out.unionByName(own)
-        return out if out is not None else self.spark.createDataFrame([], f"segment string, {kinds[kind]}").select("segment", *columns.split(", "))
+        return out if out is not None else self.spark.createDataFrame([], f"segment string, {self._kinds(kind)}").select("segment", *columns.split(", "))
 
     def _docs(self, segments: list[dict]) -> DataFrame:
-        return self._read(segments, "docs", "id, dl")
+        return self._read(segments, "forward", "id, dl")
 
     def _rows(self, segments: list[dict]) -> DataFrame:
         return self._read(segments, "postings", "term, grp, n, best, postings, folder")
 
-    @staticmethod
-    def _flat(rows: DataFrame) -> DataFrame:
-        return rows.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.id", "p.tf", "p.dl")
-
     def _marks(self, now: Snapshot, kind: str, schema: str) -> DataFrame:
         out = None
         for d in now.deletions:
@@ -209,7 +207,8 @@ class KeptIndex:
         rows = self._rows(now.segments)
         few = [r["term"] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
         if len(few) > FILTER_TERMS:
-            return rows.join(terms.select("term").distinct(), "term", "left_semi")
+            own = terms.select("term").distinct()
+            return rows.join(F.broadcast(own) if own.limit(SENT_ROWS + 1).count() <= SENT_ROWS else own, "term", "left_semi")
         folders = self.spark.createDataFrame([(t,) for t in few], "term string").select(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).distinct()
         return rows.where(F.col("folder").isin([r[0] for r in folders.collect()]) & F.col("term").isin(few))
 
@@ -233,9 +232,11 @@ class KeptIndex:
             found = met.join(rows.select("term", "segment", "grp", "postings"), ["term", "segment", "grp"])
             each = found.select("query_id", "segment", "idf", F.explode("postings").alias("p"))
             each = each.select("query_id", "segment", F.col("p.id").alias("id"), (F.col("idf") * impact(F.col("p.tf"), F.col("p.dl"))).alias("part"))
+            # one document of those with an id is in force
+            each = each.groupBy("query_id", "segment", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
             if now.deletions:
-                each = each.join(self._gone(now), ["segment", "id"], "left_anti")
-            return each.groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+                each = each.join(self._gone(now).hint("shuffle_hash"), ["segment", "id"], "left_anti")
+            return each.select("query_id", "id", "score")
 
         first = top(hits(groups.where(F.col("place") <= k)), k, F.desc("score"), F.asc("id"))
         first = self._stored(first)
@@ -256,3 +257,52 @@ class KeptIndex:
         first, rest, _ = self.plan(queries, k, k1, b)
         return normalised(top(first.drop("rank").unionByName(rest), k, F.desc("score"), F.asc("id")))
 
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, terms, tfs) of (id, w): a document's number of words, its distinct words and how often each occurs."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("w")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        doc, code = np.repeat(np.arange(len(sizes)), sizes), pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        kinds = max(1, len(coded.dictionary))
+        pairs, tf = np.unique((doc * kinds + code)[code >= 0], return_counts=True)
+        offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * kinds).astype(np.int32)
+        terms = coded.dictionary.take(pa.array(pairs % kinds)) if len(pairs) else pa.array([], pa.string())
+        columns = [batch.column("id"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "dl", "terms", "tfs"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, grp, n, best, postings) of (id, dl, terms, tfs, grp): the postings of each group of a batch. A group that two
+    batches share has two rows for a term, whose bounds add up to one that holds for both."""
+    for batch in batches:
+        grp = batch.column("grp").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1).tolist(), len(grp)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            own = batch.slice(a, b - a)
+            own = own.take(pc.sort_indices(own.column("id")))  # postings are in the order of ids
+            sizes = pc.list_value_length(own.column("terms")).to_numpy(zero_copy_only=False)
+            coded = own.column("terms").flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            doc, code = np.repeat(np.arange(b - a), sizes), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            tf, dl = own.column("tfs").flatten().to_numpy(zero_copy_only=False), own.column("dl").to_numpy(zero_copy_only=False)[doc]
+            order = np.argsort(code, kind="stable")
+            offsets = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+            posting = pa.StructArray.from_arrays([own.column("id").take(pa.array(doc[order])), pa.array(tf[order]), pa.array(dl[order])], names=["id", "tf", "dl"])
+            # of those with as many occurrences or more, the shortest so far is passed: lengths of later terms are lowered
+            # below all before, so that the least so far begins anew with each term
+            best = np.lexsort((dl, -tf, code))
+            low = dl[best] - code[best] * (int(dl.max()) + 1)
+            keep = np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])
+            best = best[keep]
+            starts = np.searchsorted(code[best], np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(dl[best])], names=["tf", "dl"])
+            n = np.diff(offsets).astype(np.int64)
+            columns = [coded.dictionary, pa.array(np.full(len(n), grp[a])), pa.array(n), pa.ListArray.from_arrays(starts, pairs), pa.ListArray.from_arrays(offsets, posting)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "grp", "n", "best", "postings"])

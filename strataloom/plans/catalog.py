@@ -561,7 +561,7 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 def _kept_index(t: Tables) -> KeptIndex:
     """The stored index of the chunk texts: made once for each state of the tables, loaded after that."""
     state = "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for n in ("documents", "embeddings") for f in t.files(n)))
-    index = KeptIndex(t.spark, f"{shared_folder(t.spark)}/strataloom-kept/text-{hashlib.sha256(state.encode()).hexdigest()[:24]}")
+    index = KeptIndex(t.spark, f"{shared_folder(t.spark)}/strataloom-kept/lists-{hashlib.sha256(state.encode()).hexdigest()[:24]}")
     if not index.snapshot().segments:
         try:
             index.upsert(_index(t), "doc_id", "text")

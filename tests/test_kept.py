@@ -257,3 +257,26 @@ def test_nearest_in_parts_and_a_kept_coarse_index(spark, tmp_path):
     found = {(x["query_id"], x["id"]) for x in again.search(asked.where("query_id < 2000")).collect()}
     exact = {(x["query_id"], x["id"]) for x in retrieval.nearest(asked, index, "id", "v").where("query_id < 2000").collect()}
     assert len(found & exact) >= retrieval.RECALL * len(exact)
+
+
+def test_texts_travel_in_no_shuffle(spark, tmp_path, monkeypatch):
+    """A segment is cut and counted where texts lie: texts were dealt by key, each word by document, and lists twice by term."""
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("the"), F.col("id") % 7, F.col("id"), F.lit("the")).alias("text")).repartition(3)
+    stored = []
+    was = KeptIndex._store
+    monkeypatch.setattr(KeptIndex, "_store", lambda self, held, level: stored.append(held) or was(self, held, level))
+    index = KeptIndex(spark, str(tmp_path / "i"))
+    index.upsert(docs, "id", "text")
+    plan = stored[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # the one of this test
+    rows = index._rows(index.snapshot().segments).collect()
+    assert sum(r["n"] for r in rows if r["term"] == "the") == 300 and all(r["n"] == len(r["postings"]) <= 64 for r in rows)
+    for r in rows:
+        pairs = {(p["tf"], p["dl"]) for p in r["postings"]}
+        best = {p for p in pairs if not any(q != p and q[0] >= p[0] and q[1] <= p[1] for q in pairs)}
+        assert [tuple(p) for p in r["best"]] == sorted(best, reverse=True) and [p["id"] for p in r["postings"]] == sorted(p["id"] for p in r["postings"])
+    # a key that comes twice is there once
+    index.upsert(docs.where("id < 5").unionByName(docs.where("id < 2")), "id", "text")
+    index.merge(fanout=2)
+    assert index.size() == (300, 1200) and len(index.snapshot().segments) == 1
+    assert {tuple(r) for r in index.frequencies(spark.createDataFrame([("the",), ("3",), ("none",)], "term string")).collect()} == {("the", 300), ("3", 43)}
