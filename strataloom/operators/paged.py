@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 
 from .versions import Versions
 
-#: Rows of a range, about.
-RANGE_ROWS = 200_000
+#: Rows of a range, about, and of the ranges that one task sorts.
+RANGE_ROWS, TASK_ROWS = 200_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,13 @@ class PagedTable:
         count = rows.count()
         ranges = max(1, -(-count // range_rows))
         at = f"{self.folder}/ranges-{number + 1}"
-        dealt = rows.repartitionByRange(ranges, *self._columns(order)).sortWithinPartitions(*self._columns(order))
-        dealt.withColumn("_range", F.spark_partition_id()).write.mode("overwrite").partitionBy("_range").parquet(at)
+        # Spark draws a hundred keys and more for each task to the driver: tasks are as many as their rows ask for, and
+        # a task cuts what it has sorted to ranges
+        tasks = min(ranges, max(1, -(-count // max(TASK_ROWS, range_rows))))
+        dealt = rows.repartitionByRange(tasks, *self._columns(order)).sortWithinPartitions(*self._columns(order))
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        number_ = F.spark_partition_id().cast("long") * (1 << 33) + F.floor(place / range_rows)
+        dealt.withColumn("_range", number_).write.mode("overwrite").partitionBy("_range").parquet(at)
         sizes = {r["_range"]: r["n"] for r in self.spark.read.parquet(at).groupBy("_range").agg(F.count("*").alias("n")).collect()} if count else {}
         before, total = [], 0
         for k in sorted(sizes):

@@ -1,7 +1,9 @@
 """Pages by rank: the right rows from one range."""
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
+from strataloom.operators import paged
 from strataloom.operators.paged import PagedTable
 
 
@@ -27,3 +29,15 @@ def test_pages(spark, tmp_path):
     assert table.store(spark.createDataFrame([], "id long, g int, t string"), ["id"]) == 0
     empty = table.page(1)
     assert empty.rows.count() == 0 and not empty.has_next and not empty.has_prev and empty.rows.columns == ["id", "g", "t", "rank"]
+
+
+def test_few_tasks_make_many_ranges(spark, tmp_path, monkeypatch):
+    """A task for each range sends a hundred keys of each to the driver."""
+    asked = []
+    was = DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *c: asked.append(n) or was(self, n, *c))
+    monkeypatch.setattr(paged, "TASK_ROWS", 400)
+    table = PagedTable(spark, str(tmp_path / "p"))
+    table.store(spark.range(1000).repartition(5), ["desc id"], range_rows=10)
+    assert asked == [3] and 100 <= len(table._state()["ranges"]) <= 103
+    assert [r["id"] for p in table.walk(90) for r in p.rows.orderBy("rank").collect()] == list(range(999, -1, -1))
