@@ -12,8 +12,9 @@ from ..functions.text import basename
 def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(item, path): each wanted item's file by equality, else by a path that ends in it, else by base name; the first path
     of the best rule. Every rule needs equal base names, so one equi-join on that finds all candidates."""
-    a = wanted.select("item", basename(F.col("item")).alias("base"))
-    b = files.select("path", basename(F.col("path")).alias("base"))
+    a = wanted.select("item").distinct().withColumn("base", basename(F.col("item")))
+    # a path that many files share is one candidate
+    b = files.select("path").distinct().withColumn("base", basename(F.col("path")))
     rule = F.when(F.col("path") == F.col("item"), 0).when(F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("item"))), 1).otherwise(2)
     best = a.join(b, "base").groupBy("item").agg(F.min(F.struct(rule.alias("rule"), "path")).alias("m"))
     return best.select("item", "m.path", "m.rule")

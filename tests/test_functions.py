@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import chunking, parsing, text
 from strataloom.functions.providers import Providers, first_sentences, hash_embedding
-from strataloom.operators import graph, packing, retrieval
+from strataloom.operators import graph, matching, packing, retrieval
 from strataloom.sources import files
 from strataloom.streaming import jobs
 
@@ -197,3 +197,12 @@ def test_streamed_windows(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from w").first()[0] == spark.read.parquet(src).count()
+
+
+def test_copies_of_a_path_are_one_candidate(spark):
+    """3000 copies of each of two items and paths of one base name: 36 million pairs met before."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "a/x.py").otherwise("b/x.py").alias("path"))
+    out = matching.resolve_paths(rows.select(F.col("path").alias("item")), rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") == 2
+    assert sorted(map(tuple, out.collect())) == [("a/x.py", "a/x.py", 0), ("b/x.py", "b/x.py", 0)]
