@@ -2,7 +2,9 @@
 
 Messages come as a stream of (job, ts, kind), somewhat out of order. A job is judged once its limit has passed by event time:
 by the first message that ends it between its submission and the limit, whatever the order of arrival; what comes later is
-ignored. State of a job is its few messages, then a mark that it is closed, which a timer clears.
+ignored. Jobs are dealt to buckets by hash, whose messages are held and judged together: a call to the state costs more than
+the few messages of a job. State of a bucket is the messages of its open jobs and marks of those closed; a timer stands at
+the first job that is due, or mark that goes.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -19,19 +22,63 @@ from ..runtime import ship
 SUBMITTED, RUNNING, DONE, FAILED, TIMED_OUT = "submitted", "running", "done", "failed", "timed out"
 SCHEMA = "job string, submitted timestamp, started timestamp, ended timestamp, status string, messages int"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets that jobs are dealt to: a task holds the open messages of one at a time. A checkpoint goes with its number.
+BUCKETS = 512
+_TIMES = ("submitted", "started", "ended")
+_JUDGED = "job string, submitted long, started long, ended long, status string, messages int"
+
+
+def outcomes(m: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """(job, submitted, started, ended, status, messages that count) in milliseconds of all messages (job, at, kind) of some
+    jobs; those never submitted have no row."""
+    out = m[m["kind"] == SUBMITTED].groupby("job")["at"].min().rename("submitted").to_frame()
+    own = m[(m["kind"] != SUBMITTED) & m["job"].isin(out.index)]
+    since = own["job"].map(out["submitted"])
+    own = own[(own["at"] >= since) & (own["at"] <= since + limit)].sort_values(["job", "at", "kind"])
+    ends = own[own["kind"].isin((DONE, FAILED))].drop_duplicates("job").set_index("job")
+    ended, status = own["job"].map(ends["at"]), own["job"].map(ends["kind"]).fillna("")
+    counted = own[ended.isna() | (own["at"] < ended) | ((own["at"] == ended) & (own["kind"] <= status))]
+    out["started"] = counted[counted["kind"] == RUNNING].drop_duplicates("job").set_index("job")["at"].astype("Int64")
+    out["ended"], out["status"] = ends["at"].astype("Int64"), ends["kind"]
+    out["messages"] = counted.groupby("job").size()
+    out = out.astype({"submitted": "Int64", "started": "Int64", "ended": "Int64"})
+    out["status"], out["messages"] = out["status"].fillna(TIMED_OUT), (out["messages"].fillna(0) + 1).astype("int32")
+    return out.reset_index()
 
 
 def outcome(messages: list[tuple[int, str]], limit: int) -> tuple | None:
-    """(submitted, started, ended, status, messages that count) in milliseconds, of all messages of a job; None if it was
-    never submitted."""
-    submitted = min((t for t, kind in messages if kind == SUBMITTED), default=None)
-    if submitted is None:
-        return None
-    own = sorted((t, kind) for t, kind in messages if submitted <= t <= submitted + limit and kind != SUBMITTED)
-    end = next(((t, kind) for t, kind in own if kind in (DONE, FAILED)), (None, TIMED_OUT))
-    counted = [(t, kind) for t, kind in own if end[0] is None or (t, kind) <= end]
-    started = next((t for t, kind in counted if kind == RUNNING), None)
-    return submitted, started, end[0], end[1], len(counted) + 1
+    """(submitted, started, ended, status, messages that count) of all messages (at, kind) of one job; None if it was never
+    submitted."""
+    found = outcomes(pd.DataFrame({"job": "", "at": [t for t, _ in messages], "kind": [k for _, k in messages]}), limit)
+    return next((tuple(None if x is pd.NA else x for x in row[1:]) for row in found.itertuples(index=False)), None)
+
+
+def due(m: pd.DataFrame, limit: int) -> pd.Series:
+    """When each job's limit has passed; of one not submitted, when its first message is too old for a submission to come."""
+    first = m.groupby("job")["at"].min()
+    return m[m["kind"] == SUBMITTED].groupby("job")["at"].min().reindex(first.index).fillna(first).astype("int64") + limit
+
+
+def expired(m: pd.DataFrame, closed: pd.DataFrame, now: int, limit: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """(rows of the jobs that are due, messages of those still open, marks of those closed (job, until)) at a watermark."""
+    at = due(m, limit)
+    gone = at[at <= now]
+    judged = outcomes(m[m["job"].isin(gone.index)], limit)
+    # what has come for a job that isn't submitted yet stays, as long as a submission before it may come
+    rest = m[~m["job"].isin(gone.index) | (~m["job"].isin(judged["job"]) & (m["at"] >= now))]
+    marks = pd.DataFrame({"job": judged["job"], "until": judged["job"].map(gone).astype("int64") + limit})
+    return judged, rest, pd.concat([closed[closed["until"] > now], marks[marks["until"] > now]], ignore_index=True)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
 
 
 class _Followed(StatefulProcessor):
@@ -40,49 +87,48 @@ class _Followed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "ts array<long>, kind array<string>, closed boolean")
+        self.kept = handle.getValueState("kept", "open binary, closed binary")
+
+    def _held(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if self.kept.exists():
+            return tuple(_unpacked(bytes(x)) for x in self.kept.get())
+        return pd.DataFrame({"job": pd.Series(dtype=object), "at": pd.Series(dtype="int64"), "kind": pd.Series(dtype=object)}), pd.DataFrame({"job": pd.Series(dtype=object), "until": pd.Series(dtype="int64")})
 
-    def _timer(self, at: int) -> None:
+    def _keep(self, m: pd.DataFrame, closed: pd.DataFrame) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+        if not len(m) and not len(closed):
+            self.kept.clear()
+            return
+        self.kept.update((_packed(m), _packed(closed)))
+        self.handle.registerTimer(int(min(x.min() for x in (due(m, self.limit), closed["until"]) if len(x))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts, kinds, closed = self.kept.get() if self.kept.exists() else ([], [], False)
-        ts, kinds = list(ts), list(kinds)
-        for pdf in rows:
-            if not closed:
-                ts += [int(t.value // 1_000_000) for t in pdf["ts"]]
-                kinds += pdf["kind"].tolist()
-        if not closed:
-            self.kept.update((ts, kinds, False))
-            submitted = [t for t, kind in zip(ts, kinds) if kind == SUBMITTED]
-            # messages before any submission are of no use to a later one
-            self._timer(min(submitted or ts) + self.limit)
+        m, closed = self._held()
+        new = pd.concat([pdf[["job", "at", "kind"]] for pdf in rows], ignore_index=True)
+        new = new[~new["job"].isin(closed["job"])]
+        if len(new):
+            self._keep(pd.concat([m, new], ignore_index=True) if len(m) else new, closed)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ts, kinds, closed = self.kept.get() if self.kept.exists() else ([], [], True)
-        found = None if closed else outcome(list(zip(ts, kinds)), self.limit)
-        if found is None:
-            self.kept.clear()
-            yield pd.DataFrame()
-            return
-        self.kept.update(([], [], True))
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.limit)
-        row = [key[0], *(pd.Timestamp(t, unit="ms") if t is not None else pd.NaT for t in found[:3]), *found[3:]]
-        out = pd.DataFrame([row], columns=["job", "submitted", "started", "ended", "status", "messages"])
-        yield out.astype({"submitted": "datetime64[ns]", "started": "datetime64[ns]", "ended": "datetime64[ns]", "messages": "int32"})
+        m, closed = self._held()
+        judged, m, closed = expired(m, closed, timerValues.getCurrentWatermarkInMs(), self.limit)
+        self._keep(m, closed)
+        yield judged if len(judged) else pd.DataFrame()
 
 
-def followed(messages: DataFrame, limit_seconds: int, late: str) -> DataFrame:
+def followed(messages: DataFrame, limit_seconds: int, late: str, buckets: int = BUCKETS) -> DataFrame:
     """A row for each job, once its limit has passed, of a stream of messages (job, ts, kind); `late` is how far messages
     may be out of order."""
     spark = messages.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = messages.where("job is not null and ts is not null and kind is not null").withWatermark("ts", late)
-    return rows.groupBy("job").transformWithStateInPandas(_Followed(limit_seconds * 1000), SCHEMA, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = rows.select(bucket, "job", "ts", F.unix_millis("ts").alias("at"), "kind")
+    out = rows.groupBy("bucket").transformWithStateInPandas(_Followed(limit_seconds * 1000), _JUDGED, "append", "eventTime")
+    return out.withColumns({c: F.timestamp_millis(c) for c in _TIMES})
 
 
 def follow(messages: DataFrame, limit_seconds: int, late: str, sink: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Jobs followed by a stream, restarted in the middle, against one pass over all messages."""
 
 import datetime
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -47,3 +48,44 @@ def test_outcome():
     assert slow.outcome([(10, "submitted"), (5, "done")], limit) == (10, None, None, "timed out", 1)
     assert slow.outcome([(10, "submitted"), (111, "done")], limit) == (10, None, None, "timed out", 1)
     assert slow.outcome([(50, "failed"), (10, "submitted"), (110, "done"), (20, "running"), (60, "running"), (12, "submitted")], limit) == (10, 20, 50, "failed", 3)
+
+
+def test_many_jobs_cost_a_call_to_the_state_per_bucket(spark, tmp_path):
+    """Jobs of a bucket are held and judged together: rows of Python's state calls don't grow with the jobs."""
+    rows = [(f"j{j}", START + datetime.timedelta(seconds=j % 7), kind) for j in range(3000) for kind in ("submitted", "done")]
+    rows.append(("flush", START + datetime.timedelta(days=1), "running"))
+    source, sink, mark = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "mark")
+    spark.createDataFrame(rows, "job string, ts timestamp, kind string").coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema("job string, ts timestamp, kind string").parquet(str(source))
+    done = slow.follow(stream, 600, "10 minutes", sink, mark)
+    done.awaitTermination(120)
+    state = [p["stateOperators"][0] for p in (json.loads(x.json) for x in done.recentProgress)]
+    assert slow.judged(spark, sink).groupBy("status", "messages").count().collect() == [("done", 2, 3000)]
+    assert max(s["customMetrics"].get("numRegisteredTimers", 0) for s in state) <= slow.BUCKETS
+
+
+def test_jobs_judged_together_equal_one_by_one():
+    r = random.Random(3)
+    kinds = ["submitted", "running", "done", "failed", "other"]
+    m = [(f"j{r.randint(0, 40)}", r.randint(0, 60), r.choice(kinds)) for _ in range(400)]
+    got = {row[0]: tuple(None if x is slow.pd.NA else x for x in row[1:]) for row in slow.outcomes(slow.pd.DataFrame(m, columns=["job", "at", "kind"]), 20).itertuples(index=False)}
+    for job in {x[0] for x in m}:
+        own = [(t, kind) for j, t, kind in m if j == job]
+        submitted = min((t for t, kind in own if kind == "submitted"), default=None)
+        if submitted is None:
+            assert job not in got
+            continue
+        within = sorted((t, kind) for t, kind in own if submitted <= t <= submitted + 20 and kind != "submitted")
+        end = next(((t, kind) for t, kind in within if kind in ("done", "failed")), (None, "timed out"))
+        counted = [x for x in within if end[0] is None or x <= end]
+        started = next((t for t, kind in counted if kind == "running"), None)
+        assert got[job] == (submitted, started, *end, len(counted) + 1)
+
+
+def test_a_message_ahead_of_its_submission_stays():
+    frame = lambda rows: slow.pd.DataFrame(rows, columns=["job", "at", "kind"])
+    closed = slow.pd.DataFrame({"job": slow.pd.Series(dtype=object), "until": slow.pd.Series(dtype="int64")})
+    judged, rest, closed = slow.expired(frame([("a", 0, "running"), ("a", 120, "done"), ("b", 0, "submitted"), ("c", 10, "submitted")]), closed, 100, 100)
+    assert judged["job"].tolist() == ["b"] and rest.values.tolist() == [["a", 120, "done"], ["c", 10, "submitted"]]
+    assert closed.values.tolist() == [["b", 200]]
+    assert slow.expired(rest, closed, 200, 100)[2]["job"].tolist() == ["c"]
