@@ -29,6 +29,8 @@ from .versions import Versions
 #: Documents in a group, about; folders over which the terms of a segment are dealt; terms that a search hands to the scan as
 #: a filter; documents whose rows of one term meet in one task; rows of ids or terms that are broadcast at most.
 GROUP_DOCS, FOLDERS, FILTER_TERMS, TERM_DOCS, SENT_ROWS = 64, 16, 2000, 1 << 18, 200_000
+#: Scores of a document for a question that one task of a search sums, and words whose postings one task of a segment sorts, about.
+PAIRS, TASK_WORDS = 1 << 20, 1 << 21
 #: Segments of one size class that are merged into one of the next.
 FANOUT = 4
 
@@ -126,7 +128,11 @@ class KeptIndex:
         listed = listed.mapInArrow(_posted, f"term string, {self._kinds('postings').removeprefix('term string, ').removesuffix(', folder int')}")
         # a term that all documents hold is dealt to several tasks
         part = F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-n // TERM_DOCS))))
-        dealt = listed.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).repartition("folder", "term", part)
+        dealt = listed.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
+        # few words are left to the default number of tasks, of which Spark joins small ones
+        tasks = -(-int(length) // TASK_WORDS)
+        tasks = [tasks] if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
+        dealt = dealt.repartition(*tasks, "folder", "term", part)
         dealt.sortWithinPartitions("folder", "term", "grp").write.option("compression", "zstd").partitionBy("folder").parquet(f"{at}/postings")
         return segment | {"docs": n, "words": int(length), "terms": n > 0}
 
@@ -222,20 +228,33 @@ class KeptIndex:
         rows = self._wanted(now, asked)
         df = self._counted(now, asked, rows)
         weight = self._stored(asked.join(df, "term").withColumn("idf", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-        bound = F.sum(F.col("idf") * F.array_max(F.transform("best", lambda p: impact(p["tf"], p["dl"]))))
-        groups = weight.join(rows.select("term", "segment", "grp", "best"), "term").groupBy("query_id", "segment", "grp").agg(bound.alias("bound"))
-        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "grp"))
+        # weights go to the rows, if they are few: a row travels once, to where all of its group are, whoever asks for it
+        few = weight.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+        sent = F.broadcast(weight) if few else weight
+        asking = weight.select("query_id").distinct().count()
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-docs * asking // PAIRS))
+        # one number for a segment and a group of it, by which rows are dealt
+        names = [g["name"] for g in now.segments]
+        number = lambda segment: F.array_position(F.array(*map(F.lit, names)), segment) - 1
+        rows = rows.withColumn("at", F.col("grp") * len(names) + number(F.col("segment")) if names else F.col("grp"))
+        most = F.array_max(F.transform("best", lambda p: impact(p["tf"], p["dl"]))).alias("most")
+        bounds = rows.select("term", "at", most).repartition(tasks, "at").join(sent, "term")
+        groups = bounds.groupBy("query_id", "at").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "at"))
         groups = self._stored(groups.withColumn("place", place))
 
         def hits(of: DataFrame) -> DataFrame:
-            met = of.select("query_id", "segment", "grp").join(weight.select("query_id", "term", "idf"), "query_id")
-            found = met.join(rows.select("term", "segment", "grp", "postings"), ["term", "segment", "grp"])
-            each = found.select("query_id", "segment", "idf", F.explode("postings").alias("p"))
-            each = each.select("query_id", "segment", F.col("p.id").alias("id"), (F.col("idf") * impact(F.col("p.tf"), F.col("p.dl"))).alias("part"))
-            # one document of those with an id is in force
-            each = each.groupBy("query_id", "segment", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+            wanted = of.select("query_id", "at").repartition(tasks, "at")
+            wanted = wanted.groupBy("at").agg(F.collect_list("query_id").alias("by")).hint("shuffle_hash")
+            found = rows.select("term", "at", "postings").repartition(tasks, "at").join(wanted, "at")
+            found = found.join(sent, (found["term"] == sent["term"]) & F.array_contains("by", sent["query_id"]))
+            each = found.select("query_id", "at", "idf", F.explode("postings").alias("p"))
+            each = each.select("query_id", "at", F.col("p.id").alias("id"), (F.col("idf") * impact(F.col("p.tf"), F.col("p.dl"))).alias("part"))
+            # one document of those with an id is in force; all its postings are in its group, so that sums make no shuffle
+            each = each.groupBy("query_id", "at", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
             if now.deletions:
-                each = each.join(self._gone(now).hint("shuffle_hash"), ["segment", "id"], "left_anti")
+                gone = self._gone(now).select(number(F.col("segment")).alias("nr"), "id")
+                each = each.withColumn("nr", F.col("at") % len(names)).join(gone.hint("shuffle_hash"), ["nr", "id"], "left_anti")
             return each.select("query_id", "id", "score")
 
         first = top(hits(groups.where(F.col("place") <= k)), k, F.desc("score"), F.asc("id"))
@@ -244,7 +263,7 @@ class KeptIndex:
         left = groups.where(F.col("place") > k).join(least, "query_id", "left")
         # a bound may fall short of a score by rounding only
         left = left.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-DIGITS))
-        return first, hits(left), groups.join(left.select("query_id", "segment", "grp", F.lit(True).alias("again")), ["query_id", "segment", "grp"], "left")
+        return first, hits(left), groups.join(left.select("query_id", "at", F.lit(True).alias("again")), ["query_id", "at"], "left")
 
     def _stored(self, rows: DataFrame) -> DataFrame:
         """Written below `searches`, which vacuum() empties, and read back: a few rows a query, which are read twice."""

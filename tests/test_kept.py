@@ -280,3 +280,23 @@ def test_texts_travel_in_no_shuffle(spark, tmp_path, monkeypatch):
     index.merge(fanout=2)
     assert index.size() == (300, 1200) and len(index.snapshot().segments) == 1
     assert {tuple(r) for r in index.frequencies(spark.createDataFrame([("the",), ("3",), ("none",)], "term string")).collect()} == {("the", 300), ("3", 43)}
+
+
+def test_a_search_takes_more_tasks_with_more_to_sum(spark, tmp_path, monkeypatch):
+    """What a task of a search sums doesn't grow with documents and questions, and postings travel once, by their group."""
+    docs = spark.createDataFrame([(i, f"common w{i % 7} rare{i}") for i in range(600)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"common w{q} rare{q * 9}") for q in range(5)], "query_id long, question string")
+    index = KeptIndex(spark, str(tmp_path / "index"))
+    index.upsert(docs, "id", "text")
+    want = sorted(map(tuple, index.search(asked, k=7).collect()))
+    monkeypatch.setattr(kept_index, "PAIRS", 100)
+    plan = index.plan(asked, 1)[1]._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Generate explode(postings")
+    assert "Exchange" not in above and below.count(", 30), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in below.split("FileScan")[0]
+    assert sorted(map(tuple, index.search(asked, k=7).collect())) == want
+    # so does the sort of a segment's postings
+    monkeypatch.setattr(kept_index, "TASK_WORDS", 180)
+    other = KeptIndex(spark, str(tmp_path / "other"))
+    other.upsert(docs, "id", "text")
+    written = {p.name.split("-")[1] for p in (tmp_path / "other").rglob("postings/folder=*/*.parquet")}
+    assert 4 < len(written) <= 10 and sorted(map(tuple, other.search(asked, k=7).collect())) == want
