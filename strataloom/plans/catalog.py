@@ -528,6 +528,18 @@ def _index(t: Tables) -> DataFrame:
     return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding")
 
 
+#: Keys that are sent to all texts at most, instead of dealing both by key.
+SENT_KEYS = 1_000_000
+
+
+def _index_texts(t: Tables) -> DataFrame:
+    """The index's texts, of which only those with a vector travel: these often lie together in a few files, and then one task
+    would cut them all."""
+    keys = t.embeddings.select(F.col("vec_id").alias("doc_id"))
+    keys = F.broadcast(keys) if keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS else keys.hint("shuffle_hash")
+    return t.documents.select("doc_id", "text").join(keys, "doc_id").repartition("doc_id")
+
+
 _W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 _DOT = "list_reduce(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE), lambda x, y: x + y)"
 _NORMAL = "CASE WHEN max(score) OVER (PARTITION BY query_id) <> 0 THEN round(score / max(score) OVER (PARTITION BY query_id), 6) ELSE 0.0 END AS normalised"
@@ -564,7 +576,7 @@ def _kept_index(t: Tables) -> KeptIndex:
     index = KeptIndex(t.spark, f"{shared_folder(t.spark)}/strataloom-kept/lists-{hashlib.sha256(state.encode()).hexdigest()[:24]}")
     if not index.snapshot().segments:
         try:
-            index.upsert(_index(t), "doc_id", "text")
+            index.upsert(_index_texts(t), "doc_id", "text")
         except Conflict:
             pass  # another session has stored the same
     return index

@@ -13,6 +13,7 @@ from strataloom.operators import kept_index, retrieval
 from strataloom.operators.kept_index import KeptIndex
 from strataloom.operators.keyed_table import KeyedTable, upsert_batches
 from strataloom.operators.versions import Conflict, Versions
+from strataloom.plans import catalog
 from strataloom.sources import collection
 
 random.seed(5)
@@ -300,3 +301,15 @@ def test_a_search_takes_more_tasks_with_more_to_sum(spark, tmp_path, monkeypatch
     other.upsert(docs, "id", "text")
     written = {p.name.split("-")[1] for p in (tmp_path / "other").rglob("postings/folder=*/*.parquet")}
     assert 4 < len(written) <= 10 and sorted(map(tuple, other.search(asked, k=7).collect())) == want
+
+
+def test_texts_that_lie_together_are_cut_by_many_tasks(spark, tmp_path):
+    spark.range(4000).selectExpr("id as doc_id", "repeat(sha2(cast(id as string), 256), 4) as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(800).selectExpr("id as vec_id", "array(1f) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    try:
+        rows = catalog._index_texts(catalog.Tables(spark, str(tmp_path)))
+        held = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert sum(held) == 800 and max(held) < 400
