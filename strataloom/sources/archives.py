@@ -1,17 +1,19 @@
 """Archives whose members are read by many tasks: an index by range reads, then members dealt by size.
 
 index() reads the central directory of a zip file, or walks the headers of a tar file, without reading what lies between;
-members() deals what is safe to take to tasks, each of which opens its archives once and reads only its members. A tar.gz
-has no places to begin at, so it is one unit of work, streamed member by member. Nothing holds a whole archive. What is
-not taken has a row with its reason.
+members() deals what is safe to take to tasks, each of which opens its archives and reads only its members, at the places
+that the index tells. A tar.gz has no places to begin at, so it is one unit of work, streamed member by member. Nothing holds
+a whole archive. What is not taken has a row with its reason.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,10 @@ from ..runtime import ship
 
 #: Bytes of members that one task takes, about.
 TASK_BYTES = 64 << 20
+#: Rows and bytes of members that a task hands on together, at most but for one.
+OUT_ROWS, OUT_BYTES = 1000, 4 << 20
 ZIP, TAR, STREAM = "zip", "tar", "tar.gz"
-_INDEX = "archive string, number int, member string, kind string, place long, size long, packed long, status string"
+_INDEX = "archive string, number int, member string, kind string, place long, size long, packed long, status string, before long, method int, crc long"
 _OUT = "archive string, member string, folder string, status string, content binary"
 
 
@@ -103,28 +107,30 @@ def _refused(name: str, size: int, packed: int, bounds: Bounds) -> str:
 def _listed(path: str, bounds: Bounds) -> Iterator[tuple]:
     kind = kind_of(path)
     if kind is None:
-        yield path, 0, None, None, 0, 0, 0, "unsupported"
+        yield path, 0, None, None, 0, 0, 0, "unsupported", 0, None, None
     elif kind == STREAM:
-        yield path, 0, None, STREAM, 0, 0, 0, "ok"
+        yield path, 0, None, STREAM, 0, 0, 0, "ok", 0, None, None
     else:
         with _open(path) as f:
             if kind == ZIP:
                 with zipfile.ZipFile(f) as z:
-                    found = [(i.filename, i.header_offset, i.file_size, i.compress_size, bool(i.flag_bits & 1)) for i in z.infolist() if not i.is_dir()]
+                    found = [(i.filename, i.header_offset, i.file_size, i.compress_size, bool(i.flag_bits & 1), i.compress_type, i.CRC) for i in z.infolist() if not i.is_dir()]
             else:
                 with tarfile.open(fileobj=f, mode="r:") as t:
-                    found = [(m.name, m.offset_data, m.size, m.size, False) for m in t if m.isreg()]
-        total = 0
-        for i, (name, place, size, packed, locked) in enumerate(found):
+                    found = [(m.name, m.offset_data, m.size, m.size, False, None, None) for m in t if m.isreg()]
+        total = before = 0
+        for i, (name, place, size, packed, locked, method, crc) in enumerate(found):
             status = "locked" if locked else _refused(name, size, packed, bounds)
             total += size if status == "ok" else 0
             status = "over the archive's limit" if status == "ok" and (total > bounds.total_bytes or i >= bounds.members) else status
-            yield path, i, name, kind, place, size, packed, status
+            before += size if status == "ok" else 0
+            yield path, i, name, kind, place, size, packed, status, before, method, crc
 
 
 def index(archives: DataFrame, path: str = "path", bounds: Bounds = Bounds()) -> DataFrame:
-    """(archive, number, member, kind, place, size, packed, status) of every member; an archive that can't be read has one
-    row with its reason. Only names of the archives are needed of the rows."""
+    """(archive, number, member, kind, place, size, packed, status, before, method, crc) of every member, `before` being the bytes
+    of the safe ones up to it; an archive that can't be read has one row with its reason. Only names of the archives are needed
+    of the rows, which are dealt to the default number of tasks however short they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,11 +138,13 @@ def index(archives: DataFrame, path: str = "path", bounds: Bounds = Bounds()) ->
                 try:
                     rows = list(_listed(at, bounds))
                 except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, NotImplementedError) as e:
-                    rows = [(at, 0, None, None, 0, 0, 0, f"unreadable: {type(e).__name__}")]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in _INDEX.split(", ")])
+                    rows = [(at, 0, None, None, 0, 0, 0, f"unreadable: {type(e).__name__}", 0, None, None)]
+                pdf = pd.DataFrame(rows, columns=[x.split()[0] for x in _INDEX.split(", ")])
+                yield pdf.astype({"method": "Int32", "crc": "Int64"})
 
     ship(archives.sparkSession)
-    spread = archives.select(path).where(F.col(path).isNotNull()).distinct()
+    tasks = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = archives.select(path).where(F.col(path).isNotNull()).repartition(tasks, path).distinct()
     return spread.mapInPandas(run, _INDEX)
 
 
@@ -185,13 +193,34 @@ def _unpacked(file, kind: str) -> Iterator[tuple]:
             pass  # a stream that breaks off says so at its end only
 
 
+def _plain(f, name: str, place: int, size: int, packed: int, method: int, crc: int) -> bytes:
+    """A stored or deflated member of a zip file, read by what the index tells: the directory of a large archive would cost
+    each task more than its members."""
+    f.seek(place)
+    head = f.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("no member begins here")
+    flags, n, extra = *struct.unpack("<H", head[6:8]), *struct.unpack("<HH", head[26:30])
+    told = f.read(n).decode("utf-8" if flags & 0x800 else "cp437", "replace").split("\0")[0]
+    if told != name:
+        raise zipfile.BadZipFile("another member begins here")
+    f.seek(place + 30 + n + extra)
+    data = f.read(packed)
+    if method == zipfile.ZIP_DEFLATED:
+        try:
+            data = zlib.decompressobj(-15).decompress(data, size + 1)
+        except zlib.error as e:
+            raise zipfile.BadZipFile(str(e)) from e
+    if len(data) != size or zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("bad sum")
+    return data
+
+
 def members(listed: DataFrame, bounds: Bounds = Bounds(), task_bytes: int = TASK_BYTES) -> DataFrame:
     """(archive, member, folder, status, content) of an index's members. Safe ones are dealt to tasks by the bytes before
-    them in their archive, so that a large archive is read by many tasks; a task holds a member at a time."""
-    before = F.sum("size").over(W.partitionBy("archive").orderBy("number"))
-    dealt = listed.where("status = 'ok'").withColumn("part", F.floor(before / task_bytes)).select("archive", "part", "number", "member", "kind", "place", "size")
+    them in their archive, so that a large archive is read by many tasks; a task holds a few members at a time. The index is read once."""
     tasks = max(1, int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "number")
+    dealt = listed.withColumn("part", F.floor(F.col("before") / task_bytes)).repartition(tasks, "archive", "part").sortWithinPartitions("archive", "number")
     names = [x.split()[0] for x in _OUT.split(", ")]
 
     def taken(path: str, rows: pd.DataFrame) -> Iterator[tuple]:
@@ -200,11 +229,14 @@ def members(listed: DataFrame, bounds: Bounds = Bounds(), task_bytes: int = TASK
             if kind == STREAM:
                 yield from _streamed(path, folder, f, bounds)
                 return
-            z = zipfile.ZipFile(f) if kind == ZIP else None
-            infos = {i.header_offset: i for i in z.infolist()} if z else {}
-            for name, place, size in zip(rows["member"], rows["place"], rows["size"]):
+            infos = None
+            for name, place, size, packed, method, crc in rows[["member", "place", "size", "packed", "method", "crc"]].itertuples(index=False, name=None):
                 try:
-                    if z:
+                    if kind == ZIP and method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                        data = _plain(f, name, place, size, packed, method, crc)
+                    elif kind == ZIP:
+                        z = z if infos else zipfile.ZipFile(f)
+                        infos = infos or {i.header_offset: i for i in z.infolist()}
                         data = z.read(infos[place])
                     else:
                         f.seek(place)
@@ -215,13 +247,19 @@ def members(listed: DataFrame, bounds: Bounds = Bounds(), task_bytes: int = TASK
                 yield from _inner(path, name, folder, data, bounds, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
-            for path, rows in pdf.groupby("archive", sort=False):
+            held += [(a, m, None, status, None) for a, m, status in pdf[pdf["status"] != "ok"][["archive", "member", "status"]].itertuples(index=False, name=None)]
+            for path, rows in pdf[pdf["status"] == "ok"].groupby("archive", sort=False):
                 for row in taken(path, rows):
-                    yield pd.DataFrame([row], columns=names)
-
-    refused = listed.where("status <> 'ok'").select("archive", "member", F.lit(None).cast("string").alias("folder"), "status", F.lit(None).cast("binary").alias("content"))
-    return dealt.mapInPandas(run, _OUT).unionByName(refused)
+                    held.append(row)
+                    size += len(row[4] or b"")
+                    if len(held) >= OUT_ROWS or size >= OUT_BYTES:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+        yield pd.DataFrame(held, columns=names)
+
+    return dealt.mapInPandas(run, _OUT)
 
 
 def _streamed(path: str, folder: str, file, bounds: Bounds) -> Iterator[tuple]:

@@ -90,3 +90,22 @@ def test_what_is_written_is_read_again(spark, tmp_path):
     made = archives.write_zips(rows, str(tmp_path / "zips"))
     got = archives.members(archives.index(made))
     assert {(r["archive"].rpartition("/")[2], r["member"], bytes(r["content"])) for r in got.collect()} == {(f"a{i % 3}.zip", f"d/{i}.txt", b"x" * i) for i in range(40)}
+
+
+def test_members_are_read_by_what_the_index_tells(spark, tmp_path):
+    """A task of a large archive would read the whole directory for its few members; the index of many is read by many tasks."""
+    for k in range(12):
+        (tmp_path / f"a{k}.zip").write_bytes(_zip([("ä.txt", b"one" * 50), ("b.txt", b""), ("c.txt", b"two" * 50)], zipfile.ZIP_STORED if k % 2 else zipfile.ZIP_DEFLATED))
+    listed = archives.index(_names(spark, tmp_path, *(f"a{k}.zip" for k in range(12))))
+    assert listed.select(F.spark_partition_id()).distinct().count() > 1
+    listed.write.parquet(str(tmp_path / "listed"))
+    for k in range(12):  # without their directories
+        whole = (tmp_path / f"a{k}.zip").read_bytes()
+        (tmp_path / f"a{k}.zip").write_bytes(whole[: whole.index(b"PK\x01\x02")])
+    body = bytearray((tmp_path / "a1.zip").read_bytes())
+    body[-10] ^= 1
+    (tmp_path / "a1.zip").write_bytes(bytes(body))
+    got = archives.members(spark.read.parquet(str(tmp_path / "listed")), task_bytes=100)
+    rows = sorted((r["archive"].rpartition("/")[2], r["member"], r["status"], bytes(r["content"] or b"")) for r in got.collect())
+    want = [(f"a{k}.zip", m, "ok", c) for k in range(12) for m, c in (("ä.txt", b"one" * 50), ("b.txt", b""), ("c.txt", b"two" * 50))]
+    assert rows == sorted(r if r[:2] != ("a1.zip", "c.txt") else (*r[:2], "unreadable: BadZipFile", b"") for r in want)
