@@ -152,12 +152,13 @@ def called(
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema)}, `{name}` string, status string, tries int, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: deque[pd.DataFrame] = deque()
+        held: deque[tuple[pd.DataFrame, int]] = deque()  # with the requests of each, which are counted once
 
         def asked() -> Iterator[str]:
             for pdf in batches:
-                held.append(pdf)
-                yield from (x for x in pdf[request] if isinstance(x, str))
+                own = [x for x in pdf[request] if isinstance(x, str)]
+                held.append((pdf, len(own)))
+                yield from own
 
         told = answers(asked(), call, fallback, limits)
         ready: deque[tuple] = deque()
@@ -169,12 +170,12 @@ def called(
 
         for reply in told:
             ready.append(reply)
-            while held and len(ready) >= (need := sum(isinstance(x, str) for x in held[0][request])):
-                if len(held) == 1 and need == 0:
+            while held and len(ready) >= held[0][1]:
+                if len(held) == 1 and held[0][1] == 0:
                     break
-                yield filled(held.popleft())
+                yield filled(held.popleft()[0])
         while held:
-            yield filled(held.popleft())
+            yield filled(held.popleft()[0])
 
     return dealt.mapInPandas(run, schema)
 

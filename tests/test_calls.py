@@ -98,3 +98,18 @@ def test_rows_keep_their_replies(spark):
             assert r[2:] == (want, "ok", 1, None)
     assert calls.called(rows.where("id % 7 = 0"), "request", call).where("status is null").count() == 29
     assert calls.called(rows.where("false"), "request", call).count() == 0
+
+
+def test_a_large_batch_costs_in_proportion(spark):
+    """The requests of a batch were counted again for each reply: 20,000 in one batch took 400 million looks."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 20_000)
+    try:
+        rows = spark.range(20_000).coalesce(1).selectExpr("id", "case when id % 5 <> 0 then cast(id as string) end as request")
+        calls.called(rows.limit(10), "request", str.upper).count()  # starts the worker
+        began = time.monotonic()
+        got = calls.called(rows, "request", lambda x: x + "!").agg(F.count("reply"), F.sum(F.expr("int(reply = concat(request, '!'))"))).first()
+        took = time.monotonic() - began
+    finally:
+        spark.conf.unset(size)
+    assert tuple(got) == (16_000, 16_000) and took < 6
