@@ -6,6 +6,7 @@ partition before its shuffle. Vectors meet the queries in hash-dealt blocks, whi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import cosine, words
-from ..runtime import ship
+from ..runtime import shared_folder, ship
 from .graph import neighbours, second_hop, two_hops, with_parts
 from .versions import Versions
 
@@ -36,6 +37,8 @@ CELL_ROWS = 16_384
 BLOCK_BYTES, ASKED_BYTES = 16 << 20, 8 << 20
 #: Places of a first level whose second one is sorted in one task, about.
 PLACES = 3000
+#: Ids of hits that are sent to all texts at most, instead of dealing both by id.
+SENT_HITS = 200_000
 
 
 @dataclass(frozen=True)
@@ -195,20 +198,34 @@ def word_overlap(question: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(0.0)
 
 
+def stored(hits: DataFrame) -> DataFrame:
+    """Hits, a few rows a query that are read more than once, written to the shared folder and read back."""
+    at = f"{shared_folder(hits.sparkSession)}/strataloom-kept/hits-{uuid.uuid4().hex}"
+    hits.write.parquet(at)
+    return hits.sparkSession.read.schema(hits.schema).parquet(at)
+
+
+def texts_of(hits: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of what was hit: ids of the hits go to the texts if they are few, so that no other text travels."""
+    ids = hits.select(F.col("id").alias(key)).distinct()
+    ids = F.broadcast(ids) if ids.limit(SENT_HITS + 1).count() <= SENT_HITS else ids.hint("shuffle_hash")
+    return index.select(key, text).join(ids, key, "left_semi").select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+
 def with_question(queries: DataFrame, hits: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
-    own = index.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return hits.join(queries.select("query_id", "question"), "query_id").join(own, "id")
+    return hits.join(queries.select("query_id", "question"), "query_id").join(texts_of(hits, index, key, text), "id")
 
 
 def scored(queries: DataFrame, hits: DataFrame, index: DataFrame, key: str, text: str, score: Column | None) -> DataFrame:
     """hits with `judged`: the given expression over question and text, or word_overlap() of the two, for which a question is
-    cut once for all its hits."""
+    cut once for all its hits. Hits are found once, before their texts are read."""
+    hits = stored(hits)
     if score is not None:
         return with_question(queries, hits, index, key, text).withColumn("judged", score)
     asked = queries.select("query_id", F.array_distinct(words(F.col("question"))).alias("q"))
-    found = hits.join(asked, "query_id").join(index.select(F.col(key).alias("id"), F.col(text).alias("__t")), "id")
-    share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", words(F.col("__t")))) / F.size("q")).otherwise(0.0)
-    return found.withColumn("judged", share).drop("q", "__t")
+    found = hits.join(asked, "query_id").join(texts_of(hits, index, key, text), "id")
+    share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", words(F.col("text")))) / F.size("q")).otherwise(0.0)
+    return found.withColumn("judged", share).drop("q", "text")
 
 
 def retrieve(

@@ -313,3 +313,27 @@ def test_texts_that_lie_together_are_cut_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
     assert sum(held) == 800 and max(held) < 400
+
+
+def test_only_texts_of_hits_travel(spark, tmp_path, monkeypatch):
+    """Reranking reads the texts that were hit: all texts were dealt by key to meet their vectors."""
+    at = str(tmp_path)
+    spark.range(300).selectExpr("id as doc_id", "concat('word', id % 7, ' n', id) as text").write.parquet(f"{at}/documents.parquet")
+    spark.range(200).selectExpr("id as vec_id", "array(float(id), 1f) as embedding").write.parquet(f"{at}/embeddings.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = catalog._index(catalog.Tables(spark, at))
+        asked = spark.createDataFrame([(1, "word3 n3"), (2, "word5 word9")], "query_id long, question string")
+        hits = spark.createDataFrame([(1, 3, 0, 1), (1, 10, 0, 2), (1, 4, 1, 1), (2, 5, 0, 1), (2, 250, 0, 2)], "query_id long, id long, source int, place int")
+        got = retrieval.scored(asked, hits, index, "doc_id", "text", None)
+        lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+        scan = next(n for n, x in enumerate(lines) if "FileScan" in x and "text#" in x)
+        above = next(n for n in range(scan, -1, -1) if "Exchange hashpartitioning" in lines[n])
+        assert any("BroadcastHashJoin" in x and "LeftSemi" in x for x in lines[above:scan])
+        want = [(1, 3, 1.0), (1, 4, 0.0), (1, 10, 0.5), (2, 5, 0.5)]
+        assert sorted((r["query_id"], r["id"], r["judged"]) for r in got.collect()) == want
+        monkeypatch.setattr(retrieval, "SENT_HITS", 2)
+        own = retrieval.scored(asked, hits, index, "doc_id", "text", retrieval.word_overlap(F.col("question"), F.col("text")))
+        assert sorted((r["query_id"], r["id"], r["judged"]) for r in own.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
