@@ -89,16 +89,28 @@ def second_hop(roots: DataFrame, one: DataFrame, ahead: DataFrame, by: list[str]
 
 
 def trails(starts: DataFrame, edges: DataFrame, ends: DataFrame, most: int = 2) -> DataFrame:
-    """Distinct (start, end) that one to `most` edges connect without using an edge twice."""
-    edge = edges.withColumn("edge", F.xxhash64("src", "dst", "type"))
-    goal = ends.select(F.col("id").alias("end")).distinct()
-    now = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<bigint>").alias("used"))
+    """Distinct (start, end) that one to `most` edges connect without using an edge twice; edges that come twice are one.
+
+    Trails meet their last edges, those into an end, where these lie, and beside them each end itself, at which a trail may
+    have arrived an edge before: one join tells both lengths. Of `most` 2 only loops can be used twice, so only these are told."""
+    mark = F.xxhash64("src", "dst", "type")
+    edge = edges.select("src", "dst", (mark if most > 2 else F.when(F.col("src") == F.col("dst"), mark)).alias("edge"))
+    goal = ends.select(F.col("id").alias("dst")).distinct()
+    last = edge.join(goal, "dst", "left_semi").select("src", "dst", "edge")
+    stay = goal.select(F.col("dst").alias("src"), "dst", F.lit(None).cast("bigint").alias("edge"))
+
+    def step(now: DataFrame, by: DataFrame) -> DataFrame:
+        met = now.join(by, F.col("at") == F.col("src"))
+        return met.where(F.col("used").isNull() | F.col("edge").isNull() | ~F.array_contains("used", F.col("edge")))
+
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.lit(None).cast("array<bigint>").alias("used"))
     out = None
-    for _ in range(most):
-        step = now.join(edge, F.col("at") == F.col("src")).where(~F.array_contains("used", F.col("edge")))
-        now = step.select("start", F.col("dst").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
-        hit = now.select("start", F.col("at").alias("end")).join(goal, "end", "left_semi").select("start", "end")
-        out = hit if out is None else out.unionByName(hit)
+    for n in range(most):
+        if (most - n) % 2:  # tells trails of n edges, if there are any, and of one more
+            hit = step(now, last.unionByName(stay) if n else last).select("start", F.col("dst").alias("end"))
+            out = hit if out is None else out.unionByName(hit)
+        used = F.array_append(F.coalesce("used", F.array().cast("array<bigint>")), F.col("edge"))
+        now = step(now, edge).select("start", F.col("dst").alias("at"), F.when(F.col("edge").isNull(), F.col("used")).otherwise(used).alias("used"))
     return out.distinct()
 
 

@@ -1,4 +1,5 @@
 import io
+import random
 import shutil
 import tarfile
 import zipfile
@@ -108,6 +109,31 @@ def test_two_hops_against_a_loop(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_trails_against_a_loop(spark, most):
+    """Loops, edges of two types, edges that come twice, starts and ends that are none; before, the second length of trails
+    looked up ends again, and every edge travelled with its hash."""
+    r = random.Random(most)
+    edges = [(r.randrange(9), r.randrange(9), r.choice("ab")) for _ in range(14)] + [(3, 3, "a"), (3, 3, "b"), (3, 3, "a"), (8, 8, "a"), (None, 3, "a"), (3, None, "a")]
+    starts, ends = [0, 1, 3, 3, 8, 20], [2, 3, 5, 8, 8, 21]
+
+    def walk(at, used):
+        for e in set(edges) - used:
+            if e[0] == at is not None:
+                yield e[1]
+                if len(used) + 1 < most:
+                    yield from walk(e[1], used | {e})
+
+    want = {(s, e) for s in starts for e in walk(s, frozenset()) if e in ends}
+    one = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    got = graph.trails(one(starts), spark.createDataFrame(edges, "src long, dst long, type string"), one(ends), most)
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    if most == 2:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == 2 and plan.count("Join LeftSemi") == 1
+
+
 def test_scan_and_archives(spark, tmp_path):
     root = tmp_path / "build" / "proj"
     for name, body in {"a.py": b"x = 1\n", "node_modules/b.py": b"y", "sub/.git/config": b"", "sub/c.go": "语".encode("gbk"), "big.py": b"x" * (files.MAX_BYTES + 1)}.items():
