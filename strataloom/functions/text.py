@@ -105,6 +105,8 @@ def stable_id(kind: str, *parts: Column) -> Column:
 
 #: Scripts that are written without spaces between words.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+#: Where they begin: characters below are told by their number, without a look at their script.
+_FROM = r"\x{2E80}-\x{10FFFF}"
 
 
 def words(text: Column) -> Column:
@@ -115,7 +117,7 @@ def words(text: Column) -> Column:
     spaced = found(rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+")
     pairs = found(rf"(?=([{_UNSPACED}]{{2}}))", 1)
     alone = found(rf"(?<![{_UNSPACED}])[{_UNSPACED}](?![{_UNSPACED}])")
-    return F.when(low.rlike(f"[{_UNSPACED}]"), F.concat(spaced, pairs, alone)).otherwise(found(r"[\p{L}\p{N}]+"))
+    return F.when(low.rlike(f"[{_FROM}&&[{_UNSPACED}]]"), F.concat(spaced, pairs, alone)).otherwise(found(r"[\p{L}\p{N}]+"))
 
 
 def fixed_windows(text: Column, size: int) -> Column:

@@ -109,6 +109,16 @@ def test_two_hops_against_a_loop(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_words_of_scripts_without_spaces(spark):
+    """At both ends of what is told by number: radicals at U+2E80, ideographs beyond the basic plane; an unpaired sign of
+    another script above it is a word as before."""
+    asked = {"Ünï x1": ["ünï", "x1"], "a \u2e80\u2e81": ["a", "\u2e80\u2e81"], "\U00020000b": ["b", "\U00020000"], "かな z": ["z", "かな"], "한글 \u0e01": ["한글", "\u0e01"], "々": ["々"]}
+    rows = spark.createDataFrame([(k,) for k in asked], "t string").select("t", text.words(F.col("t")).alias("w")).collect()
+    assert {r["t"]: r["w"] for r in rows} == {k: [x for x in v] for k, v in asked.items()}
+    every = spark.range(0x80, 0x32000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert every.where(F.col("c").rlike(f"[{text._UNSPACED}]") & ~F.col("c").rlike(f"[{text._FROM}&&[{text._UNSPACED}]]")).count() == 0
+
+
 @pytest.mark.parametrize("most", [1, 2, 3, 4])
 def test_trails_against_a_loop(spark, most):
     """Loops, edges of two types, edges that come twice, starts and ends that are none; before, the second length of trails
