@@ -191,3 +191,25 @@ def test_a_second_hop_is_dealt_once_by_its_roots(spark):
                     want.append((q, 2, i, j, k, far, t))
     key = lambda x: tuple(order((v if isinstance(v, str) else None if v is None else f"{v:06d}",)) for v in x)
     assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_ends_of_one_kind_travel_as_numbers(spark):
+    """A list of ends that are a word and a number each is dealt as numbers; other texts, of any form, stay as they are."""
+    odd = ["x7", "x07", "x1234567890", "x", "", "7", "0", "x1\n", "y-3", "x2y3", None]
+    edges = [("r", "a", "t"), ("r", "b", "t"), *[("a", f"n{i}", "t") for i in (0, 5, 10, 123456789)], *[("b", x, "t") for x in odd], *[("b", x, "u") for x in ("7", "0", "n5")]]
+    e = spark.createDataFrame(edges, "src string, dst string, type string")
+    roots = spark.createDataFrame([(1, 0, "r")], "q int, i int, id string")
+    out = graph.two_hops(roots, e, ["q"])
+    got = [(r["j"], r["k"], r["id"], r["type"]) for r in out.where("level = 2").collect()]
+    near = sorted([x for s, x, _ in edges if s == "a"])
+    far = sorted(odd, key=lambda x: (x is not None, x or ""))
+    assert sorted(got, key=lambda r: r[:2]) == [(0, k, x, "t") for k, x in enumerate(near)] + [(1, k, x, "t") for k, x in enumerate(far)]
+    dealt = []
+    plan = out._jdf.queryExecution().optimizedPlan()
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "RepartitionByExpression":
+            dealt += [node.output().apply(i).dataType().simpleString() for i in range(node.output().size())]
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    assert "array<int>" in dealt
