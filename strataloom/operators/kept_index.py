@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,15 @@ from .retrieval import B, DIGITS, K1, TEXT_K, normalised, top
 from .versions import Versions
 
 #: Documents in a group, about; folders over which the terms of a segment are dealt; terms that a search hands to the scan as
-#: a filter; documents whose rows of one term meet in one task; rows of ids or terms that are broadcast at most.
-GROUP_DOCS, FOLDERS, FILTER_TERMS, TERM_DOCS, SENT_ROWS = 64, 16, 2000, 1 << 18, 200_000
-#: Scores of a document for a question that one task of a search sums, and words whose postings one task of a segment sorts, about.
-PAIRS, TASK_WORDS = 1 << 20, 1 << 21
+#: a filter; rows of ids or terms that are broadcast at most.
+GROUP_DOCS, FOLDERS, FILTER_TERMS, SENT_ROWS = 64, 16, 2000, 200_000
+#: Scores of a document for a question that one task of a search sums, and words whose postings a task of a segment sorts at a
+#: time, about.
+PAIRS, TASK_WORDS = 1 << 20, 1 << 19
+#: Bytes that a task holds of each folder's file before it writes them.
+FILE_BYTES = 8 << 20
+#: Spark keeps the files of so many folders open in a task, instead of sorting its rows by folder.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 #: Segments of one size class that are merged into one of the next.
 FANOUT = 4
 
@@ -91,7 +97,10 @@ class KeptIndex:
             return False
         names = {s["name"] for s in ready}
         part = Snapshot(now.number, ready, now.deletions)
-        held = self._read(ready, "forward", "id, dl, terms, tfs").join(self._gone(part).hint("shuffle_hash"), ["segment", "id"], "left_anti")
+        # lists of terms travel only if many documents are deleted
+        few = sum(c[0] for d in now.deletions for name, c in d["counts"].items() if name in names) <= SENT_ROWS
+        gone = F.broadcast(self._gone(part)) if few else self._gone(part).hint("shuffle_hash")
+        held = self._read(ready, "forward", "id, dl, terms, tfs").join(gone, ["segment", "id"], "left_anti")
         merged = self._store(held.drop("segment"), ready[0]["level"] + 1)
         # deletions of other segments stay; those of the merged ones have taken effect
         rest = [dict(d, segments=[s for s in d["segments"] if s not in names]) for d in now.deletions]
@@ -115,7 +124,7 @@ class KeptIndex:
 
     def _store(self, held: DataFrame, level: int) -> dict:
         """Writes a segment from (id, dl, terms, tfs). Each text is cut once, and its list of terms is what all else is made of:
-        postings are grouped where the lists lie, and only they travel, once, to be sorted by term."""
+        postings are grouped where the lists lie, sorted there by term, some at a time, and written; none travels."""
         name = uuid.uuid4().hex
         at = f"{self.folder}/segments/{name}"
         # the row's number in its task, which holds whole groups of rows that lie together
@@ -125,15 +134,14 @@ class KeptIndex:
         n, length = self._docs([segment]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         listed = self._read([segment], "forward", "id, dl, terms, tfs, grp").drop("segment")
         ship(self.spark)
-        listed = listed.mapInArrow(_posted, f"term string, {self._kinds('postings').removeprefix('term string, ').removesuffix(', folder int')}")
-        # a term that all documents hold is dealt to several tasks
-        part = F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-n // TERM_DOCS))))
+        listed = listed.mapInArrow(partial(_sorted, most=TASK_WORDS), f"term string, {self._kinds('postings').removeprefix('term string, ').removesuffix(', folder int')}")
         dealt = listed.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
-        # few words are left to the default number of tasks, of which Spark joins small ones
-        tasks = -(-int(length) // TASK_WORDS)
-        tasks = [tasks] if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
-        dealt = dealt.repartition(*tasks, "folder", "term", part)
-        dealt.sortWithinPartitions("folder", "term", "grp").write.option("compression", "zstd").partitionBy("folder").parquet(f"{at}/postings")
+        was = self.spark.conf.get(OPEN_FILES)
+        self.spark.conf.set(OPEN_FILES, FOLDERS)
+        try:
+            dealt.write.options(**{"compression": "zstd", "parquet.block.size": FILE_BYTES}).partitionBy("folder").parquet(f"{at}/postings")
+        finally:
+            self.spark.conf.set(OPEN_FILES, was)
         return segment | {"docs": n, "words": int(length), "terms": n > 0}
 
     def _deleted(self, now: Snapshot, ids: DataFrame) -> dict | None:
@@ -294,8 +302,26 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["id", "dl", "terms", "tfs"])
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, grp, n, best, postings) of (id, dl, terms, tfs, grp): the postings of each group of a batch. A group that two
+def _sorted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of _posted() in the order of terms and groups, those of about `most` words at a time."""
+    own, words_ = [], 0
+    for rows, n in _posted(batches):
+        own.append(rows)
+        words_ += n
+        if words_ >= most:
+            yield from _in_order(own)
+            own, words_ = [], 0
+    if own:
+        yield from _in_order(own)
+
+
+def _in_order(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    yield from rows.take(pc.sort_indices(rows, [("term", "ascending"), ("grp", "ascending")])).to_batches(1 << 14)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(term, grp, n, best, postings) of (id, dl, terms, tfs, grp), and their words: the postings of each group of a batch. A group that two
     batches share has two rows for a term, whose bounds add up to one that holds for both."""
     for batch in batches:
         grp = batch.column("grp").to_numpy()
@@ -324,4 +350,4 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(dl[best])], names=["tf", "dl"])
             n = np.diff(offsets).astype(np.int64)
             columns = [coded.dictionary, pa.array(np.full(len(n), grp[a])), pa.array(n), pa.ListArray.from_arrays(starts, pairs), pa.ListArray.from_arrays(offsets, posting)]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "grp", "n", "best", "postings"])
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "grp", "n", "best", "postings"]), int(pc.sum(own.column("dl")).as_py())

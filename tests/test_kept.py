@@ -337,3 +337,30 @@ def test_only_texts_of_hits_travel(spark, tmp_path, monkeypatch):
         assert sorted((r["query_id"], r["id"], r["judged"]) for r in own.collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_postings_lie_where_their_texts_do(spark, tmp_path, monkeypatch):
+    """Each task sorts and writes the postings of its own lists: all were dealt by term first. Lists stay in a merge, too."""
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("r"), "id")).alias("text")).repartition(3)
+    was = spark.conf.get(kept_index.OPEN_FILES)
+    monkeypatch.setattr(kept_index, "TASK_WORDS", 150)
+    found = []
+    for sent in (200_000, 0):
+        monkeypatch.setattr(kept_index, "SENT_ROWS", sent)
+        index = KeptIndex(spark, str(tmp_path / f"i{sent}"))
+        index.upsert(docs, "id", "text")
+        at = tmp_path / f"i{sent}/segments/{index.snapshot().segments[0]['name']}"
+        lists = len(list((at / "forward").glob("*.parquet")))
+        files = [pq.read_table(str(p), partitioning=None).to_pylist() for p in (at / "postings").rglob("folder=*/*.parquet")]
+        assert lists == 3 and len([1 for rows in files if any(r["term"] == "the" for r in rows)]) == 3
+        for rows in files:
+            # 50 documents or more of three words each are sorted at a time
+            order = [(r["term"], r["grp"]) for r in rows]
+            assert len([1 for a, b in zip(order[:-1], order[1:]) if b < a]) <= 2
+        index.upsert(docs.where("id < 90").withColumn("text", F.lit("the other")), "id", "text")
+        index.delete(docs.where("id % 10 = 3"), "id")
+        assert index.merge(fanout=2) and index.size() == (270, 81 * 2 + 189 * 3)
+        asked = spark.createDataFrame([("the",), ("other",), ("w3",), ("r4",), ("r94",)], "term string")
+        found.append(sorted(map(tuple, index.frequencies(asked).collect())))
+    assert found[0] == found[1] == sorted([("the", 270), ("other", 81), ("r94", 1), ("w3", len([i for i in range(90, 300) if i % 7 == 3 and i % 10 != 3]))])
+    assert spark.conf.get(kept_index.OPEN_FILES) == was
