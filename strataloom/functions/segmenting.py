@@ -14,6 +14,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .text import words
 #: Known words, at most, that a model holds (it is broadcast: a few MB), and characters in one of them.
 MOST_WORDS, MOST_CHARS = 200_000, 24
 #: Characters that a lattice takes at a time, about (a text is never parted), and those of a piece that is cut by itself.
-CHUNK_CHARS, LONG = 1 << 19, 4096
+CHUNK_CHARS, LONG = 1 << 17, 4096
 #: Characters of scripts that are written without blanks.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 
@@ -179,9 +180,8 @@ class Lattice:
             place, least = place[on], least[on]
         return mark
 
-    def cut(self, runs: list[str]) -> list[list[str]]:
-        """cheapest() of each run."""
-        out: list[list[str]] = []
+    def _chunks(self, runs: list[str]) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]:
+        """(first, last, text, stops, ends) of some runs at a time, which lie in a text before its `stops`, and _ends() of it."""
         at = 0
         while at < len(runs):
             to, size = at + 1, len(runs[at])
@@ -190,13 +190,34 @@ class Lattice:
                 to += 1
             joined = "\n".join(runs[at:to]) + "\n"
             stops = np.cumsum([len(r) + 1 for r in runs[at:to]]) - 1
-            ends = np.flatnonzero(self._ends(joined, stops))
-            begin = 0
+            yield at, to, joined, stops, self._ends(joined, stops)
+            at = to
+
+    def parts(self, runs: list[str]) -> Iterator[list[list[str]]]:
+        """cheapest() of each run, those of some runs at a time."""
+        for _, _, joined, stops, mark in self._chunks(runs):
+            out, begin, ends = [], 0, np.flatnonzero(mark)
             for stop, last in zip(stops.tolist(), np.searchsorted(ends, stops, "right").tolist()):
                 own = ends[np.searchsorted(ends, begin, "right") : last].tolist()
                 out.append([joined[i:j] for i, j in zip([begin, *own], own)])
                 begin = stop + 1
-            at = to
+            yield out
+
+    def cut(self, runs: list[str]) -> list[list[str]]:
+        """cheapest() of each run."""
+        return [words for part in self.parts(runs) for words in part]
+
+    def agreed(self, runs: list[str], sizes: list[np.ndarray]) -> np.ndarray:
+        """A row for each run: ends of words of the `sizes` told, ends of those found, and how many are both. No word is made."""
+        out = np.zeros((len(runs), 3), np.int64)
+        for at, to, joined, stops, found in self._chunks(runs):
+            begins = np.concatenate([[0], stops[:-1] + 1])
+            told = np.zeros(len(joined) + 1, bool)
+            for b, own in zip(begins.tolist(), sizes[at:to]):
+                told[b + np.cumsum(own, dtype=np.int64)] = True
+            for k, mark in enumerate((told, found, told & found)):
+                below = np.cumsum(mark)
+                out[at:to, k] = below[stops] - below[begins]
         return out
 
 
@@ -209,14 +230,36 @@ def cutter(spark: SparkSession, costs: Costs) -> Callable[[Column], Column]:
     ship(spark)
     sent = spark.sparkContext.broadcast(Lattice(costs))
 
-    @F.pandas_udf("array<string>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(sent.value.cut([t if isinstance(t, str) else "" for t in texts]), dtype=object)
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.string())
+        for texts in batches:
+            # words are Python's for some texts at a time only
+            parts = [pa.array(p, kind) for p in sent.value.parts([t or "" for t in texts.to_pylist()])]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return cut
 
 
+def recut(rows: DataFrame, told: Column, costs: Costs) -> DataFrame:
+    """rows with `ends`, `found_ends` and `hits` as agreement() gives them for the words `told` and the cheapest path through
+    all of them without blanks; null where there are none. Found words are not made, nor sent."""
+    ship(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(Lattice(costs))
+
+    @F.pandas_udf("ends int, found_ends int, hits int")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, sizes in batches:
+            there = sizes.notna().to_numpy()
+            counts = sent.value.agreed(list(texts[there]), list(sizes[there]))
+            out = pd.DataFrame(pd.NA, index=range(len(texts)), columns=["ends", "found_ends", "hits"], dtype="Int32")
+            out.loc[there] = counts
+            yield out
+
+    both = rows.withColumn("__c", compared(F.array_join(told, ""), F.transform(told, F.length)))
+    return both.withColumns({c: F.col(f"__c.{c}") for c in ("ends", "found_ends", "hits")}).drop("__c")
+
+
 def analyser(spark: SparkSession, costs: Costs) -> Callable[[Column], Column]:
     """words() for text that mixes scripts: spaced words as they are, runs of unspaced scripts along their cheapest path."""
     cut = cutter(spark, costs)

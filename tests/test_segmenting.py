@@ -87,3 +87,25 @@ def test_an_index_of_words_without_blanks(spark, tmp_path):
         index.upsert(docs, "id", "text")
         hits[name] = {(r["query_id"], r["id"]) for r in index.search(asked).collect()}
     assert hits["words"] == {(1, 2), (2, 1), (3, 1)} and (1, 1) in hits["pairs"]
+
+
+def test_ends_are_compared_without_words(spark, monkeypatch):
+    """recut() gives what agreement() of cutter()'s words gives, and makes no word; cutter() makes those of some texts at a time."""
+    r = random.Random(11)
+    known = ["ab", "abc", "c", "東京", "京都", "x😀", "q" * 24]
+    costs = segmenting.Costs({w: r.randint(1, 9) for w in known}, 12)
+    rows = [(i, r.choices([*known, "z", ""], k=r.randint(0, 30))) for i in range(40)] + [(40, []), (41, None)]
+    told = spark.createDataFrame(rows, "n int, told array<string>")
+    columns = ["n", "ends", "found_ends", "hits"]
+    cut = told.where("told is not null").withColumn("found", segmenting.cutter(spark, costs)(F.array_join("told", "")))
+    want = sorted(map(tuple, segmenting.agreement(cut, F.col("told"), F.col("found")).select(*columns).collect()))
+    got = segmenting.recut(told, F.col("told"), costs).select(*columns).collect()
+    assert sorted(map(tuple, got)) == [*want, (41, None, None, None)]
+    lattice = segmenting.Lattice(costs)
+    texts, sizes = ["".join(t) for _, t in rows[:41]], [[len(w) for w in t] for _, t in rows[:41]]
+    whole = lattice.agreed(texts, sizes).tolist()
+    assert [tuple(x) for x in whole] == [x[1:] for x in want]
+    monkeypatch.setattr(segmenting, "CHUNK_CHARS", 50)
+    assert lattice.agreed(texts, sizes).tolist() == whole and max(map(len, lattice.parts(texts))) < 41
+    monkeypatch.setattr(segmenting.Lattice, "parts", None)
+    assert lattice.agreed(texts, sizes).tolist() == whole
